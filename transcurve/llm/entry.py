@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transcurve.llm import mixing
+from transcurve.llm import bpe, mixing, secrets
 
-MODULES = (mixing,)
+MODULES = (mixing, bpe, secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
