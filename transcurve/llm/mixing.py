@@ -172,26 +172,34 @@ class Mix:
         return rows.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("passes") + more).cast("int"))
 
     def shards(self, sized: DataFrame, shards: int | None = None) -> DataFrame:
-        """The mix's rows dealt to shards: row, copy, shard, place.
+        """``taken(sized)`` with ``shards``: the shard of each of the row's copies.
 
         A source's units (one per block and copy) are its quota; the tree splits the quotas
-        exactly and a shard holds its own run of the permuted units. ``place`` shuffles the
-        shard. By default a shard takes about SHARD_WORDS words.
+        exactly and a shard holds its own run of the permuted units. By default a shard
+        takes about SHARD_WORDS words.
         """
         shards = shards or max(16, -(-self.words // SHARD_WORDS))
-        units = self.taken(self.sized).where("copies > 0").select("sid", "block", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).distinct()
+        most = self.taken(self.sized).groupBy("sid", "block").agg(F.max("copies").alias("copies")).where("copies > 0")
+        units = most.select("sid", "block", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
         order = Window.partitionBy("sid").orderBy(F.xxhash64("block", "copy", F.lit(self.seed + 2)), "block", "copy")
         units = common.cut(units.withColumn("place", F.row_number().over(order)))
         quota = {r.sid: r.n for r in units.groupBy("sid").agg(F.max("place").alias("n")).collect()}
         sids = sorted(quota)
         ends = np.cumsum(split_tree([quota[s] for s in sids], shards, self.seed), axis=0)
         bounds = self.spark.createDataFrame([(s, [int(x) for x in ends[:, i]]) for i, s in enumerate(sids)], "bs int, ends array<long>")
-        dealt = units.join(_small(bounds, len(sids) * shards), F.col("sid") == F.col("bs")).select(
-            F.col("sid").alias("us"), F.col("block").alias("ub"), F.col("copy").alias("uc"), F.size(F.filter("ends", lambda e: e < F.col("place"))).alias("shard")
+        shard = F.size(F.filter("ends", lambda e: e < F.col("place")))
+        dealt = (
+            units.join(_small(bounds, len(sids) * shards), F.col("sid") == F.col("bs")).groupBy(F.col("sid").alias("us"), F.col("block").alias("ub"))
+            .agg(F.array_sort(F.collect_list(F.struct("copy", shard.alias("shard")))).alias("units"))  # max_repeats at most
         )
-        rows = self.taken(sized).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-        on = (F.col("sid") == F.col("us")) & (F.col("block") == F.col("ub")) & (F.col("copy") == F.col("uc"))
-        return rows.join(_small(dealt, self.max_units), on).select("row", "copy", "shard", F.xxhash64("key", "copy", F.lit(self.seed + 3)).alias("place"))
+        rows = self.taken(sized).join(_small(dealt, self.max_units), (F.col("sid") == F.col("us")) & (F.col("block") == F.col("ub")), "left")
+        mine = F.when(F.col("copies") > 0, F.slice("units.shard", F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>"))
+        return rows.withColumn("shards", mine).drop("us", "ub", "units")
+
+    def rows(self, sized: DataFrame, shards: int | None = None) -> DataFrame:
+        """One row per copy: row, copy, shard, place; ``place`` shuffles the shard."""
+        dealt = self.shards(sized, shards).select("row", "key", F.posexplode("shards").alias("copy", "shard"))
+        return dealt.withColumn("place", F.xxhash64("key", "copy", F.lit(self.seed + 3)))
 
 
 def _fill_group(group: pd.DataFrame) -> pd.DataFrame:
@@ -204,13 +212,13 @@ def _fill_group(group: pd.DataFrame) -> pd.DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mix(common.documents(spark, sf_dir))
-    return m.taken(m.sized).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+    return m.shards(m.sized).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "shards")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: every document as often as it is taken, dealt to shards and shuffled inside."""
     m = Mix(docs)
-    return m.shards(_sized(docs, m.seed)).repartition("shard").sortWithinPartitions("shard", "place").select("row.*")
+    return m.rows(_sized(docs, m.seed)).repartition("shard").sortWithinPartitions("shard", "place").select("row.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mix_sources": query}
