@@ -1,0 +1,223 @@
+"""Main-text extraction from web pages by flat text blocks and a small decision tree.
+
+A page is cut into flat text blocks at block-level tags. Each block is described by its
+own and its neighbours' word counts and link densities, and by what its nearest
+sectioning element and its class names say. A decision tree, trained on the labelled
+table below, keeps or drops it. Kept blocks are joined in page order by one line feed.
+
+Null and empty pages give an empty text. Pages of any length are read whole; a page
+without closing tags is read to its end. Repeated rows give equal results; extra
+columns are ignored; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from transcurve.llm import common
+
+CHUNK_BYTES = 8 << 20
+
+# Fixed values of HTML: elements that break a block, that hold no text of the page, that have no end tag.
+BLOCK = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
+SILENT = frozenset("script style noscript template iframe svg math head title select textarea button object canvas audio video datalist".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style textarea title iframe noscript".split())
+#: Sectioning elements that hold a page's main text, and those that frame it.
+BODY = frozenset("article main".split())
+FRAME = frozenset("nav footer aside form menu dialog header".split())
+#: Words in class, id and role that speak for framing and for main text.
+FRAME_WORDS = frozenset(
+    "ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
+)
+BODY_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+
+
+@dataclass(slots=True)
+class Block:
+    text: str
+    words: int
+    density: float  # share of the words that stand in links
+    place: int  # nearest sectioning element: 0 none, 1 main text, 2 framing
+    hint: int  # nearest telling class name: 0 none, 1 main text, 2 framing
+    heading: int
+
+
+def _hint(attributes: str) -> int:
+    """What class, id and role say; framing words win."""
+    found = 0
+    for m in _NAMES.finditer(attributes):
+        for w in re.split(r"[^a-z0-9]+", html.unescape(m[1] or m[2] or m[3] or "").lower()):
+            if w in FRAME_WORDS:
+                return 2
+            if w in BODY_WORDS:
+                found = 1
+    return found
+
+
+def blocks(page: str) -> list[Block]:
+    """The flat text blocks of a page, in order."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, int, int, int]] = []  # name, place, hint, silent, link depth
+    place = hint = silent = link = 0
+    heading, at = 0, 0
+    text: list[str] = []
+    linked: list[str] = []
+
+    def flush() -> None:
+        if text:
+            words = html.unescape("".join(text)).split()
+            if words:
+                n_linked = len(html.unescape(" ".join(linked)).split()) if linked else 0
+                out.append(Block(" ".join(words), len(words), min(1.0, n_linked / len(words)), place, hint, heading))
+            text.clear()
+            linked.clear()
+
+    def say(piece: str) -> None:
+        if piece and not silent:
+            text.append(piece)
+            if link:
+                linked.append(piece)
+
+    while True:
+        m = _TOKEN.search(page, at)
+        say(page[at : m.start()] if m else page[at:])
+        if not m:
+            break
+        at = m.end()
+        if m[2] is None:
+            if m[0].startswith("<![CDATA["):
+                say(html.escape(m[0][9:].removesuffix("]]>")))
+            continue
+        name = m[2].lower()
+        if name == "br":
+            say(" ")
+            continue
+        if name in BLOCK:
+            flush()
+            heading = int(not m[1] and len(name) == 2 and name[0] == "h" and name[1] in "123456")
+        if m[1]:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    _, place, hint, silent, link = stack[i]
+                    del stack[i:]
+                    break
+            continue
+        if name in VOID or m[3].endswith("/") and name not in BLOCK and name != "a":
+            continue
+        if name == "p" and stack and stack[-1][0] == "p":
+            _, place, hint, silent, link = stack.pop()
+        if name in RAW:
+            end = _END[name].search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        stack.append((name, place, hint, silent, link))
+        if name in BODY:
+            place, hint = 1, 0
+        elif name in FRAME:
+            place = place if name == "header" and place == 1 else 2
+        if name not in ("html", "body") and (told := _hint(m[3])):
+            hint = told
+        silent += name in SILENT
+        link += name == "a"
+    flush()
+    return out
+
+
+def features(found: Sequence[Block]) -> list[tuple[float, ...]]:
+    """place, hint, heading, then words and link density of the block, the one before and the one after."""
+    none = Block("", 0, 0.0, 0, 0, 0)
+    padded = [none, *found, none]
+    return [(b.place, b.hint, b.heading, b.words, b.density, a.words, a.density, c.words, c.density) for a, b, c in zip(padded, found, padded[2:], strict=False)]
+
+
+# Labelled blocks whose neighbours don't decide: place, hint, heading, words, link density, 1 for main text.
+SETTLED = (
+    # menus, headers, footers, sidebars, forms
+    (2, 0, 0, 1, 1.0, 0), (2, 0, 0, 3, 1.0, 0), (2, 0, 0, 14, 0.0, 0), (2, 0, 0, 45, 0.1, 0), (2, 0, 1, 4, 0.0, 0), (2, 1, 0, 60, 0.0, 0), (2, 2, 0, 9, 0.3, 0),
+    # adverts, notices, reader comments named by their classes, inside the article and outside
+    (0, 2, 0, 7, 0.0, 0), (0, 2, 0, 90, 0.0, 0), (0, 2, 1, 2, 0.0, 0), (0, 2, 0, 3, 1.0, 0), (1, 2, 0, 6, 0.0, 0), (1, 2, 0, 120, 0.0, 0), (1, 2, 1, 3, 0.0, 0),
+    # article and main, headings and short blocks included; their lists of links
+    (1, 0, 1, 2, 0.0, 1), (1, 0, 1, 9, 0.0, 1), (1, 0, 0, 1, 0.0, 1), (1, 0, 0, 25, 0.1, 1), (1, 0, 0, 120, 0.0, 1), (1, 0, 0, 9, 0.4, 1),
+    (1, 1, 0, 1, 0.0, 1), (1, 1, 0, 70, 0.0, 1), (1, 1, 1, 5, 0.0, 1), (1, 0, 0, 2, 1.0, 0), (1, 0, 0, 12, 0.9, 0), (1, 1, 0, 4, 1.0, 0),
+    # no sectioning element, but a telling class
+    (0, 1, 1, 6, 0.0, 1), (0, 1, 0, 1, 0.0, 1), (0, 1, 0, 50, 0.0, 1), (0, 1, 0, 25, 0.2, 1), (0, 1, 0, 4, 1.0, 0), (0, 1, 0, 15, 0.8, 0),
+    # neither, but long prose or a row of links
+    (0, 0, 0, 60, 0.0, 1), (0, 0, 0, 35, 0.1, 1), (0, 0, 0, 4, 1.0, 0), (0, 0, 0, 22, 0.8, 0),
+)
+#: Words and link density of the block before and the block after, with which the settled ones are met.
+NEIGHBOURS = ((0, 0.0, 0, 0.0), (1, 1.0, 6, 1.0), (5, 1.0, 60, 0.0), (70, 0.0, 0, 0.0), (40, 0.0, 80, 0.0), (90, 0.0, 3, 1.0), (2, 0.0, 4, 0.0))
+# Short blocks without sectioning element or telling class: the neighbours decide. All features, then 1 for main text.
+OPEN = (
+    (0, 0, 0, 18, 0.1, 50, 0.0, 40, 0.0, 1), (0, 0, 1, 7, 0.0, 2, 1.0, 60, 0.0, 1), (0, 0, 1, 5, 0.0, 55, 0.0, 70, 0.0, 1), (0, 0, 0, 6, 0.0, 60, 0.0, 55, 0.0, 1),
+    (0, 0, 0, 3, 0.0, 45, 0.0, 40, 0.0, 1), (0, 0, 0, 3, 0.0, 1, 1.0, 2, 1.0, 0), (0, 0, 0, 5, 0.0, 3, 0.0, 4, 1.0, 0), (0, 0, 0, 7, 0.0, 40, 0.0, 0, 0.0, 0),
+    (0, 0, 0, 9, 0.2, 30, 0.0, 0, 0.0, 0), (0, 0, 1, 2, 0.0, 6, 0.0, 3, 1.0, 0), (0, 0, 0, 8, 0.0, 2, 1.0, 5, 0.0, 0), (0, 0, 0, 12, 0.0, 4, 1.0, 6, 1.0, 0),
+)
+LABELLED = tuple((*case[:5], *near, case[5]) for case in SETTLED for near in NEIGHBOURS) + OPEN
+
+
+def train(rows: Sequence[tuple[float, ...]] = LABELLED, depth: int = 8) -> tuple:
+    """A binary decision tree by Gini impurity: (feature, threshold, at most, above) or a label."""
+    labels = [int(r[-1]) for r in rows]
+    ones = sum(labels)
+    if not depth or ones in (0, len(rows)):
+        return (int(2 * ones >= len(rows)),)
+    best = None
+    for f in range(len(rows[0]) - 1):
+        values = sorted({r[f] for r in rows})
+        for lo, hi in zip(values, values[1:], strict=False):
+            cut = (lo + hi) / 2
+            left = [y for r, y in zip(rows, labels, strict=True) if r[f] <= cut]
+            n, k = len(left), sum(left)
+            impurity = 2 * (k * (n - k) / n + (ones - k) * (len(rows) - n - ones + k) / (len(rows) - n))
+            if best is None or impurity < best[0] - 1e-12:
+                best = (impurity, f, cut)
+    if best is None:
+        return (int(2 * ones >= len(rows)),)
+    _, f, cut = best
+    return (f, cut, train([r for r in rows if r[f] <= cut], depth - 1), train([r for r in rows if r[f] > cut], depth - 1))
+
+
+def keep(tree: tuple, x: Sequence[float]) -> int:
+    while len(tree) > 1:
+        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+    return tree[0]
+
+
+def main_text(page: str | None, tree: tuple) -> str:
+    found = blocks(page or "")
+    return "\n".join(b.text for b, x in zip(found, features(found), strict=True) if keep(tree, x))
+
+
+def extract(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
+    """page_id, url and the main text of every page."""
+    tree = tree or train()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.chunks(batch, "html", CHUNK_BYTES):
+                text = [main_text(h, tree) for h in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(text, pa.string())})
+
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(common.table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_html_extract": query}
+ORACLES: dict[str, str] = {}
