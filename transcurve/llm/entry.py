@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transcurve.llm import bpe, html_extract, mixing, secrets
+from transcurve.llm import bpe, html_extract, media, mixing, secrets
 
-MODULES = (mixing, bpe, secrets, html_extract)
+MODULES = (mixing, bpe, secrets, html_extract, media)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
