@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transcurve.llm import bpe, html_extract, media, mixing, secrets, toxicity
+from transcurve.llm import bpe, embeddings, html_extract, media, mixing, secrets, toxicity
 
-MODULES = (mixing, bpe, secrets, html_extract, media, toxicity)
+MODULES = (mixing, bpe, secrets, html_extract, media, toxicity, embeddings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
