@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transcurve.llm import bpe, embeddings, html_extract, licenses, media, mixing, secrets, toxicity
+from transcurve.llm import bpe, embeddings, html_extract, licenses, line_dedup, media, mixing, secrets, toxicity
 
-MODULES = (mixing, bpe, secrets, html_extract, media, toxicity, embeddings, licenses)
+MODULES = (mixing, bpe, secrets, html_extract, media, toxicity, embeddings, licenses, line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
