@@ -15,7 +15,8 @@ per row of a block. An empty table gives an empty mix. Extra columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -84,26 +85,30 @@ def split_tree(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def fill(rows: list[tuple[int, int]], want: int) -> set[int]:
-    """Keys of (key, size) rows, in their given order, whose sizes come nearest to ``want`` from below.
+def fill(rows: list[tuple[int, int]], want: int, times: int = 1) -> Counter[int]:
+    """How often to take each key of (key, size) rows so that the sizes come nearest to ``want``.
 
-    Rows are taken largest first while they fit; the last places are refined by an exact
-    subset-sum over the ``CLOSING`` smallest rows.
+    Rows are taken largest first while they fit, once each; the last places are refined by
+    an exact subset-sum over the ``CLOSING`` smallest rows, each up to ``times`` times.
     """
     rows = sorted(rows, key=lambda r: -r[1])
-    head, tail = rows[: max(0, len(rows) - CLOSING)], rows[max(0, len(rows) - CLOSING) :]
-    chosen, left = set(), want
+    head, tail = rows[: max(0, len(rows) - CLOSING)], rows[max(0, len(rows) - CLOSING) :] * times
+    chosen, left = Counter(), want
     for k, n in head:
         if n <= left:
-            chosen.add(k)
+            chosen[k] += 1
             left -= n
-    mask, steps = (1 << (left + 1)) - 1, [1]
+    most = 2 * left + 1  # sums further above than 0 is below can't be nearest
+    mask, steps = (1 << most) - 1, [1]
     for _, n in tail:
         steps.append((steps[-1] | steps[-1] << n) & mask)
-    at = steps[-1].bit_length() - 1
+    below = (steps[-1] & ((1 << (left + 1)) - 1)).bit_length() - 1
+    over = steps[-1] >> (left + 1)
+    above = left + (over & -over).bit_length() if over else most
+    at = below if left - below <= above - left else above
     for (k, n), before in zip(reversed(tail), reversed(steps[:-1]), strict=True):
         if not before >> at & 1:
-            chosen.add(k)
+            chosen[k] += 1
             at -= n
     return chosen
 
@@ -158,7 +163,7 @@ class Mix:
             .select(F.col("sid").alias("es"), F.col("block").alias("eb"), left.alias("left")).where("left <> 0")
         )
         self.chosen = common.cut(
-            self._edged(placed).where("left > 0 and size > 0").groupBy("sid", "key", "size", "left").agg(F.count("*").alias("n"))
+            self._edged(placed).where("left > 0 and size > 0").groupBy("sid", "key", "size", "left", "passes").agg(F.count("*").alias("n"))
             .groupBy("sid").applyInPandas(_fill_group, "fs int, fkey long, more int")
         )
 
@@ -205,9 +210,10 @@ class Mix:
 def _fill_group(group: pd.DataFrame) -> pd.DataFrame:
     """The rows of one source's boundary block that fill its remainder; equal keys go together."""
     group = group.sort_values("key")
-    chosen = fill([(int(k), int(s) * int(n)) for k, s, n in zip(group["key"], group["size"], group["n"], strict=True)], int(group["left"].iloc[0]))
-    keys = sorted(chosen)
-    return pd.DataFrame({"fs": np.full(len(keys), group["sid"].iloc[0], np.int32), "fkey": np.array(keys, np.int64), "more": np.ones(len(keys), np.int32)})
+    passes, left = int(group["passes"].iloc[0]), int(group["left"].iloc[0])
+    times = max(1, min(2, MAX_REPEATS - passes))
+    chosen = sorted(fill([(int(k), int(s) * int(n)) for k, s, n in zip(group["key"], group["size"], group["n"], strict=True)], left, times).items())
+    return pd.DataFrame({"fs": np.full(len(chosen), group["sid"].iloc[0], np.int32), "fkey": np.array([k for k, _ in chosen], np.int64), "more": np.array([n for _, n in chosen], np.int32)})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
