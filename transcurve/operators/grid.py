@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -51,6 +52,17 @@ def shuffle_key(row_id: Column | str, seed: int) -> Column:
     return F.xxhash64(row_id, F.lit(seed))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there, so that it can't come out differently.
+
+    The folder is the one in ``spark.checkpoint.dir``; a private one only where none is named.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def blocks(df: DataFrame, order: Sequence[Column | str], size: int = BLOCK, name: str = "block_id") -> DataFrame:
     """Numbers contiguous blocks of ``size`` rows in ``order``; the last takes the remainder.
 
@@ -58,9 +70,10 @@ def blocks(df: DataFrame, order: Sequence[Column | str], size: int = BLOCK, name
     order, each partition is counted, and a row's place is its partition's offset plus
     its place inside. Only the counts, one a partition, are broadcast.
     """
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__part", F.spark_partition_id())
     inside = Window.partitionBy("__part").orderBy(*order)
-    placed = parts.withColumn("__at", F.row_number().over(inside) - 1)
+    # ranges are sampled: what is counted must be what is numbered
+    placed = settled(parts.withColumn("__at", F.row_number().over(inside) - 1))
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
