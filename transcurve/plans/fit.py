@@ -20,7 +20,7 @@ from transcurve.functions.curves import TYPES, Curve
 from transcurve.operators import grid as grids
 from transcurve.operators import kernel, quantile, score
 from transcurve.operators.evaluate import Point, evaluate, evaluate_many
-from transcurve.plans.optimize import FitError, minimise
+from transcurve.plans.optimize import FitError, minimise, minimise_many
 from transcurve.settings import Settings
 from transcurve.spec import Entry, Model, StatusFamily
 
@@ -249,7 +249,8 @@ class Fitter:
         points = evaluate_many(self.grid, [c.model for c in found])
         order = sorted(range(len(found)), key=lambda i: (points[i].entropy, i))
         last = len(model.entries)
-        refit = [self._fit(found[i].model, lambda p: p[1] in (0, last)) for i in self._varied(order, found)[:tries]]
+        chosen = [found[i].model for i in self._varied(order, found)[:tries]]
+        refit = [o.point for o in minimise_many(self.grid, chosen, self.settings, [lambda p: p[1] in (0, last)] * len(chosen))]
         refit = [p for p in refit if math.isfinite(p.entropy)]
         return min(refit, key=lambda p: p.aic) if refit else None
 
@@ -299,6 +300,13 @@ class Fitter:
                 added += self.chain.push("interaction", self._fit(self.chain.model.add_entry(entry), lambda p, last=last: p[2] < 0 or p[1] == last))
         return added
 
+    def candidate_frame(self, spark: SparkSession, fields: Sequence[str]) -> DataFrame:
+        """Every candidate curve with the AIC it would bring before a refit, the best first."""
+        found = self.candidates(self.chain.model, fields)
+        points = evaluate_many(self.grid, [c.model for c in found]) if found else []
+        rows = [(c.regressor, c.model.reachable[c.status], c.model.entries[-1].depth[0][1].type, *map(float, c.model.entries[-1].depth[0][1].params), p.aic - self.chain.last.aic) for c, p in zip(found, points, strict=True)]
+        return spark.createDataFrame(rows, "regressor string, to_status string, curve string, centre double, width double, aic_diff double").orderBy("aic_diff")
+
     def trim(self) -> int:
         """Drop entries, last first, while the refitted rest costs little AIC."""
         dropped = 0

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from transcurve.operators import kernel
-from transcurve.operators.evaluate import Point, evaluate, evaluate_many
+from transcurve.operators.evaluate import Point, evaluate_many
 from transcurve.settings import Settings
 from transcurve.spec import Model
 
@@ -31,69 +31,110 @@ STEPS = (1.0, 0.5, 2.0, 0.25, 0.1, 0.02)
 GRADIENT, GAIN = 1e-9, 1e-12
 
 
-def _free(model: Model, wanted: Callable[[tuple[int, int, int, int]], bool] | None) -> np.ndarray:
+#: Which places (status, entry, depth, parameter) a fit may change.
+Wanted = Callable[[tuple[int, int, int, int]], bool] | None
+
+
+def _free(model: Model, wanted: Wanted) -> np.ndarray:
     return np.array([i for i, p in enumerate(model.places()) if wanted is None or wanted(p)], int)
 
 
-def _penalised(grid: DataFrame, model: Model, free: np.ndarray, settings: Settings, step: float = 1e-4) -> np.ndarray:
-    """Gradient of the target's penalty by central differences, all shifts in one pass."""
-    theta, eye = model.pack(), np.eye(len(model.places()))
-    shifted = [model.unpack(theta + s * step * max(1.0, abs(theta[i])) * eye[i]) for i in free for s in (1, -1)]
-    points = evaluate_many(grid, shifted, kernel.SECOND)
-    f = [p.objective(settings.target, settings.l2_lambda) - p.entropy for p in points]
-    out = np.zeros(len(theta))
-    for a, i in enumerate(free):
-        out[i] = (f[2 * a] - f[2 * a + 1]) / (2 * step * max(1.0, abs(theta[i])))
+@dataclass
+class _State:
+    """A model on its way."""
+
+    model: Model
+    free: np.ndarray
+    point: Point | None = None
+    best: float = np.inf
+    steps: int = 0
+    done: bool = False
+
+
+def _penalised(grid: DataFrame, states: Sequence[_State], settings: Settings, step: float = 1e-4) -> list[np.ndarray]:
+    """Gradients of the target's penalty by central differences, all shifts of all models in one pass."""
+    shifted, widths = [], []
+    for s in states:
+        theta, eye = s.model.pack(), np.eye(len(s.model.places()))
+        width = step * np.maximum(1.0, np.abs(theta))
+        widths.append(width)
+        shifted += [s.model.unpack(theta + sign * width[i] * eye[i]) for i in s.free for sign in (1, -1)]
+    points = iter(evaluate_many(grid, shifted, kernel.SECOND) if shifted else [])
+    out = []
+    for s, width in zip(states, widths, strict=True):
+        g = np.zeros(len(width))
+        for i in s.free:
+            up, down = (p.objective(settings.target, settings.l2_lambda) - p.entropy for p in (next(points), next(points)))
+            g[i] = (up - down) / (2 * width[i])
+        out.append(g)
+    return out
+
+
+def _moves(state: _State, penalty: np.ndarray | None, settings: Settings) -> list[np.ndarray]:
+    """Newton moves of several lengths and dampings; none where the gradient vanishes."""
+    theta, free = state.model.pack(), state.free
+    g, h = state.point.gradient.copy(), state.point.hessian.copy()
+    if settings.target == "L2":
+        g, h = g + 2 * settings.l2_lambda * theta, h + 2 * settings.l2_lambda * np.eye(len(theta))
+    if penalty is not None:
+        g = g + penalty
+    g, h = g[free], h[np.ix_(free, free)]
+    if not len(free) or np.max(np.abs(g)) < GRADIENT:
+        return []
+    out = []
+    values, vectors = np.linalg.eigh((h + h.T) / 2)
+    for damp, lengths in ((1e-6, STEPS), (1e-3, STEPS[:1]), (1.0, STEPS[:1])):
+        bent = np.maximum(np.abs(values), damp * max(1e-12, float(np.max(np.abs(values)))))
+        direction = -vectors @ ((vectors.T @ g) / bent)
+        for length in lengths:
+            move = np.zeros(len(theta))
+            move[free] = direction * length
+            out.append(move)
     return out
 
 
-def minimise(grid: DataFrame, model: Model, settings: Settings | None = None, wanted: Callable[[tuple[int, int, int, int]], bool] | None = None) -> Optimum:
-    """Minimise the target over the parameters whose place is ``wanted`` (all free ones by default).
+def minimise_many(grid: DataFrame, models: Sequence[Model], settings: Settings | None = None, wanted: Sequence[Wanted] | None = None) -> list[Optimum]:
+    """Minimise the target of each model over its ``wanted`` parameters (all free ones by default).
 
-    Each step is one pass for the derivatives and one for all step lengths and dampings.
+    The models go in step: a step is one pass for the derivatives of all and one for all
+    their step lengths, so many candidates cost the passes of the slowest.
     """
     settings = settings or Settings()
-    free = _free(model, wanted)
     target, l2 = settings.target, settings.l2_lambda
     plain = target in ("ENTROPY", "L2")
-    point = evaluate(grid, model, kernel.SECOND)
-    if not point.n:
-        raise FitError("no rows to fit")
-    best = point.objective(target, l2)
-    damping, converged, step = 1e-6, len(free) == 0, 0
-    for step in range(settings.max_steps):
-        if converged:
-            break
-        theta = model.pack()
-        g, h = point.gradient.copy(), point.hessian.copy()
-        if target == "L2":
-            g, h = g + 2 * l2 * theta, h + 2 * l2 * np.eye(len(theta))
-        elif not plain:
-            g = g + _penalised(grid, model, free, settings)
-        g, h = g[free], h[np.ix_(free, free)]
-        if np.max(np.abs(g)) < GRADIENT:
-            converged = True
-            break
-        moves = []
-        values, vectors = np.linalg.eigh((h + h.T) / 2)
-        for damp in (damping, 1e-3, 1.0):
-            bent = np.maximum(np.abs(values), damp * max(1e-12, float(np.max(np.abs(values)))))
-            direction = -vectors @ ((vectors.T @ g) / bent)
-            for length in STEPS if damp == damping else STEPS[:1]:
-                move = np.zeros(len(theta))
-                move[free] = direction * length
-                moves.append(move)
-        models = [model.unpack(theta + m) for m in moves]
-        points = evaluate_many(grid, models, kernel.VALUE if plain else kernel.SECOND)
-        found = np.array([p.objective(target, l2) for p in points])
-        found[~np.isfinite(found)] = np.inf
-        at = int(np.argmin(found))
-        if found[at] >= best - GAIN:
-            converged = True
+    states = [_State(m, _free(m, w)) for m, w in zip(models, wanted or [None] * len(models), strict=True)]
+    for s, p in zip(states, evaluate_many(grid, models, kernel.SECOND), strict=True):
+        if not p.n:
+            raise FitError("no rows to fit")
+        s.point, s.best = p, p.objective(target, l2)
+    for _ in range(settings.max_steps):
+        live = [s for s in states if not s.done]
+        if not live:
             break
-        model, best = models[at], float(found[at])
-        point = evaluate(grid, model, kernel.SECOND)
-    return Optimum(point, step, converged)
+        penalties = [None] * len(live) if plain else _penalised(grid, live, settings)
+        tried = []
+        for s, penalty in zip(live, penalties, strict=True):
+            theta = s.model.pack()
+            tried.append([s.model.unpack(theta + m) for m in _moves(s, penalty, settings)])
+        points = iter(evaluate_many(grid, [m for ms in tried for m in ms], kernel.VALUE if plain else kernel.SECOND) if any(tried) else [])
+        moved = []
+        for s, ms in zip(live, tried, strict=True):
+            found = np.array([next(points).objective(target, l2) for _ in ms])
+            found[~np.isfinite(found)] = np.inf
+            if not len(found) or found.min() >= s.best - GAIN:
+                s.done = True
+                continue
+            at = int(np.argmin(found))
+            s.model, s.best, s.steps = ms[at], float(found[at]), s.steps + 1
+            moved.append(s)
+        if moved:
+            for s, p in zip(moved, evaluate_many(grid, [s.model for s in moved], kernel.SECOND), strict=True):
+                s.point = p
+    return [Optimum(s.point, s.steps, s.done) for s in states]
+
+
+def minimise(grid: DataFrame, model: Model, settings: Settings | None = None, wanted: Wanted = None) -> Optimum:
+    return minimise_many(grid, [model], settings, [wanted])[0]
 
 
 def line_search(grid: DataFrame, model: Model, direction: Sequence[float], lengths: Sequence[float], settings: Settings | None = None) -> Point:

@@ -570,6 +570,14 @@ def fit_model_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chain(f, spark)
 
 
+@query()
+def curve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _fitter(spark, sf_dir)
+    out = f.candidate_frame(spark, ["x", "q"])
+    f.close()
+    return out
+
+
 @query()
 def trim_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _fitter(spark, sf_dir)
