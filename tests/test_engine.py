@@ -67,6 +67,12 @@ def test_blocks(spark, n):
     assert found == {b: 1000 if b < full - 1 else n - 1000 * (full - 1) for b in range(full)}
 
 
+def test_ranged_transitions_of_a_hot_entity(spark):
+    rows = spark.range(5000).selectExpr("cast(if(id % 3 = 0, id % 7, 9) as int) e", "id t", "cast(id * id % 11 as string) s")
+    a, b = grid.transitions(rows, "e", ["t"], "s"), grid.transitions_ranged(rows, "e", ["t"], "s")
+    assert sorted(map(str, a.select("e", "t", "s", "next_status").collect())) == sorted(map(str, b.select("e", "t", "s", "next_status").collect()))
+
+
 def test_quantiles_with_odd_values(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, float("nan"), float("inf"), None, -3.0)], "x double")
     e = quantile.edges(df, ["x"], 4, approximate=False)["x"]

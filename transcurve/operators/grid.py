@@ -20,6 +20,25 @@ def transitions(df: DataFrame, entity: str, order: Sequence[str], status: str, n
     return df.withColumn(next_status, F.lead(status).over(Window.partitionBy(entity).orderBy(*order)))
 
 
+def transitions_ranged(df: DataFrame, entity: str, order: Sequence[str], status: str, next_status: str = "next_status") -> DataFrame:
+    """The same where one entity may hold a large share of all rows.
+
+    Rows are range-partitioned by entity and order, so an entity with very many rows is
+    dealt to several tasks. A task's last row of an entity finds its successor in the
+    first row of the next partition; those heads, one a partition, are broadcast.
+    """
+    keys = [entity, *order]
+    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("__part", F.spark_partition_id())
+    inside = Window.partitionBy("__part", entity).orderBy(*order)
+    # ranges are sampled: heads must come from the partitions that the rows are in
+    placed = settled(parts.withColumn(next_status, F.lead(status).over(inside)).withColumn("__inner", F.lead(F.lit(True)).over(inside)))
+    heads = placed.groupBy("__part").agg(F.min(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.col(status).alias("s"))).alias("head"))
+    before = Window.orderBy("__part")  # a row for each partition
+    heads = heads.select(F.lag("__part").over(before).alias("__before"), F.col("head.k0").alias("__entity"), F.col("head.s").alias("__head"))
+    rows = placed.join(F.broadcast(heads), (F.col("__part") == F.col("__before")) & F.col(entity).eqNullSafe(F.col("__entity")) & F.col("__inner").isNull(), "left")
+    return rows.withColumn(next_status, F.when(F.col("__inner"), F.col(next_status)).otherwise(F.col("__head"))).drop("__part", "__inner", "__before", "__entity", "__head")
+
+
 def fitting_rows(df: DataFrame, status: str, next_status: str, family: StatusFamily, origin: str) -> DataFrame:
     """Rows in one status whose next status is known and reachable."""
     return df.where((F.col(status) == origin) & F.col(next_status).isNotNull() & F.col(next_status).isin(*family.from_(origin)))

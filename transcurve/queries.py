@@ -140,6 +140,12 @@ def transition_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", "user_id", "event_type", "next_status")
 
 
+@query(ORACLES["transition_lead"])
+def transition_lead_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = grid.transitions_ranged(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+    return out.select("event_id", "user_id", "event_type", "next_status")
+
+
 @query("WITH ev AS (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_status FROM events) SELECT event_id, value, next_status FROM ev WHERE event_type = 'view' AND next_status IN ('click', 'purchase', 'signup', 'view')")
 def status_filter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = EVENTS.restrict(["click", "purchase", "signup", "view"])
