@@ -125,6 +125,16 @@ def test_noise_is_trimmed(fitter):
     assert fitter.trim() >= 1 and "x" not in fitter.chain.model.regressors
 
 
+def test_a_bad_curve_is_calibrated(fitter):
+    best = fitter.chain.last
+    entry = best.model.entries[1]
+    bad = Entry(((entry.depth[0][0], Curve("LOGISTIC", (2.5, 0.7))),), entry.restrict)
+    fitter.chain.force("bad", evaluate.evaluate(fitter.grid, best.model.drop(1).add_entry(bad, 0.3)))
+    assert fitter.calibrate() == 1 and fitter.chain.last.aic < best.aic + 20
+    fitter.chain.force("bad", evaluate.evaluate(fitter.grid, best.model.drop(1).add_entry(bad, 0.3)))
+    assert fitter.calibrate(anew=True) == 1 and fitter.chain.last.aic < best.aic + 5
+
+
 def test_targets(fitter):
     for target in ("L2", "ICE_RAW", "ICE_SIMPLE", "ICE2", "ICE"):
         settings = Settings(target=target, l2_lambda=1e-3, max_steps=4)

@@ -275,13 +275,22 @@ class Fitter:
             added += 1
         return added
 
-    def calibrate(self) -> int:
-        """Refit each curve entry in seeded random order; stop when sweeps gain too little."""
-        entries = [i for i, e in enumerate(self.chain.model.entries) if e.curves]
+    def recalibrate(self, i: int) -> bool:
+        """Drop a curve entry, find the best curve of its regressor anew, keep it if it is better."""
+        model = self.chain.model
+        smaller = self._fit(model.drop(i), lambda p: p[2] < 0).model
+        point = self.best_addition(smaller, [model.entries[i].depth[0][0]])
+        return point is not None and self.chain.push("recalibrated", self._fit(point.model))
+
+    def calibrate(self, anew: bool = False) -> int:
+        """Refit each curve entry in seeded random order, or find it anew; stop when that gains too little."""
+        keys = [(tuple(r for r, _ in e.depth), e.restrict) for e in self.chain.model.entries if e.curves]
         kept, gains = 0, []
-        for n, i in enumerate(np.random.default_rng(self.settings.seed).permutation(entries).tolist()):
+        for n, at in enumerate(np.random.default_rng(self.settings.seed).permutation(len(keys)).tolist()):
             before = self.chain.last.aic
-            kept += self.fit_entries([0, i])
+            found = [i for i, e in enumerate(self.chain.model.entries) if e.curves and (tuple(r for r, _ in e.depth), e.restrict) == keys[at]]
+            if found:
+                kept += self.recalibrate(found[0]) if anew else self.fit_entries([0, found[0]])
             gains.append(before - self.chain.last.aic)
             if n + 1 >= self.settings.min_calibration_count and gains[0] > 0 and gains[-1] < self.settings.improvement_ratio * gains[0]:
                 break
