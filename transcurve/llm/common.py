@@ -7,6 +7,7 @@ with label propagation over distributed tables.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -39,6 +40,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> DataFrame:
+    """``cut`` without the size that Spark estimated for the frame, for loops.
+
+    A checkpointed frame keeps the estimate of the plan it came from, and a join's estimate
+    is the product of its inputs'. Through a loop of joins it becomes a number of millions
+    of digits, whose multiplication takes longer than the work.
+    """
+    done = cut(df)
+    session = df.sparkSession
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), session)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle and checkpoint files of frames that are gone.
+
+    Its cleaner acts on what the driver's garbage collector has found, and a driver with
+    little to do collects rarely: long chains of jobs would keep all their files until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def chunks(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Split a batch into slices holding about ``max_bytes`` of one string column.
 
@@ -65,13 +89,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     materialised, so a node with very many edges is split by the skew-join rule.
     Self-loops are harmless; an empty input gives an empty result.
     """
-    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = forget(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    labels = forget(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
     for _ in range(rounds):
         seen = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node")).agg(F.min("label").alias("m"))
-        hooked = cut(labels.join(seen, "node", "left").select("node", "label", F.least("label", "m").alias("near")))
+        hooked = forget(labels.join(seen, "node", "left").select("node", "label", F.least("label", "m").alias("near")))
         parent = labels.select(F.col("node").alias("near"), F.col("label").alias("up"))
-        moved = cut(hooked.join(parent, "near", "left").select("node", "label", F.least("near", F.coalesce("up", "near")).alias("next")))
+        moved = forget(hooked.join(parent, "near", "left").select("node", "label", F.least("near", F.coalesce("up", "near")).alias("next")))
         changed = moved.where("next <> label").limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
