@@ -360,6 +360,17 @@ def test_groups_equal_brute_force(spark, size, percent):
     assert found == brute_groups(rows, size, percent)
 
 
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
+def test_a_word_more_links(spark, size, percent):
+    made = []
+    for n in range(size, size + 30):  # 6 shingles in 7 at 85 %, 4 in 5 at 80 %
+        text = " ".join(f"w{n}x{k}" for k in range(n))
+        made += [text + " end", "start " + text, text] + ([f"{text} e{k}" for k in range(20)] if n - size + 1 in (4, 6) else [])
+    rows = list(enumerate(made))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"), size, percent).collect()}
+    assert found == brute_groups(rows, size, percent)
+
+
 def test_frequent_keys_alone_find_all(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
     monkeypatch.setattr(jaccard, "PIVOTS", 1)

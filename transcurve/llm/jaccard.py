@@ -132,6 +132,14 @@ class Sizes:
         """Least size of a partner, and least overlap with any partner."""
         return -(-self.percent * n // 100)
 
+    def alone(self, n: int) -> bool:
+        """Whether a set links with equal ones only: not even one shingle more may differ.
+
+        A set that may miss nothing itself can still lie within a larger one: 6 in 7 at 85 %.
+        Where a partner may be smaller, one may be larger too.
+        """
+        return 100 * n < self.percent * (n + 1)
+
     def tiers(self, n: int) -> list[int]:
         """Tiers in which a set takes part: a pair is compared in the tier of its smaller set."""
         return list(range(tier_of(self.least(n)), tier_of(n) + 1))
@@ -185,7 +193,7 @@ def _members(docs: DataFrame, size: int, sizes: Sizes) -> DataFrame:
         for part, sets in _sets(batches, size):
             rows = []
             for s in sets:
-                found = [(t, *_entity(s, t, sizes)) for t in sizes.tiers(len(s))] if len(s) > sizes.least(len(s)) else []
+                found = [(t, *_entity(s, t, sizes)) for t in sizes.tiers(len(s))] if not sizes.alone(len(s)) else []
                 rows.append([{"e": e, "inside": len(np.unique(inside & TOLD_APART)), "t": t} for t, e, inside in found])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, schema.field("entities").type)], schema=schema)
 
@@ -235,7 +243,7 @@ def _send(docs: DataFrame, size: int, sizes: Sizes, buckets: int) -> DataFrame:
         n = 0
         for _, sets in _sets(batches, size):
             for s in sets:
-                if len(s) <= sizes.least(len(s)):  # a set that may miss nothing links with equal ones only
+                if sizes.alone(len(s)):
                     continue
                 for t in sizes.tiers(len(s)):
                     e, inside = _entity(s, t, sizes)
