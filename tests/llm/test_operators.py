@@ -453,6 +453,17 @@ def test_license_rules(spark, odd):
     assert licenses.scan(odd).count() == len(odd_rows()) and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_sentences_without_cues(spark):
+    texts = {
+        "gpl3_ref": "Released under GPL v3.", "gpl2_ref": "Distributed under GPL-2.", "gpl_later": "or (at your option) any later version", "lgpl_ref": "Distributed under LGPL 2.1.", "agpl_ref": "AGPL", "mpl2_ref": "MPL 2.0",
+        "cc_by_nc_nd": "CC BY-NC-ND 4.0", "cc_by_nc_sa": "Attribution-NonCommercial-ShareAlike", "cc_by_nc": "CC BY-NC 4.0", "cc_by_sa": "CC BY-SA 4.0", "cc_by": "CC BY 4.0", "cc0": "CC0",
+        "proprietary": "Unauthorized copying of this file, via any medium is strictly prohibited",
+    }
+    assert not any(re.search(licenses.CUE, t) for t in texts.values()) and all(p.startswith(r"\b") for _, ps in licenses.SENTENCES for p in re.split(r"\|(?=\\b)", ps))
+    rows = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
+    assert all(f"<{r.doc_id}>" in r.sequence for r in rows) and len(rows) == len(texts)
+
+
 # -- pages
 PAGE = """<html><head><title>No</title></head><body><header><h1>Site</h1><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav></header>
 <div id="cookie-notice">We use cookies</div><main><h1>Title &amp; more</h1><p class="byline">By X</p><p>Short.</p><p>Long <a href=z>link</a> &nbsp; text<br>two

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from transcurve.llm import common
 
-# Words one of which every known sentence holds.
+# Words that the SQL asks of a sentence. Not every known sentence holds one ("CC0", "GPL v3"), so the scan doesn't.
 CUE = "(?i)licen[cs]|copyright|permission|redistribut|warrant|public domain|all rights reserved|merchantab|liab|endorse|creative commons"
 
 # Licence sentences by identifier, as patterns over the normalised sentence.
@@ -64,6 +64,9 @@ SENTENCES = (
     ("proprietary", r"\bunauthori[sz]ed copying of this (file|work) .*is strictly prohibited\b"),
 )
 
+#: Any known sentence, at the start of a word, as all their patterns begin: what this doesn't find, none of them does.
+KNOWN = r"\b(?=[a-z])(?:" + "|".join(p for _, p in SENTENCES) + ")"
+
 #: Ordered rules: licence and its sentence sequences; "?" marks a sentence that may be absent.
 RULES = (
     ("Apache-2.0", ("copyright? all_rights? apache2_ref apache2_comply? apache2_copy? apache2_asis?", "apache2_comply apache2_copy apache2_asis?")),
@@ -97,10 +100,10 @@ def rule_pattern(sequences: tuple[str, ...]) -> str:
 
 
 def sentences(text: Column) -> Column:
-    """The sentences of a text that hold a cue, normalised."""
+    """The sentences of a text that hold a known one, normalised."""
     ended = F.regexp_replace(F.regexp_replace(text, rf"([.!?;])[{_SPACE}]+", "$1\x1e"), r"\x0A[\x20\x09\x0D]*\x0A", "\x1e")
-    cued = F.filter(F.split(ended, "\x1e"), lambda s: s.rlike(CUE))
-    return F.transform(cued, lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    plain = F.transform(F.split(ended, "\x1e"), lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    return F.filter(plain, lambda s: s.rlike(KNOWN))
 
 
 def identify(sentence: Column) -> Column:
@@ -110,9 +113,8 @@ def identify(sentence: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sequence, licenses (in rule order), n_matches and leftover of every document."""
-    found = docs.select("doc_id", F.when(F.col("text").rlike(CUE), F.col("text")).alias("text"))
     ids = F.flatten(F.transform(sentences(F.col("text")), identify))
-    out = found.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "").alias("sequence"))
+    out = docs.select("doc_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "").alias("sequence"))
     left, hits = F.col("sequence"), []
     for i, (_, sequences) in enumerate(RULES):  # what a rule matches is gone for the next
         pattern = rule_pattern(sequences)
