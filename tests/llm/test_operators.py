@@ -252,6 +252,14 @@ def test_line_dedup_odd_rows(odd):
     assert line_dedup.clean(odd.limit(0)).count() == 0 and line_dedup.decisions(odd).count() == len(odd_rows())
 
 
+def test_stage_drops_short_repeats(spark):
+    rows = [(1, "Les.\n\n \t\nA line that is long enough for edits.\nLes.\nLos."), (2, " Les. \n\nA line that is long enough for edits!\nNew."), (3, "Les."), (4, "\n"), (None, "Les.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in line_dedup.stage(spark, docs, SF).collect()}
+    assert found == {1: "Les.\n\n \t\nA line that is long enough for edits.\nLos.", 2: "\nNew.", 4: "\n", None: "Les."}
+    assert {r.doc_id: r.removed for r in line_dedup.decisions(docs).collect()}[2] == "2"
+
+
 # -- embeddings
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(5)

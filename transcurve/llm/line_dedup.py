@@ -1,8 +1,10 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are compared trimmed, from ``MIN_CHARS`` characters on; shorter lines are left
-alone. A line goes if an equal line, or one within one edit (a character inserted,
-deleted or replaced), stands earlier in the corpus, by doc_id, then line number.
+Lines are compared trimmed. A line of ``MIN_CHARS`` characters or more goes if an equal
+line, or one within one edit (a character inserted, deleted or replaced), stands earlier
+in the corpus, by doc_id, then line number. The pipeline's stage also takes out shorter
+lines that equal an earlier one, unless they are blank; the query leaves shorter lines
+alone, as its SQL does.
 
 Equal lines are first reduced to their earliest place. Two lines within one edit agree
 outside any one piece that holds the edit, so keys of everything but a half, then of
@@ -28,15 +30,17 @@ from pyspark.sql import functions as F
 
 from transcurve.llm import common
 
-#: Shortest line that is compared, and characters of a piece.
+#: Shortest line that is compared for edits, and characters of a piece.
 MIN_CHARS, PIECE = 24, 32
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, short: bool) -> DataFrame:
     """doc_id, no, line and its 128-bit hash (h, g) for every line that is compared."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
-    # a trimmed line can't have more characters than bytes: the cheap test first
-    rows = rows.where(F.octet_length("raw") >= MIN_CHARS).select("doc_id", "no", F.trim("raw").alias("line")).where(F.length("line") >= MIN_CHARS)
+    if short:
+        rows = rows.select("doc_id", "no", F.trim("raw").alias("line")).where((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    else:  # a trimmed line can't have more characters than bytes: the cheap test first
+        rows = rows.where(F.octet_length("raw") >= MIN_CHARS).select("doc_id", "no", F.trim("raw").alias("line")).where(F.length("line") >= MIN_CHARS)
     return rows.select("doc_id", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
@@ -82,18 +86,18 @@ def _variants(pieces: DataFrame) -> DataFrame:
     return rows.select("doc_id", "no", "h", "piece", (F.col("i") == 0).alias("own"), (place == 0).alias("star"), F.xxhash64("key", place, without).alias("v"))
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, no and h of every line that goes."""
-    lines = _lines(docs)
+def removed(docs: DataFrame, short: bool = False) -> DataFrame:
+    """doc_id, no and h of every line that goes, with ``short`` also of exact repeats under ``MIN_CHARS``."""
+    lines = _lines(docs, short)
     place = F.struct("doc_id", "no")
     k = [f"k{i}" for i in range(4)]
-    keyed = lines.select("doc_id", "no", "h", "g", *[c.alias(x) for c, x in zip(_halves(), k, strict=True)])
+    keyed = lines.select("doc_id", "no", "h", "g", *[F.when(F.length("line") >= MIN_CHARS, c).alias(x) for c, x in zip(_halves(), k, strict=True)])
     first = common.cut(keyed.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times"), *[F.min(x).alias(x) for x in k]))
     many = first.where("times > 1").select(F.col("h").alias("fh"), F.col("g").alias("fg"), "first")
     again = lines.join(many, (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg"))).where(place > F.col("first")).select("doc_id", "no", "h")
 
     # lines that share all but a half with another, then all but a piece
-    halves = first.select("h", "g", F.explode(F.array(*k)).alias("key"))
+    halves = first.where("k0 is not null").select("h", "g", F.explode(F.array(*k)).alias("key"))
     near = halves.join(_shared(halves), F.col("key") == F.col("shared"), "left_semi").select(F.col("h").alias("nh"), F.col("g").alias("ng")).distinct()
     near = common.cut(first.join(near, (F.col("h") == F.col("nh")) & (F.col("g") == F.col("ng")), "left_semi").select(F.col("first.doc_id").alias("id"), F.struct(F.col("first.no").alias("no"), "h").alias("at")))
     wanted = near.groupBy("id").agg(F.collect_list("at").alias("ats"))  # at most the lines of one document
@@ -125,12 +129,12 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that go, all columns; documents left without any text go too.
+    """``docs`` without the lines that go, short ones too, all columns; documents left without any text go too.
 
     ``n_chars``, where there is such a column, counts the characters that are left. Rows
     whose text was null or empty before stay.
     """
-    gone = removed(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("no", "h")).alias("__gone"))
+    gone = removed(docs, short=True).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("no", "h")).alias("__gone"))
     rows = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
     lines = F.transform(F.split("text", "\n", -1), lambda line, no: F.when(~F.array_contains("__gone", F.struct(no.alias("no"), F.xxhash64(F.trim(line)).alias("h"))), line))
     rows = rows.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")))
