@@ -381,7 +381,7 @@ def test_a_word_more_links(spark, size, percent):
 
 def test_frequent_keys_alone_find_all(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
-    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "PIVOTS", (1,))
     rng = random.Random(9)
     words = [f"w{i}" for i in range(50)]
     rows = list(enumerate(t for _ in range(4) for t in family(rng, 30, words, 6)))
@@ -389,6 +389,60 @@ def test_frequent_keys_alone_find_all(spark, monkeypatch):
     assert found == brute_groups(rows, 4, 85)
 
 
+def test_short_ranges_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SURE", -6.0)  # most sets have too few shingles in their range
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    made = []
+    for n in (105, 130, 320):
+        base = [rng.choice(words) for _ in range(n)]
+        for k in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, n // 30)):
+                w[rng.randrange(n)] = rng.choice(words)
+            made.append(" ".join(w))
+    rows = list(enumerate(made))
+    sizes = jaccard.Sizes(85)
+    sets = jaccard.Shingler(4).sets(made)
+    assert sum(any(t >= jaccard.WHOLE for t, _, _ in jaccard._entities(s, sizes)) for s in sets) > 20
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert found == brute_groups(rows, 4, 85)
+
+
+def test_hot_key_with_many_components(spark):
+    """Hundreds of variants share nearly all shingles; most link with none, some in chains that no original holds together."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    made = []
+    for k in range(150):  # each far from all others
+        w = list(base)
+        for at in rng.sample(range(0, 150, 5), 8):
+            w[at] = f"x{k}y{at}"
+        made.append(w)
+        if k % 3 == 0:  # a chain of near ones
+            for step in range(3):
+                w = list(w)
+                w[(step * 7 + 3) % 150] = f"z{k}s{step}"
+                made.append(w)
+    rows = list(enumerate(map(" ".join, made)))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    want = brute_groups(rows, 4, 85)
+    assert found == want and len({c for _, c in want.values()}) >= 100
+
+
+def test_words_are_hashed_by_windows(monkeypatch):
+    texts = ["one two three four five", "a" * 3000 + " b c d e f", "é " * 900, ""]
+    whole = jaccard.Shingler(4).sets(texts)
+    monkeypatch.setattr(jaccard, "WORD_BYTES", 16)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, jaccard.Shingler(4).sets(texts), strict=True))
+
+
+def test_clashing_columns_of_representatives(spark):
+    clash = spark.createDataFrame([(1, "a b c d e f g", 9, 8, 7, "x"), (2, "a b c d e f g", 9, 8, 7, "x")], "doc_id long, text string, id int, times int, row int, `__id` string")
+    kept = jaccard.representatives(clash)
+    assert kept.columns == clash.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f g", 9, 8, 7, "x")]
+
+
 def test_groups_odd_rows(odd):
     rows = jaccard.groups(odd).collect()
     assert len(rows) == len(odd_rows())

@@ -7,9 +7,11 @@ with label propagation over distributed tables.
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +33,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
-    The folder is the one in ``spark.checkpoint.dir``; a private folder is used only
-    where the session names none (tests on one machine).
+    The folder is the one in ``spark.checkpoint.dir``, which all executors share. Where none is
+    named, a session of one process (tests) gets a folder of its own, and a cluster an error:
+    a machine's folder would lose rows there.
     """
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of a task, after which the worker gives unused memory back: idle workers count for an executor."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def forget(df: DataFrame) -> DataFrame:
     """``cut`` without the size that Spark estimated for the frame, for loops.
 
@@ -80,7 +99,7 @@ def chunks(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         yield batch.slice(start)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), the least node.
 
     Minimum-label propagation with pointer jumping. Each round joins the edges to the
@@ -91,7 +110,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = forget(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = forget(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(rounds):
+    while True:  # every round lowers a label: it ends, after about the logarithm of the longest path
         seen = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node")).agg(F.min("label").alias("m"))
         hooked = forget(labels.join(seen, "node", "left").select("node", "label", F.least("label", "m").alias("near")))
         parent = labels.select(F.col("node").alias("near"), F.col("label").alias("up"))
@@ -100,4 +119,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

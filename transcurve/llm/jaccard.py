@@ -11,14 +11,19 @@ shingles, until the coverage is what the proof needs. Candidates are verified on
 sets.
 
 Frequencies are counted over all documents. To keep what is moved small, documents of
-one size tier are compared on the shingles of a hash range that surely holds a prefix
-(a document near a tier's edge takes part in both). A shingle that is frequent within
-one task's documents is counted there and only its count is sent.
-
-Candidates of a key are not paired with each other at once: a few times all meet one
-member, and what links becomes one component; then members of different components meet.
-Only pairs meet for which parity sketches of their whole sets leave a link possible. So
-large groups of copies cost their size, and no link between different sets is lost.
+one size tier are compared on the shingles of a hash range that nearly always holds a
+prefix (a document near a tier's edge takes part in both). Where the range holds too few
+of a set's shingles, the set is indexed a second time by all of them; one short set and
+one that isn't meet in the range, two short sets meet there. A shingle that is frequent
+within one task's documents is counted there and only its count is sent.
+
+Candidates of a key are not paired with each other at once. First all of a key meet the
+member with the fewest shingles of its own, the likely original of a group of copies,
+then some others; what links becomes one component, and keys with one component are
+done. Members that are still apart meet at last, a pair only under the first key that it
+shares, and only if sizes, shingles that no other set holds and parity sketches of the
+whole sets leave a link possible. So large groups of copies cost their size, and no link
+between different sets is lost.
 
 Null, blank and empty texts have the empty set and link with nothing. A null doc_id is
 never linked; its component is null. Repeated rows are members of one class; extra columns
@@ -42,14 +47,18 @@ FREQUENT = 16
 TIERS = ((0, 1), (100, 8), (300, 24), (1000, 48))
 #: Deviations by which a tier's smallest set is expected to hold more of the hash range than a prefix needs.
 SURE = 6.5
-#: Text bytes that are cut into shingles together, shingles that a task sends at once, and of a bucket.
-CHUNK_BYTES, SEND, BUCKET = 1 << 20, 1_000_000, 1_000_000
+#: Added to a tier's number for sets that are indexed by all their shingles.
+WHOLE = 1 << 16
+#: Text bytes that are cut into shingles together, bytes whose words are hashed together, shingles that a task sends at once, and of a bucket.
+CHUNK_BYTES, WORD_BYTES, SEND, BUCKET = 1 << 19, 1 << 19, 500_000, 1_000_000
 
 #: Longs of a set's parity sketch. The bits in which two sketches differ are at most the
 #: shingles that only one of the sets holds, so a pair that differs in too many can't link.
 SKETCH = 16
-#: Members of a key that all others meet before those that are left meet each other.
-PIVOTS = 3
+#: Members of a key that all others meet, by turn, before those that are left meet each other.
+PIVOTS = (1, 2, 4)
+#: A set's least open keys, by which a pair is met under its first shared key only, as far as they tell.
+FIRST_KEYS = 12
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULT = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
@@ -77,23 +86,25 @@ class Shingler:
         self.fold[65:91] += np.uint64(32)
         self.white = np.zeros(256, bool)
         self.white[[32, 9, 10, 11, 12, 13]] = True
-        self.powers = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
         self.base = np.uint64(0x2545F4914F6CDD1D)
-        self.unbase = np.uint64(pow(int(self.base), -1, 1 << 64))
 
     def _words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each word: a polynomial over its bytes, from one running sum."""
-        if len(self.powers) <= len(data):
-            n = max(len(data) + 1, 2 * len(self.powers))
-            step = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b, np.uint64))))
-            self.powers, self.inverse = step(self.base), step(self.unbase)
+        """Start and hash of each word: a polynomial over its bytes, a window of whole words at a time."""
         white = self.white[data]
         edge = np.flatnonzero(white[1:] != white[:-1]) + 1
         starts, ends = (edge[0::2], edge[1::2])  # data begins and ends with white space
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.fold[data] * self.powers[: len(data)], out=total[1:])
-        return starts, _mix((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
+        out = np.zeros(len(starts), np.uint64)
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + WORD_BYTES, "right")))
+            sizes = ends[i:j] - starts[i:j]
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+            power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(sizes.max()), self.base, np.uint64))))
+            letters = self.fold[data[place + np.repeat(starts[i:j], sizes)]] * power[place]
+            out[i:j] = np.add.reduceat(letters, first) + sizes.astype(np.uint64) * _ODD
+            i = j
+        return starts, _mix(out)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode() for t in texts]
@@ -145,7 +156,9 @@ class Sizes:
         return list(range(tier_of(self.least(n)), tier_of(n) + 1))
 
     def tier(self, t: int) -> tuple[float, int]:
-        """Share of the hash range and subclasses of a tier: the least share that surely holds a prefix."""
+        """Share of the hash range and subclasses of a tier: the least share that nearly always holds a prefix."""
+        if t >= WHOLE:
+            return 1.0, self.tier(t - WHOLE)[1]
         if t not in self.known:
             doubled = max(0, t - len(TIERS) + 1)
             n, classes = (x << doubled for x in TIERS[min(t, len(TIERS) - 1)])
@@ -165,15 +178,33 @@ def _entity(shingles: np.ndarray, t: int, sizes: Sizes) -> tuple[int, np.ndarray
     salted = _mix(shingles ^ _times(t + 1, _MULT[4]))
     inside = salted if share == 1.0 else salted[salted < np.uint64(int(share * 2.0**64))]
     # the range's own bits are the order's, not the buckets': mix again
-    return _class(shingles, t + 1), _mix(inside + _ODD)
+    return _name(shingles, t + 1), _mix(inside + _ODD)
+
+
+def _entities(shingles: np.ndarray, sizes: Sizes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Tier, identity and shingles in the tier's range, for each tier in which a set is indexed."""
+    n = len(shingles)
+    if sizes.alone(n):
+        return
+    for t in sizes.tiers(n):
+        e, inside = _entity(shingles, t, sizes)
+        yield t, e, inside
+        share, classes = sizes.tier(t)
+        if share < 1.0 and len(np.unique(inside & TOLD_APART)) < n - sizes.least(n) + 1 + classes:
+            yield t + WHOLE, *_entity(shingles, t + WHOLE, sizes)
 
 
-def _class(shingles: np.ndarray, salt: int = 0) -> int:
+def _name(shingles: np.ndarray, salt: int = 0) -> int:
     place = np.arange(1, len(shingles) + 1, dtype=np.uint64)
     x = _mix(shingles * _MULT[2] + place * _MULT[3] + _times(salt, _MULT[5]))
     return int(_mix(x.sum(dtype=np.uint64, keepdims=True) + _times(len(shingles), _ODD))[0].view(np.int64))
 
 
+def _class(shingles: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return np.array([_name(shingles), _name(shingles, -1)], np.int64).tobytes()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -187,17 +218,16 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
 
 def _members(docs: DataFrame, size: int, sizes: Sizes) -> DataFrame:
     """doc_id, class, n_shingles and the entities (id, shingles in its range) of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("entities", pa.list_(pa.struct([("e", pa.int64()), ("inside", pa.int64()), ("t", pa.int32())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n", pa.int64()), ("entities", pa.list_(pa.struct([("e", pa.int64()), ("inside", pa.int64()), ("t", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, size):
             rows = []
             for s in sets:
-                found = [(t, *_entity(s, t, sizes)) for t in sizes.tiers(len(s))] if not sizes.alone(len(s)) else []
-                rows.append([{"e": e, "inside": len(np.unique(inside & TOLD_APART)), "t": t} for t, e, inside in found])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, schema.field("entities").type)], schema=schema)
+                rows.append([{"e": e, "inside": len(np.unique(inside & TOLD_APART)), "t": t} for t, e, inside in _entities(s, sizes)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_class(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, schema.field("entities").type)], schema=schema)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, class long, n long, entities array<struct<e:long,inside:long,t:int>>")
+    return _texts(docs).mapInArrow(common.tidy(run), "doc_id long, class binary, n long, entities array<struct<e:long,inside:long,t:int>>")
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -243,10 +273,7 @@ def _send(docs: DataFrame, size: int, sizes: Sizes, buckets: int) -> DataFrame:
         n = 0
         for _, sets in _sets(batches, size):
             for s in sets:
-                if sizes.alone(len(s)):
-                    continue
-                for t in sizes.tiers(len(s)):
-                    e, inside = _entity(s, t, sizes)
+                for _, e, inside in _entities(s, sizes):
                     if e not in seen:
                         seen.add(e)
                         held.append((e, inside))
@@ -259,7 +286,7 @@ def _send(docs: DataFrame, size: int, sizes: Sizes, buckets: int) -> DataFrame:
         if n:
             yield flush(held)
 
-    return _texts(docs).where("doc_id is not null").mapInArrow(run, "bucket int, shingles binary, entities binary, told binary, to_shingles binary, to_entities binary")
+    return _texts(docs).where("doc_id is not null").mapInArrow(common.tidy(run), "bucket int, shingles binary, entities binary, told binary, to_shingles binary, to_entities binary")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -315,7 +342,7 @@ def _count(sent: DataFrame, buckets: int) -> DataFrame:
             if len(parts):
                 yield pa.RecordBatch.from_arrays([pa.array(goes.astype(np.int32)), *[pa.array([_blob(x[p]) for p in parts], pa.binary()) for x in (tokens, owner, each)]], schema=schema)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "to int, shingles binary, entities binary, times binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(common.tidy(run), "to int, shingles binary, entities binary, times binary")
 
 
 def keys_of(n: int, inside: int, shingles: np.ndarray, times: np.ndarray, t: int, sizes: Sizes) -> np.ndarray:
@@ -346,8 +373,8 @@ def keys_of(n: int, inside: int, shingles: np.ndarray, times: np.ndarray, t: int
 
 
 def _keys(counted: DataFrame, entities: DataFrame, buckets: int, sizes: Sizes) -> DataFrame:
-    """key, e, n of every index key."""
-    schema = pa.schema([("key", pa.int64()), ("e", pa.int64()), ("n", pa.int64())])
+    """key, e, n and u, the number of shingles that no other set is known to hold, of every index key."""
+    schema = pa.schema([("key", pa.int64()), ("e", pa.int64()), ("n", pa.int64()), ("u", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "to"):
@@ -357,22 +384,23 @@ def _keys(counted: DataFrame, entities: DataFrame, buckets: int, sizes: Sizes) -
             order = np.argsort(owner, kind="stable")
             tokens, owner, times = tokens[order], owner[order], times[order]
             lo, hi = np.searchsorted(owner, e), np.searchsorted(owner, e, "right")
-            out_key, out_at = [], []
+            out_key, out_at, out_own = [], [], []
             for i in np.flatnonzero(hi > lo):
                 part = slice(lo[i], hi[i])
                 mine, first = np.unique(tokens[part], return_index=True)  # a set sent by several tasks
                 keys = keys_of(int(n[i]), int(inside[i]), mine, times[part][first], int(tiers[i]), sizes)
                 out_key.append(keys)
                 out_at.append(np.full(len(keys), i))
+                out_own.append(np.full(len(keys), int(inside[i]) - len(mine)))
             if out_key:
                 at = np.concatenate(out_at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key).view(np.int64)), pa.array(e[at]), pa.array(n[at])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key).view(np.int64)), pa.array(e[at]), pa.array(n[at]), pa.array(np.concatenate(out_own))], schema=schema)
 
     nothing = F.lit(None).cast("binary")
     meta = entities.select(F.expr(f"e & {buckets - 1}L").cast("int").alias("to"), "e", "n", "inside", "t", nothing.alias("shingles"), nothing.alias("entities"), nothing.alias("times"))
     none = F.lit(None).cast("long")
     rows = meta.unionByName(counted.select("to", none.alias("e"), none.alias("n"), none.alias("inside"), F.lit(None).cast("int").alias("t"), "shingles", "entities", "times"))
-    return rows.repartition("to").sortWithinPartitions("to").mapInArrow(run, "key long, e long, n long")
+    return rows.repartition("to").sortWithinPartitions("to").mapInArrow(common.tidy(run), "key long, e long, n long, u long")
 
 
 def _sketch(shingles: np.ndarray) -> list[int]:
@@ -390,8 +418,10 @@ def _may_link(percent: int, both: F.Column) -> F.Column:
     return (100 + percent) * apart <= (100 - percent) * both
 
 
-def _fits(a: str, b: str, percent: int) -> F.Column:
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def _fits(percent: int) -> F.Column:
+    """Whether sizes and shingles that one set alone holds leave a link of (n, u) and (n2, u2) possible."""
+    sizes = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    return sizes & ((100 + percent) * F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")) >= percent * (F.col("n") + F.col("n2")))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -408,8 +438,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common_ >= percent * (len(both) - common_))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left, right = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(common.tidy(run), "a long, b long")
 
 
 def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
@@ -420,67 +450,83 @@ def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
     return common.forget(parts.join(now, F.col("part") == F.col("node"), "left").select("pc", F.coalesce("now", "part").alias("part")))
 
 
+def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cid, shingles and sketch of the classes in ``wanted`` (id, class, cid), from the text of one of their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _sets(batches, size):
+            rows = pa.RecordBatch.from_pydict({"cid": part.column("cid"), "shingles": pa.array([_blob(s) for s in sets], pa.binary()), "sketch": pa.array([_sketch(s) for s in sets], pa.list_(pa.int64()))})
+            # a repeated doc_id can have several texts
+            yield rows.filter(pa.compute.equal(pa.array([_class(s) for s in sets], pa.binary()), part.column("want")))
+
+    held = _texts(docs).join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("text", F.col("class").alias("want"), "cid")
+    return held.mapInArrow(common.tidy(run), "cid long, shingles binary, sketch array<long>").groupBy("cid").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+
+
+def _pivots(open_: DataFrame, turn: int) -> DataFrame:
+    """A few members of each key: k, c2, n2, u2, p2. Keys of the same members have the same ones."""
+    member = F.struct("cid", "n", "u", "part")
+    if turn == 0:
+        picked = [F.min_by(member, F.struct("u", F.xxhash64(F.lit(0), "cid")))]
+    else:
+        picked = [F.min_by(member, F.xxhash64(F.lit(turn), F.lit(i), "cid")) for i in range(PIVOTS[turn])]
+    found = open_.groupBy("key").agg(*[x.alias(f"x{i}") for i, x in enumerate(picked)])
+    found = found.select(F.col("key").alias("k"), F.explode(F.array_distinct(F.array(*[f"x{i}" for i in range(len(picked))]))).alias("x"))
+    return found.select("k", F.col("x.cid").alias("c2"), F.col("x.n").alias("n2"), F.col("x.u").alias("u2"), F.col("x.part").alias("p2"))
+
+
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links) of every document."""
     sizes = Sizes(percent)
     members = common.forget(_members(docs, size, sizes))
-    classes = common.forget(members.where("doc_id is not null").groupBy("class", "n").agg(F.min("doc_id").alias("rep"), F.first("entities").alias("entities")))
+    classes = members.where("doc_id is not null").groupBy("class", "n").agg(F.min("doc_id").alias("rep"), F.first("entities").alias("entities"))
+    classes = common.forget(classes.withColumn("cid", F.monotonically_increasing_id()))
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(6, (total // (2 * BUCKET)).bit_length())
-    entities = common.forget(classes.select("class", "n", F.explode("entities").alias("x")).select("class", "n", F.col("x.e").alias("e"), F.col("x.inside").alias("inside"), F.col("x.t").alias("t")))
+    entities = common.forget(classes.select("cid", "n", F.explode("entities").alias("x")).select("cid", "n", F.col("x.e").alias("e"), F.col("x.inside").alias("inside"), F.col("x.t").alias("t")))
     common.release(docs.sparkSession)
     counted = _count(_send(docs, size, sizes, buckets), buckets)
     keys = common.forget(_keys(counted, entities, buckets, sizes))
     several = common.forget(keys.groupBy("key").agg(F.min("e").alias("least"), F.max("e").alias("most")).where("least <> most").select(F.col("key").alias("k")))
-    keys = common.forget(keys.join(several, F.col("key") == F.col("k"), "left_semi"))
-
-    # whole sets of the classes that have candidates
-    wanted = keys.select("e").distinct().join(entities.select(F.col("e").alias("id"), "class"), F.col("e") == F.col("id")).select("class", "e")
-    wanted = common.forget(wanted)
-    reps = classes.join(wanted.select(F.col("class").alias("c")).distinct(), F.col("class") == F.col("c"), "left_semi").select(F.col("rep").alias("id"), F.col("class").alias("want")).distinct()
+    keys = keys.join(several, F.col("key") == F.col("k"), "left_semi")
+    open_ = common.forget(keys.join(entities.select(F.col("e").alias("w"), "cid"), F.col("e") == F.col("w")).select("key", "cid", "n", "u", F.col("cid").alias("part")))
+    parts = common.forget(open_.select(F.col("cid").alias("pc")).distinct().withColumn("part", F.col("pc")))
+    wanted = classes.join(parts.select("pc"), F.col("cid") == F.col("pc"), "left_semi").select(F.col("rep").alias("id"), "class", "cid")
+    sets = common.forget(_whole_sets(docs, wanted, size))
+    common.release(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets_ in _sets(batches, size):
-            own = pa.array([_class(s) for s in sets_], pa.int64())
-            rows = pa.RecordBatch.from_pydict({"class": own, "shingles": pa.array([_blob(s) for s in sets_], pa.binary()), "sketch": pa.array([_sketch(s) for s in sets_], pa.list_(pa.int64()))})
-            yield rows.filter(pa.compute.equal(own, part.column("want")))  # a repeated doc_id can have several texts
-
-    held = _texts(docs).join(reps.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("text", "want")
-    sets = common.forget(held.mapInArrow(run, "class long, shingles binary, sketch array<long>").groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")))
-
-    named = wanted.select(F.col("e").alias("w"), "class")
-    open_ = common.forget(keys.join(named, F.col("e") == F.col("w")).select("key", "class", "n", F.col("class").alias("part")))
-    sketched = lambda letter, name: sets.select(F.col("class").alias(name), *[F.col("sketch")[i].alias(f"{letter}{i}") for i in range(SKETCH)])
-    apart = (F.col("part") != F.col("p2")) & _fits("n", "n2", percent)
-    pair = [F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")]
-    parts = common.forget(wanted.select("class").distinct().select(F.col("class").alias("pc"), F.col("class").alias("part")))
+    sketched = lambda letter, name: sets.select(F.col("cid").alias(name), *[F.col("sketch")[i].alias(f"{letter}{i}") for i in range(SKETCH)])
+    apart = (F.col("part") != F.col("p2")) & _fits(percent)
+    pair = [F.least("cid", "c2").alias("a"), F.greatest("cid", "c2").alias("b")]
     seen = None
-    for turn in range(PIVOTS + 1):
-        common.release(docs.sparkSession)
-        if turn < PIVOTS:  # every member of a key meets one of them, the same in keys of the same members
-            pivot = open_.groupBy("key").agg(F.min_by(F.struct("class", "n", "part"), F.xxhash64(F.lit(turn), "class")).alias("x"))
-            pivot = common.forget(pivot.select(F.col("key").alias("k"), F.col("x.class").alias("c2"), F.col("x.n").alias("n2"), F.col("x.part").alias("p2")))
+    for turn in range(len(PIVOTS) + 1):
+        if turn < len(PIVOTS):
+            pivot = common.forget(_pivots(open_, turn))
             pairs = open_.join(pivot, (F.col("key") == F.col("k")) & apart).select(*pair, (F.col("n") + F.col("n2")).alias("n")).distinct()
             pairs = pairs.join(sketched("a", "s1"), F.col("a") == F.col("s1")).join(sketched("b", "s2"), F.col("b") == F.col("s2")).where(_may_link(percent, F.col("n"))).select("a", "b")
-        else:  # members of different components, where there are any left, meet each other
-            left = common.forget(open_.join(sketched("a", "s1"), F.col("class") == F.col("s1")).drop("s1"))
-            right = left.select(F.col("key").alias("k"), F.col("class").alias("c2"), F.col("n").alias("n2"), F.col("part").alias("p2"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(SKETCH)])
-            pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("class") < F.col("c2")) & apart & _may_link(percent, F.col("n") + F.col("n2"))).select(*pair).distinct()
+        else:  # members of different components, where there are any left, meet each other under their first shared key
+            first = open_.groupBy(F.col("cid").alias("fc")).agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("first"))
+            left = open_.join(sketched("a", "s1"), F.col("cid") == F.col("s1")).join(first, F.col("cid") == F.col("fc")).drop("s1", "fc")
+            left = common.forget(left)
+            right = left.select(F.col("key").alias("k"), F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("part").alias("p2"), F.col("first").alias("first2"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(SKETCH)])
+            earliest = F.coalesce(F.array_min(F.array_intersect("first", "first2")), F.col("key")) >= F.col("key")
+            pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("cid") < F.col("c2")) & apart & _may_link(percent, F.col("n") + F.col("n2")) & earliest).select(*pair).distinct()
         pairs = common.forget(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         if turn and not pairs.limit(1).count():
             continue  # another member, or all that are left, may still find some
         found = common.forget(_verify(pairs, sets, percent))
         seen = pairs if seen is None else seen.unionByName(pairs)
         parts = _merged(parts, found)
-        if turn == PIVOTS:
+        if turn == len(PIVOTS):
             break
-        open_ = open_.drop("part").join(parts, F.col("class") == F.col("pc")).drop("pc")
+        open_ = open_.drop("part").join(parts, F.col("cid") == F.col("pc")).drop("pc")
         mixed = open_.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
         open_ = common.forget(open_.join(common.forget(mixed), F.col("key") == F.col("k"), "left_semi"))
+        common.release(docs.sparkSession)
         if not open_.limit(1).count():
             break
 
-    owned = classes.join(parts, F.col("class") == F.col("pc"), "left").select("class", "n", "rep", F.coalesce("part", "class").alias("part"))
+    owned = classes.join(parts, F.col("cid") == F.col("pc"), "left").select("class", "n", "rep", F.coalesce("part", "cid").alias("part"))
     owned = common.forget(owned)
     least = common.forget(owned.groupBy("part").agg(F.min("rep").alias("component_id")).select(F.col("part").alias("p"), "component_id"))
     owned = common.forget(owned.join(least, F.col("part") == F.col("p")).select(F.col("class").alias("c"), F.col("n").alias("cn"), "component_id"))
@@ -495,13 +541,15 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Rows with a null doc_id stay. Of rows that repeat a doc_id the one with the least text stays.
     """
     found = groups(docs, size, percent).select("doc_id", "component_id")
-    kept = common.forget(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times")))
-    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").where("__id is not null or doc_id is null")
-    if kept.where("__times > 1").limit(1).count():  # repeated ids: the rows of one id, not of a group, meet here
-        order = Window.partitionBy("doc_id").orderBy("text")
-        once, again = (rows.where(c) for c in ("coalesce(__times, 1) = 1", "__times > 1"))
-        rows = once.unionByName(again.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place"))
-    return rows.select(*docs.columns)
+    kept = common.forget(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("times")))
+    # columns of the table travel in a struct of their own: no name clashes
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("doc", F.col("row.doc_id").cast("long"))
+    rows = rows.join(kept.hint("shuffle_hash"), F.col("doc") == F.col("id"), "left").where("id is not null or doc is null")
+    if kept.where("times > 1").limit(1).count():  # repeated ids: the rows of one id, not of a group, meet here
+        order = Window.partitionBy("doc").orderBy("row.text")
+        once, again = (rows.where(c) for c in ("coalesce(times, 1) = 1", "times > 1"))
+        rows = once.unionByName(again.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place"))
+    return rows.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
