@@ -86,23 +86,31 @@ class Shingler:
         self.fold[65:91] += np.uint64(32)
         self.white = np.zeros(256, bool)
         self.white[[32, 9, 10, 11, 12, 13]] = True
-        self.base = np.uint64(0x2545F4914F6CDD1D)
+        self.powers, self.inverse = self._powers(WORD_BYTES)
+
+    @staticmethod
+    def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first powers of an odd number and of its inverse modulo 2**64."""
+        base = 0x2545F4914F6CDD1D
+        step = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64))))
+        return step(np.uint64(base)), step(np.uint64(pow(base, -1, 1 << 64)))
 
     def _words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each word: a polynomial over its bytes, a window of whole words at a time."""
+        """Start and hash of each word: a polynomial over its bytes, from one running sum over a window of whole words."""
         white = self.white[data]
         edge = np.flatnonzero(white[1:] != white[:-1]) + 1
         starts, ends = (edge[0::2], edge[1::2])  # data begins and ends with white space
         out = np.zeros(len(starts), np.uint64)
         i = 0
         while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + WORD_BYTES, "right")))
-            sizes = ends[i:j] - starts[i:j]
-            first = np.cumsum(sizes) - sizes
-            place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-            power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(sizes.max()), self.base, np.uint64))))
-            letters = self.fold[data[place + np.repeat(starts[i:j], sizes)]] * power[place]
-            out[i:j] = np.add.reduceat(letters, first) + sizes.astype(np.uint64) * _ODD
+            at = starts[i]
+            j = max(i + 1, int(np.searchsorted(ends, at + WORD_BYTES, "right")))
+            n = int(ends[j - 1] - at)
+            powers, inverse = (self.powers, self.inverse) if n <= WORD_BYTES else self._powers(n)  # one very long word
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.fold[data[at : at + n]] * powers[:n], out=total[1:])
+            a, b = starts[i:j] - at, ends[i:j] - at
+            out[i:j] = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * _ODD
             i = j
         return starts, _mix(out)
 
