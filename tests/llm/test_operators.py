@@ -473,10 +473,19 @@ def test_ids_equal_the_library(encoder, texts):
     made = ["".join(rng.choice("aeioutnhrs éß\n\t  😀019,.!'<|ſKⅣ½　") for _ in range(rng.randint(0, 50))) for _ in range(3000)]
     made += ["", "<|endoftext|>", "a" * 5000, *[t or "" for t in texts.values()]]
     found = encoder.encode_many(made)
-    assert found == [lib.encode_ordinary(t) for t in made]
+    assert [ids.tolist() for ids in found] == [lib.encode_ordinary(t) for t in made]
     assert all(encoder.decode(ids).decode() == t for ids, t in zip(found, made, strict=True))
 
 
+def test_small_memo_and_long_text(encoder, monkeypatch):
+    rng = random.Random(4)
+    made = ["".join(rng.choice("aeiou nhrs") for _ in range(4000)) for _ in range(4)]
+    want = [ids.tolist() for ids in bpe.Bpe(encoder.vocab, table=encoder.table).encode_many(made)]
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 3000)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1000)  # longer texts are split as they are read
+    assert [ids.tolist() for ids in bpe.Bpe(encoder.vocab, table=encoder.table).encode_many(made)] == want
+
+
 def test_token_frames(odd):
     vocab = bpe.vocabulary()
     ids = bpe.encode(odd, vocab)

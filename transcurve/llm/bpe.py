@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import public_tokenizers
@@ -33,9 +34,9 @@ FAST = {public_tokenizers.PATTERN: r"""(?: ?\p{L}++)|(?: ?\p{N}++)|'s|'t|'re|'ve
 #: Keys of a bucket of the perfect hash, on average.
 BUCKET_KEYS = 4
 #: Text bytes whose distinct pre-tokens are resolved together.
-CHUNK_BYTES = 4 << 20
-#: Encoded words that a task remembers; the memo starts anew beyond it, results don't change.
-MEMO = 400_000
+CHUNK_BYTES = 1 << 20
+#: Bytes of merged words and their ids in a generation of a task's memo, of which there are two; results don't depend on it.
+MEMO_BYTES, ENTRY_BYTES = 16 << 20, 200
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -115,14 +116,20 @@ class Bpe:
     """Encoder and decoder for one vocabulary; ids are ranks."""
 
     def __init__(self, vocab: list[bytes], pattern: str = public_tokenizers.PATTERN, table: PerfectHash | None = None):
-        self.vocab, self.split = vocab, regex.compile(FAST.get(pattern, pattern)).findall
+        self.vocab, self.pattern = vocab, regex.compile(FAST.get(pattern, pattern))
         self.table = table or PerfectHash(vocab)
         self.rank = {t: i for i, t in enumerate(vocab)}  # of merged pairs, for the heap
         # rank of each pair of bytes, -1 where they never merge
-        self.byte_pairs = [self.rank.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.byte_pairs = array("i", (self.rank.get(bytes((a, b)), -1) for a in range(256) for b in range(256)))
+        self.memo: dict[bytes, array] = {}
+        self.older: dict[bytes, array] = {}
+        self.memo_bytes = 0
 
-    def merge(self, word: bytes) -> tuple[int, ...]:
+    def split(self, text: str) -> Iterable[str]:
+        """Pre-tokens of a text; those of a very long one are not all held at once."""
+        return self.pattern.findall(text) if len(text) <= CHUNK_BYTES else (m[0] for m in self.pattern.finditer(text))
+
+    def merge(self, word: bytes) -> array:
         """Ids of bytes that aren't a vocabulary entry: always merge the leftmost pair of least rank.
 
         A heap entry is a rank and the place of the pair's left part; it is stale, and
@@ -150,38 +157,53 @@ class Bpe:
                     heappush(heap, r << 32 | i)
             if (p := prev[i]) >= 0 and (r := rank(word[p:k])) is not None:
                 heappush(heap, r << 32 | p)
-        out, i = [], 0
+        out, i = array("i"), 0
         while i < n:
             j = nxt[i]
             out.append(self.rank[word[i:j]])
             i = j
-        return tuple(out)
+        return out
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct pre-tokens."""
+    def encode_words(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens, one after the other, and where each pre-token's begin."""
         raw = [w.encode() for w in words]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        out: list[tuple[int, ...]] = []
-        for w, b, i in zip(words, raw, self.table.find(raw), strict=True):
+        flat, ends = array("i"), np.zeros(len(raw) + 1, np.int64)
+        for k, (b, i) in enumerate(zip(raw, self.table.find(raw), strict=True)):
             if i >= 0:
-                out.append((i,))
+                flat.append(i)
             else:
-                if (ids := memo.get(w)) is None:
-                    ids = memo[w] = self.merge(b)
-                out.append(ids)
-        return out
-
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
+                if (ids := self.memo.get(b)) is None:
+                    ids = self.older.get(b) or self.merge(b)
+                    self.memo_bytes += ENTRY_BYTES + len(b) + 4 * len(ids)
+                    if self.memo_bytes > MEMO_BYTES:
+                        self.older, self.memo, self.memo_bytes = self.memo, {}, 0
+                    self.memo[b] = ids
+                flat.extend(ids)
+            ends[k + 1] = len(flat)
+        return np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32), ends
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
         code: dict[str, int] = defaultdict(count().__next__)
-        cuts = [list(map(code.__getitem__, self.split(t))) for t in texts]
-        ids = self.encode_words(list(code))
-        return [list(chain.from_iterable(map(ids.__getitem__, c))) for c in cuts]
+        cuts = [np.fromiter(map(code.__getitem__, self.split(t)), np.int32) for t in texts]
+        flat, starts = self.encode_words(code)
+        sizes = np.diff(starts)
+        out = []
+        for c in cuts:
+            n = sizes[c]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            out.append(flat[np.arange(total) + np.repeat(starts[c] - ends + n, n)])
+        return out
+
+    def decode(self, ids: Sequence[int] | np.ndarray) -> bytes:
+        return b"".join(map(self.vocab.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Rows of ids as one Arrow array."""
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
 def _encode_batches(vocab: list[bytes], pattern: str, make: Callable[[Bpe, list[str]], dict[str, pa.Array]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -195,14 +217,14 @@ def _encode_batches(vocab: list[bytes], pattern: str, make: Callable[[Bpe, list[
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | make(bpe, texts))
 
-    return run
+    return common.tidy(run)
 
 
 def encode(docs: DataFrame, vocab: list[bytes], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array<int>) of every text."""
 
     def make(bpe: Bpe, texts: list[str]) -> dict[str, pa.Array]:
-        return {"ids": pa.array(bpe.encode_many(texts), pa.list_(pa.int32()))}
+        return {"ids": _lists(bpe.encode_many(texts))}
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode_batches(vocab, pattern, make), "doc_id long, ids array<int>")
 
@@ -226,7 +248,7 @@ def round_trip(docs: DataFrame, vocab: list[bytes], pattern: str = public_tokeni
         decimal = bpe.__dict__.setdefault("decimal", [str(i) for i in range(len(bpe.vocab))])
         return {
             "n_tokens": pa.array(list(map(len, found)), pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest() for ids in found], pa.string()),
+            "ids_sha256": pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest() for ids in found], pa.string()),
             "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in found], pa.string()),
         }
 
@@ -249,7 +271,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def make(bpe: Bpe, texts: list[str]) -> dict[str, pa.Array]:
         found = bpe.encode_many(texts)
         return {
-            "ids": pa.array(found, pa.list_(pa.int32())),
+            "ids": _lists(found),
             "n_tokens": pa.array(list(map(len, found)), pa.int64()),
             "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in found], pa.string()),
         }
