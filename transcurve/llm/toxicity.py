@@ -1,8 +1,8 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes scaled features.
 
 Features are the presence of hashed character n-grams of the folded text (lower case,
-everything but letters and digits as a space). Each feature is scaled by its log-count
-ratio between toxic and clean documents; a logistic regression is fitted on the scaled
+everything but letters and digits as a space): all whose log-count ratio between toxic
+and clean documents is significant (``STRENGTH``). Each is scaled by that ratio; a logistic regression is fitted on the scaled
 features. Fitting reads a bounded sample of labelled rows (``per_class``); scoring is
 one pass over every whole text, in numpy.
 
@@ -25,15 +25,18 @@ from pyspark.sql import functions as F
 
 from transcurve.llm import common
 
-#: Lengths of the n-grams, bits of the hash, features kept.
-ORDERS, BITS, FEATURES = (4, 5, 6), 22, 8192
+#: Lengths of the n-grams, bits of the hash.
+ORDERS, BITS = (4, 5, 6), 22
+#: Standard errors by which an n-gram's log-count ratio must differ from 0 to be a feature; half the
+#: strongest n-gram's, where few labels leave that one below twice as many.
+STRENGTH = 4.0
 #: Labelled documents of each class that the fit reads at most: clean, toxic.
 PER_CLASS = (3000, 1500)
 #: Smoothing of the counts, strength of the penalty, steps of the fit.
 ALPHA, PENALTY, STEPS = 1.0, 1e-4, 300
 #: Code points with a case or class that folding looks up; those beyond stand for themselves.
 FOLDED = 0x3000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _fold_table() -> np.ndarray:
@@ -75,7 +78,7 @@ class Model:
     intercept: float
 
     def scorer(self) -> Callable[[list[str]], np.ndarray]:
-        slot = np.zeros(1 << BITS, np.int16)
+        slot = np.zeros(1 << BITS, np.int32)
         slot[self.buckets] = np.arange(1, len(self.buckets) + 1)
         table, weights = _fold_table(), np.concatenate(([0.0], self.weights))
 
@@ -89,16 +92,16 @@ class Model:
                 at = np.flatnonzero(found)
                 doc = np.searchsorted(ends, at, "right")
                 inside = at + n <= ends[doc]  # n-grams don't run on into the next text
-                pairs.append(doc[inside] << 16 | found[at[inside]])
+                pairs.append(doc[inside] << 32 | found[at[inside]])
             pair = np.unique(np.concatenate(pairs))  # presence, not counts
-            z = np.bincount(pair >> 16, weights[pair & 0xFFFF], len(texts)) + self.intercept
+            z = np.bincount(pair >> 32, weights[pair & 0xFFFFFFFF], len(texts)) + self.intercept
             return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
         return score
 
 
-def fit(texts: list[str], labels: list[int], share: float | None = None) -> Model | None:
-    """A model of labelled texts; ``share`` is the share of label 1 outside the sample, if it differs."""
+def fit(texts: list[str], labels: list[int]) -> Model | None:
+    """A model of labelled texts."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return None
@@ -113,9 +116,9 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
     seen = np.flatnonzero(counts[0] + counts[1] > 1).astype(np.int32)
     ratio = np.log(a / (y.sum() + 2 * ALPHA)) - np.log(b / ((1 - y).sum() + 2 * ALPHA))
     strength = np.abs(ratio) / np.sqrt(1 / a + 1 / b)
-    best = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    buckets, ratio = seen[best], ratio[best]
-    slot = np.full(1 << BITS, -1, np.int16)
+    strong = strength >= min(STRENGTH, strength.max(initial=0.0) / 2)
+    buckets, ratio = seen[strong], ratio[strong]
+    slot = np.full(1 << BITS, -1, np.int32)
     slot[buckets] = np.arange(len(buckets))
     cols = [c[c >= 0] for c in (slot[d] for d in docs)]
     col, row = np.concatenate(cols).astype(np.int64), np.repeat(np.arange(len(cols)), [len(c) for c in cols])
@@ -131,9 +134,6 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         u, ubias = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - bias)
         w, bias, t = w2, b2, t2
-    if share:
-        odds = lambda p: np.log(p / (1 - p))
-        bias += odds(min(max(share, 1e-6), 1 - 1e-6)) - odds(y.mean())
     return Model(buckets, w * ratio, float(bias))
 
 
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(s, pa.float64()), "predicted": pa.array((s >= 0.5).astype(np.int32))})
 
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int"
+        common.tidy(run), "doc_id long, held_out boolean, score double, predicted int"
     )
 
 
@@ -189,7 +189,7 @@ def reject(docs: DataFrame, model: Model | None) -> DataFrame:
         for part, s in _scored(model, batches):
             yield part.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
