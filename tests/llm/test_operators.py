@@ -147,6 +147,44 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.reject(odd, none).count() == len(odd_rows())
 
 
+def test_fit_is_the_optimum_by_dicts():
+    """Features, log-count ratios, the objective's gradient and scores, all with dicts."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) + (" Vexlor!" if k % 3 == 0 else "") for k in range(90)]
+    y = [int(k % 3 == 0) for k in range(90)]
+    model = toxicity.fit(texts, y)
+
+    def features(text):
+        folded = " " + "".join(c if c.isalnum() else " " for c in text.lower()) + " "
+        out = set()
+        for n in toxicity.ORDERS:
+            for k in range(len(folded) - n + 1):
+                h = ord(folded[k])
+                for c in folded[k + 1 : k + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                out.add((h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS))
+        return out
+
+    found = [features(t) for t in texts]
+    counts = [collections.Counter(f for fs, k in zip(found, y, strict=True) if k == c for f in fs) for c in (0, 1)]
+    ratio, strength = {}, {}
+    for f in set(counts[0]) | set(counts[1]):
+        a, b = counts[1][f] + 1, counts[0][f] + 1
+        if counts[0][f] + counts[1][f] > 1:
+            ratio[f] = np.log(a / (sum(y) + 2)) - np.log(b / (len(y) - sum(y) + 2))
+            strength[f] = abs(ratio[f]) / np.sqrt(1 / a + 1 / b)
+    least = min(toxicity.STRENGTH, max(strength.values()) / 2)
+    weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    assert set(weights) == {f for f, s in strength.items() if s >= least}
+    z = [model.intercept + sum(weights.get(f, 0) for f in fs) for fs in found]
+    p = [1 / (1 + np.exp(-v)) for v in z]
+    assert model.scorer()(texts) == pytest.approx(p)
+    for f in weights:  # the slope of the penalised loss in the feature's own weight
+        slope = sum((q - k) * ratio[f] for fs, q, k in zip(found, p, y, strict=True) if f in fs) / len(y)
+        assert abs(slope + toxicity.PENALTY * weights[f] / ratio[f]) < 2e-3
+
+
 # -- mixing
 def test_targets():
     assert mixing.targets([100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
@@ -157,10 +195,14 @@ def test_targets():
 
 def test_splitting_tree_is_exact_and_fair():
     quotas = [1000, 10, 0, 333]
-    t = mixing.split_tree(quotas, 7, 1)
+    tree = lambda *a: np.array([have for _, _, have in mixing.split_tree(*a)])
+    t = tree(quotas, 7, 1)
+    firsts = np.array([first for _, first, _ in mixing.split_tree(quotas, 7, 1)])
+    assert (firsts == np.cumsum(t, axis=0) - t).all()  # runs follow each other
+    assert (t[2:5] == tree(quotas, 7, 1, 2, 5)).all()  # a part of the tree, grown apart
     assert t.sum(axis=0).tolist() == quotas and (t >= 0).all() and np.ptp(t.sum(axis=1)) <= 2
-    assert (t == mixing.split_tree(quotas, 7, 1)).all()
-    mean = np.mean([mixing.split_tree([40, 60], 4, s)[0] for s in range(400)], axis=0)
+    assert (t == tree(quotas, 7, 1)).all()
+    mean = np.mean([tree([40, 60], 4, s)[0] for s in range(400)], axis=0)
     assert mean == pytest.approx([10, 15], abs=0.6)
 
 
@@ -181,7 +223,7 @@ def test_fill_is_near():
 
 def test_mix(docs, texts):
     m = mixing.Mix(docs)
-    rows = m.shards(m.sized, 5).select("row.doc_id", "source", "size", "source_size", "target", "copies", "shards", "block").collect()
+    rows = m.shards(m.sized, 5).select("row.doc_id", "source", "size", "source_size", "target", "copies", "shards").collect()
     assert {r.doc_id: r.size for r in rows} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts.items()}
     by = collections.defaultdict(list)
     for r in rows:
@@ -195,6 +237,49 @@ def test_mix(docs, texts):
     assert {r.doc_id: r.copies for r in rows} == {r.doc_id: r.copies for r in again.taken(again.sized).select("row.doc_id", "copies").collect()}
 
 
+@pytest.mark.parametrize("digit", [12, 2])
+def test_mix_equals_plain_version(docs, monkeypatch, digit):
+    """Blocks taken in order, the boundary block filled, every block's draws dealt by the tree, all in plain Python."""
+    monkeypatch.setattr(mixing, "DIGIT", digit)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    m = mixing.Mix(docs)
+    rows = m._placed(m.sized).select("row.doc_id", "sid", "source_size", "target", "bits", "slot", "key", "size").collect()
+    copies, quotas, blocks = collections.Counter(), {}, {}
+    for sid in sorted({r.sid for r in rows}):
+        mine = [r for r in rows if r.sid == sid]
+        total = sum(r.size for r in mine)
+        want = min(round(mine[0].target), 3 * total)
+        passes, rest = divmod(want, total)
+        per = collections.Counter()
+        for r in mine:
+            per[r.slot] += r.size
+            copies[r.doc_id] += passes if r.size else 0
+        n, edge = 1 << mine[0].bits, 0
+        while rest >= per[edge] and edge < n - 1:
+            rest -= per[edge]
+            edge += 1
+        times = max(1, min(2, 3 - passes))
+        keys = collections.Counter()
+        for r in mine:
+            if r.slot == edge and r.size:
+                keys[r.key] += r.size
+        picked = mixing.fill(sorted(keys.items()), rest, times) if rest else {}
+        for r in mine:
+            copies[r.doc_id] += (r.slot < edge or picked.get(r.key, 0) if r.slot <= edge else 0) if r.size else 0
+        quotas[sid], blocks[sid] = passes * n + edge + (times if rest else 0), (n, passes, edge)
+    dealt = collections.defaultdict(list)
+    for shard, first, have in mixing.split_tree([quotas[s] for s in sorted(quotas)], 5, m.seed):
+        for sid, (f, k) in enumerate(zip(first.tolist(), have.tolist(), strict=True)):
+            n, passes, edge = blocks[sid]
+            for unit in range(f, f + k):
+                again = unit > passes * n + edge
+                dealt[sid, edge if again else unit % n].append((passes + 1 if again else unit // n, shard))
+    found = {r.doc_id: (r.copies, list(r.shards)) for r in m.shards(m.sized, 5).select("row.doc_id", "copies", "shards").collect()}
+    assert found == {r.doc_id: (copies[r.doc_id], [s for _, s in sorted(dealt[r.sid, r.slot])][: copies[r.doc_id]]) for r in rows}
+    placed = m.rows(mixing._sized(docs, m.seed), 5).select("row.doc_id", "shard", "place").collect()
+    assert collections.Counter((r.doc_id, r.shard) for r in placed) == collections.Counter((i, s) for i, (_, x) in found.items() for s in x)
+
+
 def test_mix_odd_rows(odd):
     m = mixing.Mix(odd)
     rows = m.taken(m.sized).collect()
@@ -219,9 +304,10 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("chars", [24, 1])
+def test_line_dedup_equals_brute_force(spark, chars):
     rng = random.Random(3)
-    base = ["".join(rng.choice("ab é") for _ in range(n)) for n in (24, 31, 32, 33, 64, 65, 97, 200)]
+    base = ["".join(rng.choice("ab é") for _ in range(n)) for n in (1, 2, 3, 8, 24, 31, 32, 33, 64, 65, 97, 200)]
     rows = []
     for i in range(60):
         lines = []
@@ -232,13 +318,13 @@ def test_line_dedup_equals_brute_force(spark):
                 s = s[:k] + rng.choice(["", "z", "b"]) + s[k + rng.choice([0, 1]) :]
             lines.append(s)
         rows.append((i, "\n".join(lines)))
-    found = {(r.doc_id, r.no) for r in line_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {(r.doc_id, r.no) for r in line_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string"), chars).collect()}
     seen, want = [], set()
     for i, text in rows:
         for no, line in enumerate(text.split("\n")):
             s = line.strip(" ")
-            if len(s) >= line_dedup.MIN_CHARS:
-                if any(abs(len(s) - len(o)) <= 1 and edit_distance(s, o) <= 1 for o in seen):
+            if s:
+                if any(s == o or min(len(s), len(o)) >= chars and abs(len(s) - len(o)) <= 1 and edit_distance(s, o) <= 1 for o in seen):
                     want.add((i, no))
                 seen.append(s)
     assert found == want
@@ -257,7 +343,13 @@ def test_stage_drops_short_repeats(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.text for r in line_dedup.stage(spark, docs, SF).collect()}
     assert found == {1: "Les.\n\n \t\nA line that is long enough for edits.\nLos.", 2: "\nNew.", 4: "\n", None: "Les."}
-    assert {r.doc_id: r.removed for r in line_dedup.decisions(docs).collect()}[2] == "2"
+    assert {r.doc_id: r.removed for r in line_dedup.decisions(docs).collect()}[2] == "0,2"
+
+
+def test_clashing_columns_of_clean(spark):
+    clash = spark.createDataFrame([(1, "same line\nother", 9, 8, 7, "x"), (2, "same line\nnew", 9, 8, 7, "x")], "doc_id long, text string, id int, `left` int, gone int, `__text` string")
+    rows = line_dedup.clean(clash)
+    assert rows.columns == clash.columns and [tuple(r) for r in rows.orderBy("doc_id").collect()] == [(1, "same line\nother", 9, 8, 7, "x"), (2, "new", 9, 8, 7, "x")]
 
 
 # -- embeddings

@@ -1,25 +1,31 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every document is hashed into one of its source's blocks. The mix takes a number of
-whole passes over each source plus a remainder: a prefix of the source's permuted
-blocks and, from the block on the boundary, the documents that fill the rest. The
-block quotas of all sources are split exactly among the output shards by a binary
-tree whose nodes draw from the multivariate hypergeometric distribution, each shard
-draws its own disjoint run of the permuted blocks, and rows are shuffled inside the
-shard by a seeded hash. No source is ever gathered in one task: only block sums are.
+Every document is hashed into one of its source's blocks, whose order is permuted. A
+source's quota is a number of blocks: as many whole passes over it as its target asks
+for, then the first of its permuted blocks, the last of which is taken in part. A binary
+tree whose nodes draw from the multivariate hypergeometric distribution splits the quotas
+of all sources exactly among the output shards; a shard's leaf names the run of each
+source's permuted blocks that it draws, and a row is taken as often as its block is
+drawn. Rows are shuffled inside the shard by a seeded hash.
+
+A node's generator is seeded by its place in the tree, so tasks grow the part of the tree
+above their own shards. The block on a source's boundary is found digit by digit from
+sums over block numbers, and only its rows, about ``BLOCK_DOCS``, meet in one task, which
+picks those that fill what is left. The driver holds a row for each source.
 
 Null text has size 0; a null source is a source of its own, last in order. Documents
-of size 0 are never taken. Repeated rows are separate documents with equal decisions
-per row of a block. An empty table gives an empty mix. Extra columns are ignored.
+of size 0 are never taken. Rows that repeat a doc_id and a size have equal decisions. An
+empty table gives an empty mix. Extra columns are ignored (``rows`` passes them on).
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +35,12 @@ from transcurve.llm import common
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source gives more than so many times its own size.
 MAX_REPEATS = 3
-#: Mean documents in a block, and the most blocks of a source (a power of two).
-BLOCK_DOCS, MAX_BLOCKS = 64, 4096
-#: Words of an output shard, unless a count of shards is given.
-SHARD_WORDS = 2_000_000
+#: Least mean of documents in a block. Blocks hold more where their number would reach what a draw can count.
+BLOCK_DOCS, MOST_UNITS = 64, 900_000_000
+#: Bits of a block's number that are looked at in one step on the way to the boundary.
+DIGIT = 12
+#: Words of an output shard and the least number of shards, unless a count of shards is given.
+SHARD_WORDS, LEAST_SHARDS = 50_000_000, 16
 #: Rows of the boundary block that the closing subset-sum may choose among.
 CLOSING = 48
 
@@ -54,35 +62,36 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, cap: float
     return out
 
 
-def split_tree(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
-    """Counts [shard, source]: exact quotas of blocks split by a tree of hypergeometric draws.
+def split_tree(quotas: Sequence[int], shards: int, seed: int, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shard, first block and number of blocks of each source, for shards ``lo`` up to ``hi``.
 
     A node with k shards passes each child a draw without replacement whose total is the
-    child's share of the node's blocks, so columns sum to the quotas and shard totals
-    differ by one block at most. Each node's generator is seeded by its place in the tree.
+    child's share of the node's blocks, so the shards' runs of a source follow each other,
+    sum to its quota, and shard totals differ by one block at most. Each node's generator is
+    seeded by its place in the tree: parts of it can grow apart from each other.
     """
-    out = np.zeros((shards, len(quotas)), np.int64)
+    hi = shards if hi is None else hi
 
-    def go(lo: int, hi: int, have: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = have
+    def go(a: int, b: int, first: np.ndarray, have: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if b <= lo or a >= hi:
             return
-        mid, total = (lo + hi) // 2, int(have.sum())
-        take = total * (mid - lo) // (hi - lo)
+        if b - a == 1:
+            yield a, first, have
+            return
+        mid, total = (a + b) // 2, int(have.sum())
+        take = total * (mid - a) // (b - a)
         left, rest, need = np.zeros_like(have), total, take
-        rng = np.random.default_rng([seed, lo, hi])
-        for i, h in enumerate(have):  # one hypergeometric draw a source, conditioned on those before
-            h = int(h)
+        rng = np.random.default_rng([seed, a, b])
+        for i, h in enumerate(have.tolist()):  # one hypergeometric draw a source, conditioned on those before
             rest -= h
             if need:
-                # numpy's generator takes populations below 10^9; quotas count blocks, which stay far below
                 left[i] = need if not rest else rng.hypergeometric(h, rest, need)
                 need -= int(left[i])
-        go(lo, mid, left)
-        go(mid, hi, have - left)
+        yield from go(a, mid, first, left)
+        yield from go(mid, b, first + left, have - left)
 
-    go(0, shards, np.asarray(quotas, np.int64))
-    return out
+    have = np.asarray(quotas, np.int64)
+    yield from go(0, shards, np.zeros_like(have), have)
 
 
 def fill(rows: list[tuple[int, int]], want: int, times: int = 1) -> Counter[int]:
@@ -120,84 +129,105 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
-    """Broadcast a table of at most ``rows`` rows if that bound is small; else leave the join to the planner."""
+    """Broadcast a table of ``rows`` short rows if they are few; else leave the join to the planner."""
     return F.broadcast(df) if rows <= most else df
 
 
 class Mix:
-    """A mix of the sources of ``docs``: targets, whole passes, boundary blocks and shards.
+    """A mix of the sources of ``docs``: targets, quotas of blocks, boundary blocks and shards.
 
-    Gathers one row per source on the driver (sizes and document counts); block sums,
-    permutations and the choice inside boundary blocks stay distributed.
+    Gathers one row per source on the driver (sizes, counts, the boundary block); block
+    sums, the choice inside boundary blocks and the tree's leaves stay distributed.
     """
 
-    def __init__(self, docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 7, narrow: DataFrame | None = None):
+    def __init__(self, docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 7):
         self.spark, self.seed = docs.sparkSession, seed
-        self.sized = narrow if narrow is not None else common.cut(_sized(docs, seed).select(F.struct("row.doc_id").alias("row"), "source", "size", "key"))
+        self.sized = common.cut(_sized(docs, seed).select(F.struct("row.doc_id").alias("row"), "source", "size", "key"))
         found = self.sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()
         found.sort(key=lambda r: (r.source is None, r.source or ""))
         goal = targets([r.words for r in found], weights, max_repeats)
-        rows = []
+        per_block = BLOCK_DOCS
+        while sum(r.docs for r in found) * max_repeats // per_block > MOST_UNITS:
+            per_block *= 2
+        self.rows_ = []
         for i, (r, t) in enumerate(zip(found, goal, strict=True)):
-            blocks = min(MAX_BLOCKS, 1 << max(0, (r.docs // BLOCK_DOCS).bit_length() - 1))
             want = min(round(t), max_repeats * r.words)
             passes = want // r.words if r.words else 0
-            rows.append((r.source, i, int(r.words), float(t), int(blocks), int(passes), int(want - passes * r.words)))
-        self.sources, self.words = len(rows), sum(int(r[6] + r[5] * r[2]) for r in rows)
-        self.max_units = sum(r[4] for r in rows) * max_repeats
-        self.plan = self.spark.createDataFrame(rows, "psource string, sid int, source_size long, target double, blocks int, passes int, rest long")
+            bits = max(0, (r.docs // per_block).bit_length() - 1)
+            self.rows_.append({"psource": r.source, "sid": i, "source_size": int(r.words), "target": float(t), "bits": bits, "passes": int(passes), "rest": int(want - passes * r.words), "most": max_repeats})
+        self.words = sum(r["rest"] + r["passes"] * r["source_size"] for r in self.rows_)
         self._edges()
 
-    def _blocks(self, sized: DataFrame) -> DataFrame:
-        placed = sized.join(_small(self.plan, self.sources), F.col("source").eqNullSafe(F.col("psource"))).drop("psource")
-        return placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(self.seed + 1)), F.col("blocks").cast("long")).cast("int"))
+    def _plan(self) -> DataFrame:
+        schema = "psource string, sid int, source_size long, target double, bits int, passes int, rest long, most int, edge long, left long"
+        return F.broadcast(self.spark.createDataFrame([(*r.values(),) if "edge" in r else (*r.values(), None, None) for r in self.rows_], schema))  # a row a source, as on the driver
+
+    def _placed(self, sized: DataFrame) -> DataFrame:
+        """``sized`` with its source's plan and ``slot``, the place of the row's block among the source's permuted blocks."""
+        placed = sized.join(self._plan(), F.col("source").eqNullSafe(F.col("psource"))).drop("psource")
+        blocks = F.expr("shiftleft(1L, bits)")
+        block = F.pmod(F.xxhash64("key", F.lit(self.seed + 1)), blocks)
+        # an odd factor permutes the numbers below a power of two
+        return placed.withColumn("slot", F.pmod(block * F.lit(0x9E3779B1) + F.lit(self.seed), blocks))
 
     def _edges(self) -> None:
-        """The blocks taken whole beyond the passes, and the chosen rows of the block on the boundary."""
-        placed = self._blocks(self.sized)
-        # at most MAX_BLOCKS rows of a source meet here; block numbers are random, so their order is a permutation
-        upto = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-        left = F.when(F.col("upto") <= F.col("rest"), F.lit(-1)).otherwise(F.greatest(F.lit(0), F.col("rest") - F.col("upto") + F.col("words")))
-        self.edge = common.cut(
-            placed.groupBy("sid", "block", "rest").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
-            .select(F.col("sid").alias("es"), F.col("block").alias("eb"), left.alias("left")).where("left <> 0")
-        )
-        self.chosen = common.cut(
-            self._edged(placed).where("left > 0 and size > 0").groupBy("sid", "key", "size", "left", "passes").agg(F.count("*").alias("n"))
-            .groupBy("sid").applyInPandas(_fill_group, "fs int, fkey long, more int")
-        )
-
-    def _edged(self, placed: DataFrame) -> DataFrame:
-        return placed.join(_small(self.edge, self.max_units), (F.col("sid") == F.col("es")) & (F.col("block") == F.col("eb")), "left").drop("es", "eb")
+        """The permuted block of each source that is taken in part, the words wanted from it, and its chosen rows."""
+        placed = self._placed(self.sized).where("size > 0").select("sid", "bits", "slot", "key", "size")
+        at = [(r["sid"], 0, r["rest"]) for r in self.rows_ if r["rest"] > 0]
+        done, most = 0, max([0, *(r["bits"] for r in self.rows_)])
+        upto = Window.partitionBy("sid").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**DIGIT rows of a source
+        while at and (done == 0 or done < most):
+            here = F.broadcast(self.spark.createDataFrame(at, "es int, prefix long, rest long"))
+            rows = placed.join(here, F.col("sid") == F.col("es")).where(f"shiftright(slot, greatest(bits - {done}, 0)) = prefix")
+            done += DIGIT
+            cells = rows.groupBy("sid", "rest", F.expr(f"shiftright(slot, greatest(bits - {done}, 0))").alias("cell")).agg(F.sum("size").alias("words"))
+            first = cells.withColumn("upto", F.sum("words").over(upto)).where("upto > rest").groupBy("sid").agg(F.min(F.struct("cell", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("x"))
+            at = [(r.sid, r.x.cell, r.x.left) for r in first.collect()]
+        for r in self.rows_:
+            r["edge"], r["left"] = next(((e, left) for i, e, left in at if i == r["sid"]), (0, 0))
+        boundary = self._placed(self.sized).where("slot = edge and left > 0 and size > 0")
+        self.chosen = common.cut(boundary.groupBy("sid", "key", "size", "left", "passes", "most").agg(F.count("*").alias("n")).groupBy("sid").applyInPandas(_fill_group, "fs int, fkey long, more int"))
 
     def taken(self, sized: DataFrame) -> DataFrame:
-        """``sized`` with source_size, target and copies: how often the mix takes the row."""
-        rows = self._edged(self._blocks(sized)).join(_small(self.chosen, self.max_units), (F.col("sid") == F.col("fs")) & (F.col("key") == F.col("fkey")), "left")
-        more = F.when(F.col("left") == -1, 1).otherwise(F.coalesce("more", F.lit(0)))
-        return rows.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("passes") + more).cast("int"))
+        """``sized`` with source_size, target and copies: how often the row's block is drawn for it."""
+        chosen = _small(self.chosen.withColumnRenamed("more", "picked"), self.chosen.count())
+        rows = self._placed(sized).join(chosen, (F.col("sid") == F.col("fs")) & (F.col("key") == F.col("fkey")) & (F.col("slot") == F.col("edge")), "left")
+        more = F.when(F.col("slot") < F.col("edge"), 1).when(F.col("slot") == F.col("edge"), F.coalesce("picked", F.lit(0))).otherwise(0)
+        return rows.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("passes") + more).cast("int")).drop("fs", "fkey", "picked")
+
+    def _quotas(self) -> list[tuple[int, int, int, int]]:
+        """Blocks that the mix draws of each source, by the numbers that the draws of a block have: whole passes, the rest, and the boundary block again."""
+        out = []
+        for r in self.rows_:
+            blocks, part = 1 << r["bits"], _times(r["passes"], r["most"]) if r["left"] > 0 else 0
+            out.append((r["passes"] * blocks + r["edge"] + part, blocks, r["passes"], r["edge"]))
+        return out
+
+    def leaves(self, shards: int | None = None) -> DataFrame:
+        """sid, shard, first and n: the run of a source's drawn blocks that a leaf of the tree gives its shard."""
+        shards = shards or max(LEAST_SHARDS, -(-self.words // SHARD_WORDS))
+        quotas, seed = [q for q, *_ in self._quotas()], self.seed
+        schema = pa.schema([("sid", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:  # consecutive shards
+                if batch.num_rows:
+                    ids = batch.column("id")
+                    rows = [(i, shard, int(f), int(n)) for shard, first, have in split_tree(quotas, shards, seed, ids[0].as_py(), ids[-1].as_py() + 1) for i, (f, n) in enumerate(zip(first, have, strict=True)) if n]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        return self.spark.range(0, shards, 1, min(shards, 16 + shards // 1000)).mapInArrow(run, "sid int, shard int, first long, n long")
 
     def shards(self, sized: DataFrame, shards: int | None = None) -> DataFrame:
-        """``taken(sized)`` with ``shards``: the shard of each of the row's copies.
-
-        A source's units (one per block and copy) are its quota; the tree splits the quotas
-        exactly and a shard holds its own run of the permuted units. By default a shard
-        takes about SHARD_WORDS words.
-        """
-        shards = shards or max(16, -(-self.words // SHARD_WORDS))
-        most = self.taken(self.sized).groupBy("sid", "block").agg(F.max("copies").alias("copies")).where("copies > 0")
-        units = most.select("sid", "block", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-        order = Window.partitionBy("sid").orderBy(F.xxhash64("block", "copy", F.lit(self.seed + 2)), "block", "copy")
-        units = common.cut(units.withColumn("place", F.row_number().over(order)))
-        quota = {r.sid: r.n for r in units.groupBy("sid").agg(F.max("place").alias("n")).collect()}
-        sids = sorted(quota)
-        ends = np.cumsum(split_tree([quota[s] for s in sids], shards, self.seed), axis=0)
-        bounds = self.spark.createDataFrame([(s, [int(x) for x in ends[:, i]]) for i, s in enumerate(sids)], "bs int, ends array<long>")
-        shard = F.size(F.filter("ends", lambda e: e < F.col("place")))
-        dealt = (
-            units.join(_small(bounds, len(sids) * shards), F.col("sid") == F.col("bs")).groupBy(F.col("sid").alias("us"), F.col("block").alias("ub"))
-            .agg(F.array_sort(F.collect_list(F.struct("copy", shard.alias("shard")))).alias("units"))  # max_repeats at most
-        )
-        rows = self.taken(sized).join(_small(dealt, self.max_units), (F.col("sid") == F.col("us")) & (F.col("block") == F.col("ub")), "left")
+        """``taken(sized)`` with ``shards``: the shard of each of the row's copies, by the draws of its block."""
+        drawn = self.leaves(shards).select("sid", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("unit"))
+        known = F.broadcast(self.spark.createDataFrame([(i, *x[1:]) for i, x in enumerate(self._quotas())], "qs int, blocks long, qpasses long, qedge long"))
+        drawn = drawn.join(known, F.col("sid") == F.col("qs"))
+        again = F.col("unit") > F.col("qpasses") * F.col("blocks") + F.col("qedge")  # the boundary block's second draw beyond the passes
+        slot = F.when(again, F.col("qedge")).otherwise(F.col("unit") % F.col("blocks"))
+        copy = F.when(again, F.col("qpasses") + 1).otherwise(F.floor(F.col("unit") / F.col("blocks")))
+        dealt = drawn.groupBy(F.col("sid").alias("us"), slot.alias("ub")).agg(F.array_sort(F.collect_list(F.struct(copy.alias("copy"), "shard"))).alias("units"))  # max_repeats at most
+        rows = self.taken(sized).join(_small(dealt, sum(q for q, *_ in self._quotas())), (F.col("sid") == F.col("us")) & (F.col("slot") == F.col("ub")), "left")
         mine = F.when(F.col("copies") > 0, F.slice("units.shard", F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>"))
         return rows.withColumn("shards", mine).drop("us", "ub", "units")
 
@@ -207,11 +237,16 @@ class Mix:
         return dealt.withColumn("place", F.xxhash64("key", "copy", F.lit(self.seed + 3)))
 
 
+def _times(passes: int, most: int) -> int:
+    """How often a row of the boundary block may be taken beyond the passes."""
+    return max(1, min(2, most - passes))
+
+
 def _fill_group(group: pd.DataFrame) -> pd.DataFrame:
     """The rows of one source's boundary block that fill its remainder; equal keys go together."""
     group = group.sort_values("key")
     passes, left = int(group["passes"].iloc[0]), int(group["left"].iloc[0])
-    times = max(1, min(2, MAX_REPEATS - passes))
+    times = _times(passes, int(group["most"].iloc[0]))
     chosen = sorted(fill([(int(k), int(s) * int(n)) for k, s, n in zip(group["key"], group["size"], group["n"], strict=True)], left, times).items())
     return pd.DataFrame({"fs": np.full(len(chosen), group["sid"].iloc[0], np.int32), "fkey": np.array([k for k, _ in chosen], np.int64), "more": np.array([n for _, n in chosen], np.int32)})
 
