@@ -1,10 +1,9 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are compared trimmed. A line of ``MIN_CHARS`` characters or more goes if an equal
-line, or one within one edit (a character inserted, deleted or replaced), stands earlier
-in the corpus, by doc_id, then line number. The pipeline's stage also takes out shorter
-lines that equal an earlier one, unless they are blank; the query leaves shorter lines
-alone, as its SQL does.
+Lines are compared trimmed; blank ones are left alone. A line goes if a line within its
+edit bound stands earlier in the corpus, by doc_id, then line number. The bound follows
+the length: under ``EDIT_CHARS`` characters (a parameter) it is 0, only equal lines
+count; from there on it is one edit, a character inserted, deleted or replaced.
 
 Equal lines are first reduced to their earliest place. Two lines within one edit agree
 outside any one piece that holds the edit, so keys of everything but a half, then of
@@ -30,17 +29,14 @@ from pyspark.sql import functions as F
 
 from transcurve.llm import common
 
-#: Shortest line that is compared for edits, and characters of a piece.
-MIN_CHARS, PIECE = 24, 32
+#: Characters from which on a line's bound is one edit, and characters of a piece.
+EDIT_CHARS, PIECE = 24, 32
 
 
-def _lines(docs: DataFrame, short: bool) -> DataFrame:
-    """doc_id, no, line and its 128-bit hash (h, g) for every line that is compared."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, no, line and its 128-bit hash (h, g) for every line that isn't blank."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
-    if short:
-        rows = rows.select("doc_id", "no", F.trim("raw").alias("line")).where((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    else:  # a trimmed line can't have more characters than bytes: the cheap test first
-        rows = rows.where(F.octet_length("raw") >= MIN_CHARS).select("doc_id", "no", F.trim("raw").alias("line")).where(F.length("line") >= MIN_CHARS)
+    rows = rows.select("doc_id", "no", F.trim("raw").alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return rows.select("doc_id", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
@@ -86,12 +82,12 @@ def _variants(pieces: DataFrame) -> DataFrame:
     return rows.select("doc_id", "no", "h", "piece", (F.col("i") == 0).alias("own"), (place == 0).alias("star"), F.xxhash64("key", place, without).alias("v"))
 
 
-def removed(docs: DataFrame, short: bool = False) -> DataFrame:
-    """doc_id, no and h of every line that goes, with ``short`` also of exact repeats under ``MIN_CHARS``."""
-    lines = _lines(docs, short)
+def removed(docs: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """doc_id, no and h of every line that goes."""
+    lines = _lines(docs)
     place = F.struct("doc_id", "no")
     k = [f"k{i}" for i in range(4)]
-    keyed = lines.select("doc_id", "no", "h", "g", *[F.when(F.length("line") >= MIN_CHARS, c).alias(x) for c, x in zip(_halves(), k, strict=True)])
+    keyed = lines.select("doc_id", "no", "h", "g", *[F.when(F.length("line") >= edit_chars, c).alias(x) for c, x in zip(_halves(), k, strict=True)])
     first = common.cut(keyed.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times"), *[F.min(x).alias(x) for x in k]))
     many = first.where("times > 1").select(F.col("h").alias("fh"), F.col("g").alias("fg"), "first")
     again = lines.join(many, (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg"))).where(place > F.col("first")).select("doc_id", "no", "h")
@@ -121,7 +117,7 @@ def removed(docs: DataFrame, short: bool = False) -> DataFrame:
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_compared, n_removed and the numbers of the removed lines of every document."""
+    """doc_id, n_lines, n_removed and the numbers of the removed lines of every document."""
     gone = removed(docs).groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("no")).alias("nos"))
     counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines"))
     out = counts.join(gone, F.col("doc_id") == F.col("id"), "left")
@@ -129,19 +125,21 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that go, short ones too, all columns; documents left without any text go too.
+    """``docs`` without the lines that go, all columns; documents left without any text go too.
 
     ``n_chars``, where there is such a column, counts the characters that are left. Rows
     whose text was null or empty before stay.
     """
-    gone = removed(docs, short=True).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("no", "h")).alias("__gone"))
-    rows = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
-    lines = F.transform(F.split("text", "\n", -1), lambda line, no: F.when(~F.array_contains("__gone", F.struct(no.alias("no"), F.xxhash64(F.trim(line)).alias("h"))), line))
-    rows = rows.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")))
-    rows = rows.where(F.col("__gone").isNull() | (F.trim("__text") != ""))
-    size = [F.length("__text").cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
-    other = {"text": F.col("__text").alias("text")} | ({"n_chars": F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(size[0]).alias("n_chars")} if size else {})
-    return rows.select(*[other.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    gone = removed(docs).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("no", "h")).alias("gone"))
+    # columns of the table travel in a struct of their own: no name clashes
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("doc", F.col("row.doc_id").cast("long")).join(gone.hint("shuffle_hash"), F.col("doc") == F.col("id"), "left")
+    lines = F.transform(F.split("row.text", "\n", -1), lambda line, no: F.when(~F.array_contains("gone", F.struct(no.alias("no"), F.xxhash64(F.trim(line)).alias("h"))), line))
+    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")))
+    rows = rows.where(F.col("gone").isNull() | (F.trim("left") != ""))
+    other = {"text": F.col("left").alias("text")}
+    if "n_chars" in docs.columns:
+        other["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    return rows.select(*[other.get(c, F.col(f"row.`{c}`")) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,13 +155,13 @@ ORACLE = f"""
 WITH raw AS (
   SELECT DISTINCT doc_id, t.no AS no, trim(t.line, ' ') AS line
   FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'no': i - 1, 'line': x}})) AS t FROM documents WHERE doc_id IS NOT NULL)),
-lines AS (SELECT * FROM raw WHERE length(line) >= {MIN_CHARS}),
+lines AS (SELECT * FROM raw WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 firsts AS (SELECT line, min({{'doc_id': doc_id, 'no': no}}) AS pos FROM lines GROUP BY line),
 dels AS (
   SELECT line, pos, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS v
-  FROM (SELECT line, pos, unnest(range(1, length(line) + 1)) AS i FROM firsts)),
+  FROM (SELECT line, pos, unnest(range(1, length(line) + 1)) AS i FROM firsts WHERE length(line) >= {EDIT_CHARS})),
 subst AS (SELECT d.line FROM dels d JOIN (SELECT v, i, min(pos) AS m FROM dels GROUP BY v, i HAVING count(*) > 1) g ON d.v = g.v AND d.i = g.i WHERE g.m < d.pos),
-own AS (SELECT line, pos, hash(line) AS v FROM firsts),
+own AS (SELECT line, pos, hash(line) AS v FROM firsts WHERE length(line) >= {EDIT_CHARS}),
 longer AS (SELECT o.line AS short, o.pos AS short_pos, d.line AS long, d.pos AS long_pos FROM own o JOIN dels d ON o.v = d.v),
 gone AS (SELECT line FROM subst UNION SELECT long FROM longer WHERE short_pos < long_pos UNION SELECT short FROM longer WHERE long_pos < short_pos),
 cut AS (
