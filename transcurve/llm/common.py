@@ -45,16 +45,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Return memory that this process holds but doesn't use to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` of a task, after which the worker gives unused memory back: idle workers count for an executor."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-        if trim:
-            trim(0)
+        give_back()
 
     return tidied
 
@@ -104,15 +109,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Minimum-label propagation with pointer jumping. Each round joins the edges to the
     labels and takes a map-side minimum, then replaces every label by its label's
-    label, so chains halve. All tables stay distributed; both join inputs are
-    materialised, so a node with very many edges is split by the skew-join rule.
+    label, so chains halve. All tables stay distributed; the edges and the labels they meet
+    are materialised, so a node with very many edges is split by the skew-join rule.
     Self-loops are harmless; an empty input gives an empty result.
     """
     both = forget(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = forget(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:  # every round lowers a label: it ends, after about the logarithm of the longest path
         seen = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node")).agg(F.min("label").alias("m"))
-        hooked = forget(labels.join(seen, "node", "left").select("node", "label", F.least("label", "m").alias("near")))
+        hooked = labels.join(seen, "node", "left").select("node", "label", F.least("label", "m").alias("near"))
         parent = labels.select(F.col("node").alias("near"), F.col("label").alias("up"))
         moved = forget(hooked.join(parent, "near", "left").select("node", "label", F.least("near", F.coalesce("up", "near")).alias("next")))
         changed = moved.where("next <> label").limit(1).count()

@@ -56,7 +56,7 @@ CHUNK_BYTES, WORD_BYTES, SEND, BUCKET = 1 << 19, 1 << 19, 500_000, 1_000_000
 #: shingles that only one of the sets holds, so a pair that differs in too many can't link.
 SKETCH = 16
 #: Members of a key that all others meet, by turn, before those that are left meet each other.
-PIVOTS = (1, 2, 4)
+PIVOTS = (1, 4)
 #: A set's least open keys, by which a pair is met under its first shared key only, as far as they tell.
 FIRST_KEYS = 12
 

@@ -160,7 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_C
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("did"))
         .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     )
-    return fit([r.text or "" for r in rows], [r.toxic for r in rows])
+    model = fit([r.text or "" for r in rows], [r.toxic for r in rows])
+    del rows
+    common.give_back()
+    return model
 
 
 def _scored(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
