@@ -2,18 +2,26 @@
 
 A page is cut into flat text blocks at block-level tags. Each block is described by its
 own and its neighbours' word counts and link densities, and by what its nearest
-sectioning element and its class names say. A decision tree, trained on the labelled
-table below, keeps or drops it. Kept blocks are joined in page order by one line feed.
+sectioning element and its class names say; neighbours are the nearest blocks that don't
+frame the page. A decision tree, trained on the labelled table below, keeps or drops it.
+Kept blocks are joined in page order by one line feed.
+
+Class names frame a block only as whole names, or as compounds of framing words with
+words for a box or a place ("cookie-banner", "comments-area", but not "comments-open",
+"has-sidebar" or "article-header"); names of an article's or a main element's own tag
+don't count. Inside these, headers stay.
 
 Null and empty pages give an empty text. Pages of any length are read whole; a page
-without closing tags is read to its end. Repeated rows give equal results; extra
-columns are ignored; an empty table gives an empty result.
+without closing tags is read to its end; tags that may be left out (``</head>``, ``</p>``,
+``</li>``) are. Repeated rows give equal results; extra columns are ignored; an empty table
+gives an empty result. There are no ties: each block is judged alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,26 +31,36 @@ from pyspark.sql import functions as F
 
 from transcurve.llm import common
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
-# Fixed values of HTML: elements that break a block, that hold no text of the page, that have no end tag.
+# Fixed values of HTML: elements that break a block, that hold no text of the page, that have no end tag, whose
+# content is no markup, that a head may hold, and that end an open one when they start.
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SILENT = frozenset("script style noscript template iframe svg math head title select textarea button object canvas audio video datalist".split())
+SILENT = frozenset("script style noscript template iframe svg head title select textarea button object canvas audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+HEAD = frozenset("base link meta noscript script style template title".split())
+ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
+LISTS = frozenset("ul ol menu dir dl table".split())
 #: Sectioning elements that hold a page's main text, and those that frame it.
 BODY = frozenset("article main".split())
 FRAME = frozenset("nav footer aside form menu dialog header".split())
-#: Words in class, id and role that speak for framing and for main text.
+#: Words in class, id and role that speak for framing, those that go with them in a compound, and those for main text.
 FRAME_WORDS = frozenset(
-    "ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification pagination pager popup promo replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+BOX_WORDS = frozenset("area bar block bottom box container content contentinfo global group inline inner item items left links list main outer overlay page panel primary reader readers right row section secondary site slot sticky thread top unit user users wrap wrapper".split())
 BODY_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Framing words that a header or a caption inside an article may carry.
+OUTSIDE = frozenset("header masthead banner".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.S)
+_OPENED = re.compile(r"<(?:/?[A-Za-z]|[!?])")
+_NAMES = re.compile(r"(?:^|[\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_WORDS = re.compile(r"[a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
@@ -56,14 +74,16 @@ class Block:
     heading: int
 
 
-def _hint(attributes: str) -> int:
-    """What class, id and role say; framing words win."""
+def _hint(attributes: str, inside: bool) -> int:
+    """What class, id and role say, inside an article or outside; framing names win."""
     found = 0
     for m in _NAMES.finditer(attributes):
-        for w in re.split(r"[^a-z0-9]+", html.unescape(m[1] or m[2] or m[3] or "").lower()):
-            if w in FRAME_WORDS:
+        for name in html.unescape(m[1] or m[2] or m[3] or "").split():
+            words = _WORDS.findall(_CAMEL.sub("-", name).lower())
+            framing = [w for w in words if w in FRAME_WORDS and not (inside and w in OUTSIDE)]
+            if framing and all(w in FRAME_WORDS or w in BOX_WORDS or w.isdigit() for w in words):
                 return 2
-            if w in BODY_WORDS:
+            if len(words) == 1 and words[0] in BODY_WORDS or words and len(words) == 2 and all(w in BODY_WORDS for w in words):
                 found = 1
     return found
 
@@ -72,6 +92,7 @@ def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int, int]] = []  # name, place, hint, silent, link depth
+    open_: Counter[str] = Counter()
     place = hint = silent = link = 0
     heading, at = 0, 0
     text: list[str] = []
@@ -87,22 +108,60 @@ def blocks(page: str) -> list[Block]:
             linked.clear()
 
     def say(piece: str) -> None:
+        if piece and silent and open_["head"] and silent == 1 and not piece.isspace():
+            end("head")  # text begins the body
         if piece and not silent:
             text.append(piece)
             if link:
                 linked.append(piece)
 
+    def cut(i: int) -> None:
+        """End the open elements from the i-th on."""
+        nonlocal place, hint, silent, link
+        _, place, hint, silent, link = stack[i]
+        for name, *_ in stack[i:]:
+            open_[name] -= 1
+        del stack[i:]
+
+    def end(name: str) -> None:
+        if open_[name]:
+            cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+
+    def implied(name: str) -> None:
+        """End what the start of this element ends: an open paragraph, an item before it."""
+        if open_["p"]:
+            i = len(stack) - 1
+            while stack[i][0] != "p" and stack[i][0] not in BLOCK:
+                i -= 1
+            if stack[i][0] == "p":
+                cut(i)
+        ends = ENDS.get(name, "").split()
+        if any(open_[x] for x in ends):
+            first = None
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in LISTS:
+                    break
+                if stack[i][0] in ends:
+                    first = i
+            if first is not None:
+                cut(first)
+
     while True:
         m = _TOKEN.search(page, at)
-        say(page[at : m.start()] if m else page[at:])
         if not m:
+            rest = page[at:]
+            opened = _OPENED.search(rest)  # a tag that never ends says nothing
+            say(rest[: opened.start()] if opened else rest)
             break
+        say(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
                 say(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         name = m[2].lower()
+        if open_["head"] and not m[1] and name not in HEAD and name != "head":
+            end("head")  # its end tag may be left out
         if name == "br":
             say(" ")
             continue
@@ -110,66 +169,84 @@ def blocks(page: str) -> list[Block]:
             flush()
             heading = int(not m[1] and len(name) == 2 and name[0] == "h" and name[1] in "123456")
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    _, place, hint, silent, link = stack[i]
-                    del stack[i:]
-                    break
+            end(name)
             continue
+        if name in BLOCK:
+            implied(name)
         if name in VOID or m[3].endswith("/") and name not in BLOCK and name != "a":
             continue
-        if name == "p" and stack and stack[-1][0] == "p":
-            _, place, hint, silent, link = stack.pop()
         if name in RAW:
-            end = _END[name].search(page, at)
-            at = end.end() if end else len(page)
+            closing = _END[name].search(page, at)
+            at = closing.end() if closing else len(page)
             continue
         stack.append((name, place, hint, silent, link))
+        open_[name] += 1
         if name in BODY:
             place, hint = 1, 0
-        elif name in FRAME:
-            place = place if name == "header" and place == 1 else 2
-        if name not in ("html", "body") and (told := _hint(m[3])):
-            hint = told
+        else:
+            if name in FRAME:
+                place = place if name == "header" and place == 1 else 2
+            if name not in ("html", "body") and (told := _hint(m[3], place == 1)):
+                hint = told
         silent += name in SILENT
-        link += name == "a"
+        link = 1 if name == "a" else link
     flush()
     return out
 
 
 def features(found: Sequence[Block]) -> list[tuple[float, ...]]:
-    """place, hint, heading, then words and link density of the block, the one before and the one after."""
+    """place, hint, heading, words and link density of a block, then those two of the nearest blocks before and after that don't frame."""
     none = Block("", 0, 0.0, 0, 0, 0)
-    padded = [none, *found, none]
-    return [(b.place, b.hint, b.heading, b.words, b.density, a.words, a.density, c.words, c.density) for a, b, c in zip(padded, found, padded[2:], strict=False)]
+    before, after, near = [], [], none
+    for b in found:
+        before.append(near)
+        near = near if 2 in (b.place, b.hint) else b
+    near = none
+    for b in reversed(found):
+        after.append(near)
+        near = near if 2 in (b.place, b.hint) else b
+    return [(b.place, b.hint, b.heading, b.words, b.density, a.words, a.density, c.words, c.density) for a, b, c in zip(before, found, reversed(after), strict=True)]
 
 
 # Labelled blocks whose neighbours don't decide: place, hint, heading, words, link density, 1 for main text.
 SETTLED = (
     # menus, headers, footers, sidebars, forms
-    (2, 0, 0, 1, 1.0, 0), (2, 0, 0, 3, 1.0, 0), (2, 0, 0, 14, 0.0, 0), (2, 0, 0, 45, 0.1, 0), (2, 0, 1, 4, 0.0, 0), (2, 1, 0, 60, 0.0, 0), (2, 2, 0, 9, 0.3, 0),
+    (2, 0, 0, 1, 1.0, 0), (2, 0, 0, 14, 0.0, 0), (2, 0, 1, 4, 0.0, 0), (2, 1, 0, 60, 0.0, 0), (2, 2, 0, 9, 0.3, 0),
     # adverts, notices, reader comments named by their classes, inside the article and outside
     (0, 2, 0, 7, 0.0, 0), (0, 2, 0, 90, 0.0, 0), (0, 2, 1, 2, 0.0, 0), (0, 2, 0, 3, 1.0, 0), (1, 2, 0, 6, 0.0, 0), (1, 2, 0, 120, 0.0, 0), (1, 2, 1, 3, 0.0, 0),
-    # article and main, headings and short blocks included; their lists of links
-    (1, 0, 1, 2, 0.0, 1), (1, 0, 1, 9, 0.0, 1), (1, 0, 0, 1, 0.0, 1), (1, 0, 0, 25, 0.1, 1), (1, 0, 0, 120, 0.0, 1), (1, 0, 0, 9, 0.4, 1),
-    (1, 1, 0, 1, 0.0, 1), (1, 1, 0, 70, 0.0, 1), (1, 1, 1, 5, 0.0, 1), (1, 0, 0, 2, 1.0, 0), (1, 0, 0, 12, 0.9, 0), (1, 1, 0, 4, 1.0, 0),
+    # article and main, headings, short blocks and links included
+    (1, 0, 1, 2, 0.0, 1), (1, 0, 1, 9, 1.0, 1), (1, 0, 0, 1, 0.0, 1), (1, 0, 0, 4, 0.0, 1), (1, 0, 0, 12, 0.8, 1), (1, 0, 0, 25, 0.1, 1), (1, 0, 0, 120, 0.0, 1), (1, 0, 0, 2, 1.0, 1), (1, 0, 0, 6, 0.3, 1),
+    (1, 1, 0, 1, 0.0, 1), (1, 1, 0, 5, 0.9, 1), (1, 1, 0, 12, 0.0, 1), (1, 1, 0, 70, 0.0, 1), (1, 1, 1, 5, 0.4, 1), (1, 1, 1, 2, 1.0, 1),
     # no sectioning element, but a telling class
-    (0, 1, 1, 6, 0.0, 1), (0, 1, 0, 1, 0.0, 1), (0, 1, 0, 50, 0.0, 1), (0, 1, 0, 25, 0.2, 1), (0, 1, 0, 4, 1.0, 0), (0, 1, 0, 15, 0.8, 0),
-    # neither, but long prose or a row of links
-    (0, 0, 0, 60, 0.0, 1), (0, 0, 0, 35, 0.1, 1), (0, 0, 0, 4, 1.0, 0), (0, 0, 0, 22, 0.8, 0),
+    (0, 1, 1, 2, 0.0, 1), (0, 1, 1, 7, 0.0, 1), (0, 1, 0, 1, 0.0, 1), (0, 1, 0, 4, 0.0, 1), (0, 1, 0, 6, 0.3, 1), (0, 1, 0, 12, 0.0, 1), (0, 1, 0, 50, 0.0, 1), (0, 1, 0, 25, 0.2, 1),
+    # neither, but long prose
+    (0, 0, 0, 90, 0.0, 1), (0, 0, 0, 30, 0.0, 1), (0, 0, 0, 35, 0.3, 1),
 )
-#: Words and link density of the block before and the block after, with which the settled ones are met.
-NEIGHBOURS = ((0, 0.0, 0, 0.0), (1, 1.0, 6, 1.0), (5, 1.0, 60, 0.0), (70, 0.0, 0, 0.0), (40, 0.0, 80, 0.0), (90, 0.0, 3, 1.0), (2, 0.0, 4, 0.0))
-# Short blocks without sectioning element or telling class: the neighbours decide. All features, then 1 for main text.
+#: Words and link density of the block before and the block after: nothing, a link, prose, a short line, in all their pairs.
+KINDS = ((0, 0.0), (1, 1.0), (6, 1.0), (14, 0.0), (80, 0.1), (4, 0.0))
+# Blocks that the neighbours decide, by the kinds of the block before and the one after; all others are dropped:
+# heading, words, link density, and for which neighbours it is main text.
+_PROSE, _TEXT = (3, 4), (0, 3, 4, 5)
 OPEN = (
-    (0, 0, 0, 18, 0.1, 50, 0.0, 40, 0.0, 1), (0, 0, 1, 7, 0.0, 2, 1.0, 60, 0.0, 1), (0, 0, 1, 5, 0.0, 55, 0.0, 70, 0.0, 1), (0, 0, 0, 6, 0.0, 60, 0.0, 55, 0.0, 1),
-    (0, 0, 0, 3, 0.0, 45, 0.0, 40, 0.0, 1), (0, 0, 0, 3, 0.0, 1, 1.0, 2, 1.0, 0), (0, 0, 0, 5, 0.0, 3, 0.0, 4, 1.0, 0), (0, 0, 0, 7, 0.0, 40, 0.0, 0, 0.0, 0),
-    (0, 0, 0, 9, 0.2, 30, 0.0, 0, 0.0, 0), (0, 0, 1, 2, 0.0, 6, 0.0, 3, 1.0, 0), (0, 0, 0, 8, 0.0, 2, 1.0, 5, 0.0, 0), (0, 0, 0, 12, 0.0, 4, 1.0, 6, 1.0, 0),
+    (0, 12, 0.0, "not between links"), (0, 15, 0.2, "not between links"), (0, 9, 0.0, "not between links"),
+    (0, 2, 0.0, "prose beside it or alone"), (0, 6, 0.0, "prose beside it or alone"), (0, 4, 0.3, "prose beside it or alone"),
+    (1, 2, 0.0, "prose after it or alone"), (1, 7, 0.0, "prose after it or alone"), (1, 14, 0.0, "prose after it or alone"), (1, 5, 1.0, "prose after it"),
+    (0, 1, 1.0, "prose on both sides"), (0, 4, 1.0, "prose on both sides"), (0, 12, 0.8, "prose on both sides"),
 )
-LABELLED = tuple((*case[:5], *near, case[5]) for case in SETTLED for near in NEIGHBOURS) + OPEN
+WHERE: dict[str, Callable[[int, int], bool]] = {
+    "not between links": lambda a, c: a in _TEXT or c in _TEXT,
+    "prose beside it or alone": lambda a, c: a in _PROSE or c in _PROSE or a == c == 0,
+    "prose after it or alone": lambda a, c: c in _PROSE or a == c == 0,
+    "prose after it": lambda a, c: c in _PROSE,
+    "prose on both sides": lambda a, c: a in _PROSE and c in _PROSE,
+}
+PAIRS = [(a, c) for a in range(len(KINDS)) for c in range(len(KINDS))]
+LABELLED = tuple((*case[:5], *KINDS[a], *KINDS[c], case[5]) for case in SETTLED for a, c in PAIRS) + tuple(
+    (0, hint, *case[:3], *KINDS[a], *KINDS[c], int(WHERE[case[3]](a, c))) for case in OPEN for hint in ((0, 1) if case[2] > 0.5 else (0,)) for a, c in PAIRS
+)
 
 
-def train(rows: Sequence[tuple[float, ...]] = LABELLED, depth: int = 8) -> tuple:
+def train(rows: Sequence[tuple[float, ...]] = LABELLED, depth: int = 14) -> tuple:
     """A binary decision tree by Gini impurity: (feature, threshold, at most, above) or a label."""
     labels = [int(r[-1]) for r in rows]
     ones = sum(labels)
@@ -212,7 +289,7 @@ def extract(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
                 text = [main_text(h, tree) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(text, pa.string())})
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(common.tidy(run), "page_id long, url string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
