@@ -616,15 +616,71 @@ def test_license_rules(spark, odd):
     assert licenses.scan(odd).count() == len(odd_rows()) and licenses.scan(odd.limit(0)).count() == 0
 
 
-def test_sentences_without_cues(spark):
-    texts = {
-        "gpl3_ref": "Released under GPL v3.", "gpl2_ref": "Distributed under GPL-2.", "gpl_later": "or (at your option) any later version", "lgpl_ref": "Distributed under LGPL 2.1.", "agpl_ref": "AGPL", "mpl2_ref": "MPL 2.0",
-        "cc_by_nc_nd": "CC BY-NC-ND 4.0", "cc_by_nc_sa": "Attribution-NonCommercial-ShareAlike", "cc_by_nc": "CC BY-NC 4.0", "cc_by_sa": "CC BY-SA 4.0", "cc_by": "CC BY 4.0", "cc0": "CC0",
-        "proprietary": "Unauthorized copying of this file, via any medium is strictly prohibited",
-    }
-    assert not any(re.search(licenses.CUE, t) for t in texts.values()) and all(p.startswith(r"\b") for _, ps in licenses.SENTENCES for p in re.split(r"\|(?=\\b)", ps))
-    rows = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
-    assert all(f"<{r.doc_id}>" in r.sequence for r in rows) and len(rows) == len(texts)
+NOTICES = {
+    "Released under GPL v3.": "GPL-3.0", "Distributed under GPLv2 or later.": "GPL-2.0", "Distributed as CC0.": "CC0-1.0", "CC BY 4.0": "CC-BY", "Code is LGPL.": "LGPL", "This is AGPL software.": "AGPL-3.0", "MPL 2.0": "MPL-2.0",
+    "CC BY-NC-ND 4.0": "CC-BY-NC-ND", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International": "CC-BY-NC-SA", "Creative Commons Attribution 4.0": "CC-BY", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "This program is made available under the terms of the Eclipse Public License 2.0": "EPL-2.0", "Licensed under the EUPL, Version 1.2 or later": "EUPL", "You may use it under the Artistic License 2.0.": "Artistic-2.0", "zlib License": "Zlib",
+    "// SPDX-License-Identifier: MIT\nint main() {}": "MIT", "# SPDX-License-Identifier: Apache-2.0\nimport os": "Apache-2.0", "/* SPDX-License-Identifier: (GPL-2.0+ OR BSD-3-Clause) */": "GPL-2.0,BSD-3-Clause", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "SPDX-License-Identifier: Made-Up-9": "",
+    "GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "GPL-3.0",
+    """This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 2 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.""": "GPL-2.0",
+    """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""": "LGPL-2.1",
+    """Copyright 2019 Foo
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES.
+See the License for the specific language governing permissions and limitations under the License.""": "Apache-2.0",
+    """Copyright (c) 1998, Regents. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list.
+2. Redistributions in binary form must reproduce the above copyright notice.
+3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.""": "BSD-3-Clause",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file": "MPL-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "ISC",
+    "The origin of this software must not be misrepresented; you must not claim that you wrote it. Altered source versions must be plainly marked as such.": "Zlib",
+    "Copyright © 2020 Foo. All rights reserved.": "", "Unauthorized copying of this file, via any medium is strictly prohibited": "Proprietary", "Use it mit Lizenz. He gave permission.": "", "You can use the Artistic License or GPL.": "GPL,Artistic",
+    "This is free and unencumbered software released into the public domain.": "Unlicense", "We had an option, for example, to endorse success by others": "",
+}
+
+
+def test_notices(spark):
+    found = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([(t, t) for t in NOTICES], "doc_id string, text string")).collect()}
+    assert found == NOTICES
+
+
+def test_identifiers_stand_in_text_order(spark):
+    text = "CC BY-SA 4.0 or the MIT License, like the Apache License 2.0. GPL v3; and the MIT license."
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.sequence == "<cc_by_sa><mit_ref><apache2_ref><gpl3_ref><mit_ref>" and row.licenses == "Apache-2.0,GPL-3.0,MIT,CC-BY-SA" and row.n_matches == 5 and row.leftover == ""
+
+
+def test_every_branch_holds_an_anchor():
+    def branches(p):
+        out, depth = [""], 0
+        for c in p:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                out.append("")
+            else:
+                out[-1] += c
+        return out
+
+    for name, p in licenses.SENTENCES:
+        for branch in branches(p):
+            parts = branches(branch[branch.index("(?:") + 3 : branch.index(")")]) if branch.startswith(r"\b(?:") else [branch]
+            rest = branch[branch.index(")") :] if branch.startswith(r"\b(?:") else ""
+            assert all(any(a in x + rest for a in licenses.ANCHORS) or any(re.search(rf"(?:\\b|^){a}(?![a-z])", x) for a in licenses.SHORT) for x in parts), (name, branch)
 
 
 # -- pages
@@ -647,6 +703,86 @@ def test_pages(spark):
 PROSE = "A lone paragraph of plain prose that holds twelve words in all."
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
+        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
+        ("<head><style>p{}</style>" + PROSE, PROSE),
+        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
+        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
+        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
+        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
+        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
+        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
+        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
+        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
+        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
+        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
+        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
+        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
+    ],
+)
+def test_page_cases(page, want):
+    assert html_extract.main_text(page, html_extract.train()) == want
+
+
+def test_tree_uses_neighbours():
+    used = collections.Counter()
+
+    def walk(tree):
+        if len(tree) > 1:
+            used[tree[0]] += 1
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(html_extract.train())
+    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
+
+
+PROSE = "A lone paragraph of plain prose that holds twelve words in all."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
+        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
+        ("<head><style>p{}</style>" + PROSE, PROSE),
+        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
+        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
+        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
+        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
+        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
+        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
+        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
+        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
+        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
+        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
+        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
+        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
+    ],
+)
+def test_page_cases(page, want):
+    assert html_extract.main_text(page, html_extract.train()) == want
+
+
+def test_tree_uses_neighbours():
+    used = collections.Counter()
+
+    def walk(tree):
+        if len(tree) > 1:
+            used[tree[0]] += 1
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(html_extract.train())
+    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
+
+
+PROSE = "A lone paragraph of plain prose that holds twelve words in all."
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
