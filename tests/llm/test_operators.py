@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,9 +387,51 @@ def test_equal_vectors_and_crowds(spark, monkeypatch):
 
 def test_calibration():
     for n in (10, 10_000, 10**9):
-        lines, bands, count = embeddings.calibrate(n)
-        p = embeddings._same_window((2 - 2 * 0.95) ** 0.5) ** lines
-        assert embeddings._at_least(bands, p, count) >= embeddings.RECALL > embeddings._at_least(bands - 1, p, count)
+        signs, bands = embeddings.calibrate(n)
+        same = (1 - np.arccos(0.95) / np.pi) ** signs
+        assert 1 - (1 - same) ** bands >= embeddings.BLOCK_RECALL and (bands == 1 or 1 - (1 - same) ** (bands - 1) < embeddings.BLOCK_RECALL)
+
+
+@pytest.mark.parametrize("at_once", [200_000, 7])
+def test_collisions_equal_brute_force(monkeypatch, at_once):
+    monkeypatch.setattr(embeddings, "AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    lines = rng.integers(-20, 20, (120, embeddings.LINES)).astype(np.int8)
+    lines[60:] = np.clip(lines[:60] + rng.integers(-9, 9, (60, embeddings.LINES)), -127, 127)
+    group = rng.integers(0, 3, 120)
+    group[60:] = np.where(rng.random(60) < 0.8, group[:60], group[60:])
+    found = collections.Counter((min(a, b), max(a, b)) for i, j in embeddings.collide(group, lines, 6, 20) for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    want = {(a, b) for b in range(120) for a in range(b) if group[a] == group[b] and (np.abs(lines[a].astype(int) - lines[b]) <= 6).sum() >= 20}
+    assert set(found) == want and max(found.values()) == 1 and len(want) > 20
+
+
+def test_recall_on_a_large_table(spark):
+    """100,000 vectors with 2,000 planted pairs at cosines of 0.95 to 0.96, against all pairs by brute force."""
+    rng = np.random.default_rng(21)
+    n, dim = 100_000, 48
+    v = rng.standard_normal((n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    away = rng.standard_normal((2000, dim))
+    away -= (away * v[:2000]).sum(1, keepdims=True) * v[:2000]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = rng.uniform(0.9501, 0.96, (2000, 1))
+    v[2000:4000] = cos * v[:2000] + np.sqrt(1 - cos**2) * away
+    want = set()
+    for lo in range(0, n, 2000):
+        a, b = np.nonzero(v[lo : lo + 2000] @ v.T >= 0.95)
+        want |= {(x + lo, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x + lo < y}
+    classes = spark.createDataFrame(pd.DataFrame({"cid": np.arange(n), "size": 1, "vector": [x.tobytes() for x in v]}), "cid long, size long, vector binary").repartition(8)
+    pairs = embeddings.candidates(classes.select("cid", "vector"), embeddings.Lines(*embeddings.calibrate(n))).cache()
+    found = {(r.a, r.b) for r in embeddings.verify(pairs, classes).collect()}
+    assert len(want) >= 2000 and found <= want and len(found) / len(want) >= 0.95
+    assert pairs.count() < 20 * len(want)  # the count leaves few to verify
+
+
+def test_odd_vector_rows(spark):
+    rows = [(1, [1.0, 0.0], "x", 5), (1, [1.0, 0.01], "y", 6), (2, [0.0, 1.0], "z", 7), (2, [0.0, 1.0], "z", 7), (3, [1.0, 0.0, 0.0], "w", 8)]
+    clash = spark.createDataFrame(rows, "vec_id long, embedding array<double>, hash string, size int")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(clash).collect())
+    assert found == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 2, True), (2, 1, 2, True), (3, 0, 3, True)]
 
 
 # -- secrets

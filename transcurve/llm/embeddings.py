@@ -1,22 +1,23 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Every distinct vector is projected on many random lines. The lines are used in bands:
-a band cuts the values of its lines into windows, and vectors that share all windows of
-a band stand next to each other in the order sorted by that band's cell. A pair's
-collisions are counted over all bands; pairs that reach a count calibrated for recall
-at the threshold are verified by their cosine in double precision. A band has as many
-lines as keep the chance collisions of a vector constant while the table grows, and
-there are as many bands as the wanted recall needs.
-
-A pair is judged in the first band it shares, where both vectors are at hand, so no
-pairs are written: the scan gives each vector's number of links and the edges of a
-spanning forest. Equal vectors are one class. Cells of very many vectors are cut into
-chunks that meet two at a time. Nothing is capped.
-
-Null, empty and zero vectors and vectors with null or non-finite components link with
-nothing; vectors of different lengths never link. A null vec_id links with nothing and
-has no component. Repeated ids with different vectors are both compared; extra columns
-are ignored; an empty table gives an empty result.
+Every distinct vector is projected on many random lines. The values on a line are sorted,
+and around each vector's own value a window is laid that two vectors at the threshold
+nearly always share; the vectors inside collide with it. Pairs that collide on so many
+lines as a recall-calibrated count asks for are verified by their cosine in double
+precision. A pair that reaches the count misses few lines, so it collides on one of the
+first few; the others are only looked at for such pairs.
+
+One line's window holds a constant share of all vectors, so the sorted lists are cut into
+blocks first: by bands of signs of further projections, with as many signs as keep blocks
+small while the table grows, and as many bands as let a pair at the threshold share a block
+in one of them. Rows of a block carry an id and the projections in a byte each, no vectors.
+Blocks of very many vectors are cut into chunks that meet two at a time. Nothing is capped.
+
+Equal vectors are one class. Null, empty and zero vectors and vectors with null or
+non-finite components link with nothing; vectors of different lengths never link. A null
+vec_id links with nothing and has no component. Repeated ids with different vectors are
+both compared, and each reports its own links; extra columns are ignored; an empty table
+gives an empty result. There are no ties: every pair is judged alone.
 """
 
 from __future__ import annotations
@@ -31,58 +32,66 @@ from pyspark.sql import functions as F
 
 from transcurve.llm import common
 
-#: Least cosine of a link, recall that the count is calibrated for at that cosine, least count.
-THRESHOLD, RECALL, COUNT = 0.95, 0.95, 2
-#: Width of a window in units of the projections' deviation over unit vectors.
-WINDOW = 1.1
-#: Chance collisions of a vector in a band that set the number of lines.
-CHANCE = 8
-#: Vectors of a cell from which on it is cut, and of a chunk.
-HOT, CHUNK = 2048, 1024
-#: Rows that the scan of a sorted partition holds together, cells being bounded by 2 * CHUNK or HOT.
-HELD = 20_000
+#: Least cosine of a link; recall, at that cosine, of the blocks and of the count.
+THRESHOLD, BLOCK_RECALL, COUNT_RECALL = 0.95, 0.985, 0.99
+#: Lines whose collisions are counted, and half a window in deviations of the difference of a pair at the threshold.
+LINES, WINDOW = 32, 2.0
+#: Steps of a stored projection for each deviation of the projections over unit vectors.
+STEPS = 14
+#: Vectors of a block by which the number of signs is set.
+CHANCE = 16
+#: Vectors of a block from which on it is cut, and of a chunk.
+HOT, CHUNK = 4096, 2048
+#: Rows that the scan of a sorted partition holds together, and pairs that it looks at together.
+HELD, AT_ONCE = 20_000, 200_000
 SEED = 11
 
 
-def _same_window(distance: float, width: float = WINDOW) -> float:
-    """Chance that two values whose difference is normal with this deviation share a window of random offset."""
-    a = width / distance
-    return math.erf(a / math.sqrt(2)) - 2 / (a * math.sqrt(2 * math.pi)) * (1 - math.exp(-a * a / 2))
-
-
 def _at_least(n: int, p: float, k: int) -> float:
     return 1 - sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
 
 
-def calibrate(vectors: int, threshold: float = THRESHOLD, recall: float = RECALL, count: int = COUNT) -> tuple[int, int, int]:
-    """Lines of a band, bands, and the collisions to ask for, for a table of so many vectors."""
-    near, far = _same_window(math.sqrt(2 - 2 * threshold)), _same_window(math.sqrt(2))
-    lines = max(4, math.ceil(math.log(max(vectors, 2) / CHANCE) / -math.log(far)))
-    p, bands = near**lines, count
-    while _at_least(bands, p, count) < recall:
-        bands += 1
-    return lines, bands, count
+def calibrate(vectors: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Signs of a band and bands for a table of so many vectors: a pair at the threshold shares a block with BLOCK_RECALL."""
+    signs = max(1, math.ceil(math.log2(max(vectors, 2) / CHANCE)))
+    same = (1 - math.acos(threshold) / math.pi) ** signs
+    return signs, max(1, math.ceil(math.log(1 - BLOCK_RECALL) / math.log1p(-same)))
+
 
+def window(threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Half a window in steps, and the collisions to ask for: a pair at the threshold has them with COUNT_RECALL.
+
+    Rounding moves each of two values by half a step at most, so the window is a step wider.
+    """
+    share = math.erf(WINDOW / math.sqrt(2))
+    count = max(k for k in range(1, LINES + 1) if _at_least(LINES, share, k) >= COUNT_RECALL)
+    return math.floor(WINDOW * math.sqrt(2 - 2 * threshold) * STEPS) + 1, count
 
-class Cells:
-    """Windows of unit vectors: one 64-bit cell for each band."""
 
-    def __init__(self, lines: int, bands: int, seed: int = SEED):
-        self.lines, self.bands, self.seed, self.made = lines, bands, seed, {}
+class Lines:
+    """Block of each band, and stored projections, of unit vectors."""
 
-    def __call__(self, unit: np.ndarray) -> np.ndarray:
-        dim = unit.shape[1]
+    def __init__(self, signs: int, bands: int, seed: int = SEED):
+        self.signs, self.bands, self.seed, self.made = signs, bands, seed, {}
+
+    def _of(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
         if dim not in self.made:
             rng = np.random.default_rng([self.seed, dim])
-            n = self.lines * self.bands
-            self.made[dim] = (rng.standard_normal((dim, n)) / WINDOW, rng.random(n))
-        lines, offset = self.made[dim]
-        window = np.floor(unit @ lines + offset).astype(np.int64).view(np.uint64).reshape(len(unit), self.bands, self.lines)
-        cell = np.full((len(unit), self.bands), dim, np.uint64) + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
-        for i in range(self.lines):
-            cell = (cell ^ window[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
-            cell ^= cell >> np.uint64(31)
-        return cell.view(np.int64)
+            self.made[dim] = rng.standard_normal((dim, LINES)), rng.standard_normal((dim, self.signs * self.bands))
+        return self.made[dim]
+
+    def blocks(self, unit: np.ndarray) -> np.ndarray:
+        sign = (unit @ self._of(unit.shape[1])[1] >= 0).reshape(len(unit), self.bands, self.signs)
+        block = np.full((len(unit), self.bands), unit.shape[1], np.uint64) + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
+        for i in range(0, self.signs, 32):
+            part = sign[:, :, i : i + 32]
+            block = (block ^ (part @ (np.uint64(1) << np.arange(part.shape[2], dtype=np.uint64)))) * np.uint64(0x9E3779B97F4A7C15)
+            block ^= block >> np.uint64(31)
+        return block.view(np.int64)
+
+    def stored(self, unit: np.ndarray) -> np.ndarray:
+        # values beyond a byte stay where bytes end: that can only bring two of them together
+        return np.clip(np.rint(unit @ self._of(unit.shape[1])[0] * STEPS), -127, 127).astype(np.int8)
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -96,8 +105,8 @@ def _by_length(raw: list[bytes]) -> Iterator[np.ndarray]:
         yield np.flatnonzero(sizes == n)
 
 
-def _placed(classes: DataFrame, cells: Cells, with_vector: bool) -> DataFrame:
-    """A row for each vector and band: cell, band, rep, size and, if wanted, the vector."""
+def _placed(classes: DataFrame, lines: Lines, with_values: bool) -> DataFrame:
+    """A row for each vector and band: block and, if wanted, cid and the stored projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,86 +114,71 @@ def _placed(classes: DataFrame, cells: Cells, with_vector: bool) -> DataFrame:
                 part = batch.slice(start, 1000)
                 raw = part.column("vector").to_pylist()
                 for rows in _by_length(raw):
-                    cell = cells(_unit([raw[i] for i in rows])).ravel()
-                    again = pa.array(np.repeat(rows, cells.bands))
-                    out = {"cell": pa.array(cell)}
-                    if with_vector:
-                        out |= {"band": pa.array(np.tile(np.arange(cells.bands, dtype=np.int32), len(rows)))} | {c: part.column(c).take(again) for c in ("rep", "size", "vector")}
+                    unit = _unit([raw[i] for i in rows])
+                    out = {"block": pa.array(lines.blocks(unit).ravel())}
+                    if with_values:
+                        own = pa.array([x.tobytes() for x in lines.stored(unit)], pa.binary())
+                        again = np.repeat(np.arange(len(rows)), lines.bands)
+                        out |= {"cid": part.column("cid").take(pa.array(rows[again])), "lines": own.take(pa.array(again))}
                     yield pa.RecordBatch.from_pydict(out)
 
-    return classes.mapInArrow(run, "cell long, band int, rep long, size long, vector binary" if with_vector else "cell long")
-
-
-def _judge(key: np.ndarray, cut: np.ndarray, chunk: np.ndarray, band: np.ndarray, rep: np.ndarray, size: np.ndarray, raw: list[bytes], cells: Cells, count: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of rows sorted by cell, judged in the first band a pair shares: row pairs with their link."""
-    unit = _unit(raw)
-    own = cells(unit)
-    left, right = [], []
-    at, step = np.arange(len(key)), 0
-    while len(at):
-        step += 1
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
-        for lo in range(0, len(at), 1 << 16):
-            i = at[lo : lo + (1 << 16)]
-            j = i + step
-            meet = ~cut[i] | (chunk[i] != chunk[j])  # chunks that meet only across judge no pair of their own
-            i, j = i[meet], j[meet]
-            same = own[i] == own[j]
-            mine = (same.sum(1) >= count) & (same.argmax(1) == band[i])
-            i, j = i[mine], j[mine]
-            linked = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-            left.append(i[linked])
-            right.append(j[linked])
-    empty = np.zeros(0, np.int64)
-    return np.concatenate(left or [empty]), np.concatenate(right or [empty]), rep, size
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, least node of its component) that connect what the links (a, b) connect."""
-    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    away = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[away], nodes[label[away]]
-
-
-def links(classes: DataFrame, cells: Cells, count: int, threshold: float = THRESHOLD) -> DataFrame:
-    """For classes (rep, size, vector): rows (u, v, links).
-
-    With v null, ``links`` is a part of u's number of linked vectors of other classes; other
-    rows are edges that connect what the links connect.
+    return classes.mapInArrow(common.tidy(run), "block long, cid long, lines binary" if with_values else "block long")
+
+
+def collide(group: np.ndarray, lines: np.ndarray, half: int, count: int, meet: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of one group that collide on ``count`` lines or more, each once, a slice of pairs at a time.
+
+    ``group`` numbers the groups from 0; rows need no order. On each of the first lines the
+    rows are sorted by group and value, and every row's window is cut out of that order;
+    a pair is judged on the first line on which it collides.
     """
-    spread = _placed(classes, cells, True)
-    crowd = common.cut(_placed(classes, cells, False).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("cell").alias("hot"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    spread = spread.join(crowd, F.col("cell") == F.col("hot"), "left").drop("hot")
-    chunk = F.coalesce(F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("chunks").cast("long")).cast("int"), F.lit(0))
+    for line in range(lines.shape[1] - count + 1):
+        value = group * np.int64(1024) + lines[:, line]
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        n = np.searchsorted(value, value + half, "right") - np.arange(1, len(value) + 1)  # the window's upper half: each pair once
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+            own = np.repeat(np.arange(lo, hi), n[lo:hi])
+            step = np.arange(len(own)) - np.repeat(ends[lo:hi] - n[lo:hi] - (ends[lo - 1] if lo else 0), n[lo:hi]) + 1
+            i, j = order[own], order[own + step]
+            lo = hi
+            if meet is not None:
+                keep = meet(i, j)
+                i, j = i[keep], j[keep]
+            for before in range(line):
+                new = np.abs(lines[i, before].astype(np.int16) - lines[j, before]) > half
+                i, j = i[new], j[new]
+            seen = np.ones(len(i), np.int16)
+            for after in range(line + 1, lines.shape[1]):
+                seen += np.abs(lines[i, after].astype(np.int16) - lines[j, after]) <= half
+                if after % 8 == 7:  # those that can't reach the count any more
+                    open_ = seen + (lines.shape[1] - 1 - after) >= count
+                    i, j, seen = i[open_], j[open_], seen[open_]
+            enough = seen >= count
+            if enough.any():
+                yield i[enough], j[enough]
+
+
+def candidates(classes: DataFrame, lines: Lines, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of the classes (cid, vector) that reach the count in a block they share."""
+    spread = _placed(classes, lines, True)
+    crowd = common.cut(_placed(classes, lines, False).groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("block").alias("hot"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    spread = spread.join(crowd, F.col("block") == F.col("hot"), "left").drop("hot")
+    chunk = F.coalesce(F.pmod(F.xxhash64("cid", F.lit(SEED)), F.col("chunks").cast("long")).cast("int"), F.lit(0))
     spread = spread.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)))
-    spread = spread.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other")).withColumn("key", F.xxhash64("cell", "a", "b")).withColumn("cut", F.col("a") < F.col("b"))
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
+    spread = spread.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other")).withColumn("key", F.xxhash64("block", "x", "y")).withColumn("cut", F.col("x") < F.col("y"))
+    half, count = window(threshold)
 
     def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        raw = table.column("vector").to_pylist()
-        col = {c: table.column(c).to_numpy() for c in ("key", "cut", "chunk", "band", "rep", "size")}
-        for rows in _by_length(raw):  # a cell holds one length
-            part = {c: x[rows] for c, x in col.items()}
-            i, j, rep, size = _judge(*(part[c] for c in ("key", "cut", "chunk", "band", "rep", "size")), [raw[r] for r in rows], cells, count, threshold)
-            if len(i):
-                who, at = np.unique(np.concatenate((rep[i], rep[j])), return_inverse=True)
-                n = np.bincount(at, np.concatenate((size[j], size[i]))).astype(np.int64)
-                u, v = _forest(rep[i], rep[j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((who, u))), pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(v, pa.int64())]), pa.array(np.concatenate((n, np.zeros(len(u), np.int64))))], schema=schema)
+        key, cut, chunk, cid = (table.column(c).to_numpy() for c in ("key", "cut", "chunk", "cid"))
+        own = np.frombuffer(b"".join(table.column("lines").to_pylist()), np.int8).reshape(len(key), LINES)
+        group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        # chunks that meet only across judge no pair of their own
+        for i, j in collide(group, own, half, count, lambda i, j: ~cut[i] | (chunk[i] != chunk[j])):
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(cid[i], cid[j])), "b": pa.array(np.maximum(cid[i], cid[j]))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -193,15 +187,33 @@ def links(classes: DataFrame, cells: Cells, count: int, threshold: float = THRES
             held = table if held is None else pa.concat_tables([held, table])
             if held.num_rows >= HELD:
                 key = held.column("key").to_numpy()
-                whole = int(np.searchsorted(key, key[-1]))  # the last cell may go on in the next batch
+                whole = int(np.searchsorted(key, key[-1]))  # the last block may go on in the next batch
                 if whole:
                     yield from judge(held.slice(0, whole).combine_chunks())
                     held = held.slice(whole)
         if held is not None and held.num_rows:
             yield from judge(held.combine_chunks())
 
-    rows = spread.select("key", "cut", "chunk", "band", "rep", "size", "vector").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, "u long, v long, links long")
+    rows = spread.select("key", "cut", "chunk", "cid", "lines").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(common.tidy(run), "a long, b long").distinct()
+
+
+def verify(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs whose cosine reaches the threshold in double precision: a, b and their classes' sizes n, m."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            keep = np.zeros(len(x), bool)
+            for rows in _by_length(x):
+                rows = np.array([i for i in rows if len(x[i]) == len(y[i])], np.int64)
+                if len(rows):
+                    keep[rows] = np.einsum("ij,ij->i", _unit([x[i] for i in rows]), _unit([y[i] for i in rows])) >= threshold
+            yield batch.select(["a", "b", "n", "m"]).filter(pa.array(keep))
+
+    left = classes.select(F.col("cid").alias("a"), F.col("vector").alias("x"), F.col("size").alias("n"))
+    right = classes.select(F.col("cid").alias("b"), F.col("vector").alias("y"), F.col("size").alias("m"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(common.tidy(run), "a long, b long, n long, m long")
 
 
 def _packed(values: DataFrame) -> DataFrame:
@@ -217,25 +229,22 @@ def _packed(values: DataFrame) -> DataFrame:
                 out.append((a / top if top < 1e-100 or top > 1e100 else a).tobytes() if np.isfinite(a).all() and top > 0 else None)
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "vector": pa.array(out, pa.binary())})
 
-    return values.mapInArrow(run, "vec_id long, vector binary")
+    return values.mapInArrow(common.tidy(run), "vec_id long, vector binary")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding)."""
     packed = _packed(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")))
     packed = packed.withColumn("hash", F.when(F.col("vector").isNotNull() & F.col("vec_id").isNotNull(), F.sha2("vector", 256)))
-    classes = common.cut(
-        packed.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"))
-    )
-    lines, bands, count = calibrate(classes.count(), threshold, recall)
-    found = common.cut(links(classes.select("rep", "size", "vector"), Cells(lines, bands), count, threshold))
-    totals = found.where("v is null").groupBy(F.col("u").alias("tu")).agg(F.sum("links").alias("links"))
-    parts = common.components(found.where("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b")))
-    # two classes can have one least id where an id repeats; their links add up, as for one vector
-    known = common.cut(
-        classes.select("hash", "rep", "size").join(totals, F.col("rep") == F.col("tu"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-        .select(F.col("hash").alias("h"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    classes = packed.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"))
+    classes = common.cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    found = common.cut(verify(candidates(classes.select("cid", "vector"), Lines(*calibrate(classes.count(), threshold)), threshold), classes, threshold))
+    ends = found.select(F.col("a").alias("lc"), F.col("m").alias("k")).unionByName(found.select(F.col("b").alias("lc"), F.col("n").alias("k")))
+    totals = ends.groupBy("lc").agg(F.sum("k").alias("links"))
+    parts = common.components(found.select("a", "b"))
+    owned = common.cut(classes.select("hash", "rep", "size", "cid").join(totals, F.col("cid") == F.col("lc"), "left").join(parts, F.col("cid") == F.col("node"), "left").select("hash", "rep", "size", "links", F.coalesce("component", "cid").alias("part")))
+    least = common.cut(owned.groupBy("part").agg(F.min("rep").alias("component_id")).select(F.col("part").alias("p"), "component_id"))
+    known = owned.join(least, F.col("part") == F.col("p")).select(F.col("hash").alias("h"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = packed.select("vec_id", "hash").join(known, F.col("hash") == F.col("h"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
