@@ -17,6 +17,33 @@ from transcurve.streaming.score import write_scores
 FAMILY = StatusFamily.simple(["C", "P", "D"])
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(8)
+    for x in (rng.standard_normal(5000), rng.integers(0, 7, 3000).astype(float), np.array([3.0]), np.array([1.0, 2.0]), np.concatenate((np.zeros(900), rng.random(100)))):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+        for p in ([0.0, 0.1, 0.5, 0.99, 1.0], [i / 100 for i in range(100)]):
+            assert quantile.exact_quantiles(df, "x", p, accuracy=200) == pytest.approx(np.quantile(x, p).tolist())
+    assert quantile.exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == []
+
+
+def test_guarded_fits_and_knobs(spark):
+    rows = [(i, "F", "O" if (i * 7919) % 100 < 30 + 20 * (i % 2) else "F", float(i % 2)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, status string, next_status string, f double")
+    fitter = Fitter(df, StatusFamily(("F", "O")), "F", "status", "next_status", ["f"], Settings(complex_results=True), forbidden=lambda to, regressor, kind: kind == "GAUSSIAN")
+    before = fitter.chain.last
+    assert before.point.level == 2 and before.point.tic > 0  # all derivatives
+    assert fitter.add_coefficients(["f"]) and fitter.chain.last.entropy < before.entropy and fitter.chain.last.aic_difference < -5
+    model = fitter.chain.model
+    worse = fitter.guarded("worse", Model.create(StatusFamily(("F", "O")), "F"), lambda p: False)
+    assert worse.point is fitter.chain.last.point and fitter.chain.skipped == ["worse"] and fitter.chain.model == model
+    assert {c.model.entries[-1].depth[0][1].type for c in fitter.candidates(model, ["f"])} <= {"LOGISTIC"}
+    wrong = fitter.chain.last.point
+    broken = type(wrong)(wrong.model, wrong.level, wrong.sums | {"h": wrong.sums["h"] * 0.5})
+    with pytest.raises(FitError):
+        fitter.chain.force("validated", broken)
+    fitter.close()
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     df = spark.range(3000).selectExpr("id", "rand(1) x", "randn(2) y", "cast(rand(3) * 3 as int) next_offset").cache()

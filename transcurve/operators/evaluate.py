@@ -84,6 +84,13 @@ class Point:
         return criteria.objective(target, self.n, self.entropy, self.model.pack(), get("g2"), get("j"), get("fisher"), get("hessian"), l2)
 
 
+def _tasks(grid: DataFrame) -> int:
+    """Tasks of a pass over a grid, planned once for all the passes of a fit."""
+    if "_tasks" not in grid.__dict__:
+        grid.__dict__["_tasks"] = grid.rdd.getNumPartitions()
+    return grid.__dict__["_tasks"]
+
+
 def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> dict[str, np.ndarray]:
     return {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in names}
 
@@ -120,7 +127,7 @@ def sums(grid: DataFrame, models: Sequence[Model], level: int = k.VALUE, previou
     schema = "model int, sums binary"
     rows = grid.select(*names, "next_offset")
     partial = rows.mapInArrow(run, schema)
-    if (tasks := rows.rdd.getNumPartitions()) > TREE:  # one more, small shuffle keeps the driver's share at the root
+    if (tasks := _tasks(grid)) > TREE:  # one more, small shuffle keeps the driver's share at the root
         partial = partial.repartition(int(tasks**0.5)).mapInArrow(add, schema)
     out: list[np.ndarray | None] = [None] * len(models)
     for r in partial.collect():  # a row for each task and model, TREE tasks at most

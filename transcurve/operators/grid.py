@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transcurve.spec import Model, StatusFamily
@@ -74,14 +75,25 @@ def shuffle_key(row_id: Column | str, seed: int) -> Column:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there, so that it can't come out differently.
 
-    The folder is the one in ``spark.checkpoint.dir``; a private one only where none is named.
+    The folder is ``shared_folder``'s.
     """
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where none is named, a session of one process (tests) gets
+    one of its own, and a cluster an error: a machine's folder would lose rows there."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return named
+    if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def blocks(df: DataFrame, order: Sequence[Column | str], size: int = BLOCK, name: str = "block_id") -> DataFrame:
     """Numbers contiguous blocks of ``size`` rows in ``order``; the last takes the remainder.
 

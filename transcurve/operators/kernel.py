@@ -40,10 +40,12 @@ class Kernel:
         p = softmax.np_probabilities(self.scores(x, len(actual)))
         return softmax.np_entropy((p * self.same[actual].T).sum(axis=0))
 
-    def rows(self, x: dict[str, np.ndarray], actual: np.ndarray, second: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Entropy [n], its gradient [params, n] and, if wanted, Hessian [params, params, n].
+    def rows(self, x: dict[str, np.ndarray], actual: np.ndarray, level: int = SECOND) -> tuple[np.ndarray, ...]:
+        """Entropy [n], its gradient and the diagonal of its Hessian [params, n]; at the second level also the
+        Hessian's sum over the rows [params, params] and the sum of its products with the gradient [params].
 
-        The derivatives are those of the value: a row at the entropy cap has none.
+        The derivatives are those of the value: a row at the entropy cap has none. No more
+        than one array of n is held for a pair of parameters.
         """
         n, m = len(actual), self.model
         weights, parts = self._parts(x, n)
@@ -63,18 +65,21 @@ class Kernel:
                 slope[i] = self.betas[k, e] * self._rest(parts[e], d) * self._curve(e, d).gradient(x[m.entries[e].depth[d][0]])[j]
         status = [k for k, *_ in self.places]
         grad = g[status] * slope
-        if not second:
-            return h, grad, None
-        hess = np.empty((len(status), len(status), n))
+        diagonal, hess, shift = np.empty((len(status), n)), np.empty((len(status), len(status))), np.zeros(len(status))
         for a, (k, e, d, j) in enumerate(self.places):
-            for b in range(a, len(status)):
+            for b in range(a, len(status) if level >= SECOND else a + 1):
                 k2, e2, d2, j2 = self.places[b]
                 by_score = ((p[k] - q[k]) * (k == k2) - p[k] * p[k2] + q[k] * q[k2]) * live
                 term = by_score * slope[a] * slope[b]
                 if k == k2 and e == e2 and (d >= 0 or d2 >= 0):
                     term += g[k] * self._bend(x, parts[e], k, e, d, j, d2, j2)
-                hess[a, b] = hess[b, a] = term
-        return h, grad, hess
+                hess[a, b] = hess[b, a] = term.sum()
+                shift[a] += term @ grad[b]
+                if a == b:
+                    diagonal[a] = term
+                else:
+                    shift[b] += term @ grad[a]
+        return h, grad, diagonal, hess, shift
 
     def _curve(self, e: int, d: int):
         return self.model.entries[e].depth[d][1]
@@ -113,11 +118,10 @@ def sums(kernel: Kernel, x: dict[str, np.ndarray], actual: np.ndarray, level: in
     if level == VALUE:
         h = kernel.entropy(x, actual)
         return np.array([len(h), h.sum(), (h * h).sum()])
-    h, g, hess = kernel.rows(x, actual)
-    j = np.einsum("iin->in", hess)
+    h, g, j, hess, shift = kernel.rows(x, actual, level)
     parts = [[len(h), h.sum(), (h * h).sum()], g.sum(axis=1), (g * g).sum(axis=1), j.sum(axis=1)]
     if level >= SECOND:
-        parts += [(g @ g.T).ravel(), hess.sum(axis=2).ravel(), np.einsum("abn,bn->a", hess, g)]
+        parts += [(g @ g.T).ravel(), hess.ravel(), shift]
     if previous is not None:
         parts += scaled(g, j, previous)
     return np.concatenate([np.asarray(p, float).ravel() for p in parts])

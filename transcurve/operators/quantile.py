@@ -43,34 +43,82 @@ def edge_probabilities(buckets: int = BUCKETS) -> list[float]:
     return [i / buckets for i in range(buckets)]
 
 
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int = 20_000) -> list[float]:
+    """Quantiles of a column's finite values, interpolated between neighbours, without a buffer of all values.
+
+    A mergeable sketch of bounded size brackets every quantile; one pass counts what lies
+    between the brackets' bounds; then only the values inside brackets, a share of about
+    4 * len(probabilities) / accuracy, are counted by value and ranked, a bracket a task.
+    """
+    x = F.col(column).cast("double")
+    rows = df.where(finite(x)).select(x.alias("x"))
+    found = rows.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not found.n:
+        return []
+    aside = 2 / accuracy + 3 / found.n  # the sketch's error, and the neighbours to interpolate between
+    near = [min(1.0, max(0.0, p + s * aside)) for p in probabilities for s in (-1, 1)]
+    at_near = rows.agg(F.percentile_approx("x", near, accuracy).alias("q")).first().q
+    brackets: list[list[float]] = []
+    pairs = [(found.lo if p <= aside else a, found.hi if p >= 1 - aside else b) for p, a, b in zip(probabilities, at_near[::2], at_near[1::2], strict=True)]
+    for a, b in sorted(pairs):
+        if brackets and a <= brackets[-1][1]:
+            brackets[-1][1] = max(b, brackets[-1][1])
+        else:
+            brackets.append([a, b])
+    # the last bracket that begins at or below a value, -1 below all
+    begins = [a for a, _ in brackets]
+    at = F.when(F.col("x") < begins[0], -1).otherwise(bucket(F.col("x"), begins))
+    placed = rows.withColumn("at", at)
+    ends = F.get(F.array(*[F.lit(float(b)) for _, b in brackets]), F.greatest("at", F.lit(0)))
+    placed = placed.withColumn("inside", (F.col("at") >= 0) & (F.col("x") <= ends))
+    counts = {(r["at"], r["inside"]): r["n"] for r in placed.groupBy("at", "inside").agg(F.count("*").alias("n")).collect()}  # two rows a bracket
+    before, total = [], counts.get((-1, False), 0)
+    for i in range(len(brackets)):
+        before.append(total)
+        total += counts.get((i, True), 0) + counts.get((i, False), 0)
+    ranks = [p * (found.n - 1) for p in probabilities]
+    wanted = sorted({int(r) for r in ranks} | {min(int(r) + 1, found.n - 1) for r in ranks})
+    inside = placed.where("inside").groupBy("at", "x").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("at").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    start = F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("at"))
+    ranked = inside.withColumn("upto", upto + start)
+    hits = F.filter(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")))
+    value = {r.w: r.x for r in ranked.where(F.size(hits) > 0).select("x", F.explode(hits).alias("w")).collect()}  # two ranks a quantile
+    out = []
+    for r in ranks:
+        lo, hi = value[int(r)], value[min(int(r) + 1, found.n - 1)]
+        out.append(lo + (r - int(r)) * (hi - lo) if hi != lo else lo)
+    return out
+
+
 def edges_frame(df: DataFrame, column: str, buckets: int = BUCKETS, approximate: bool = False, accuracy: int = 200_000) -> DataFrame:
-    """bucket, edge: the column's quantiles i / buckets, by one aggregate over its finite values.
+    """bucket, edge: the column's quantiles i / buckets over its finite values.
 
-    Exact quantiles interpolate; approximate ones use a mergeable sketch whose size is
-    bounded by the accuracy: at scale, take those.
+    Exact quantiles interpolate (``exact_quantiles``); approximate ones are a mergeable
+    sketch's, whose size is bounded by the accuracy. Only edges reach the driver.
     """
+    if not approximate:
+        found = exact_quantiles(df, column, edge_probabilities(buckets))
+        return df.sparkSession.createDataFrame(list(enumerate(found)), "bucket int, edge double")
     x = F.col(column).cast("double")
-    rows = df.where(finite(x))
-    if approximate:
-        q = F.percentile_approx(x, edge_probabilities(buckets), accuracy)
-    else:
-        q = F.percentile(x, F.array(*map(F.lit, edge_probabilities(buckets))))
-    return rows.agg(q.alias("q")).where("q is not null").select(F.posexplode("q").alias("bucket", "edge"))
+    q = F.percentile_approx(x, edge_probabilities(buckets), accuracy)
+    return df.where(finite(x)).agg(q.alias("q")).where("q is not null").select(F.posexplode("q").alias("bucket", "edge"))
 
 
 def edges(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS, approximate: bool = True, accuracy: int = 200_000) -> dict[str, Edges]:
-    """Breakdowns of several columns in one pass; only the edges reach the driver."""
+    """Breakdowns of several columns, approximate ones in one pass; only the edges reach the driver."""
     out, aggs = {}, []
     for i, c in enumerate(columns):
         x = F.when(finite(F.col(c).cast("double")), F.col(c).cast("double"))
-        q = F.percentile_approx(x, edge_probabilities(buckets), accuracy) if approximate else F.percentile(x, F.array(*map(F.lit, edge_probabilities(buckets))))
-        aggs += [q.alias(f"q{i}"), F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias(f"v{i}")]
+        aggs += [F.percentile_approx(x, edge_probabilities(buckets), accuracy).alias(f"q{i}")] if approximate else []
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias(f"v{i}")]
     if not aggs:
         return {}
     row = df.agg(*aggs).first()
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
-        out[c] = Edges(c, tuple(row[f"q{i}"] or ()), n, row[f"m{i}"] or 0.0, (row[f"v{i}"] / n) ** 0.5 if n else 0.0)
+        values = row[f"q{i}"] or () if approximate else exact_quantiles(df, c, edge_probabilities(buckets))
+        out[c] = Edges(c, tuple(values), n, row[f"m{i}"] or 0.0, (row[f"v{i}"] / n) ** 0.5 if n else 0.0)
     return out
 
 

@@ -81,10 +81,11 @@ def graph(rows: DataFrame, status: str, regressor: str, kind: str) -> Interpolat
     return Interpolated([r[0] for r in found], [r[1] for r in found])
 
 
-def qq_plot(rows: DataFrame, status: str, regressor: str) -> list[tuple[float, float]]:
-    """Expected normal and actual residuals of a bucket report, sorted: a point for each bucket."""
-    found = rows.where((F.col("to_status") == status) & (F.col("regressor") == regressor)).select((F.col("observed") - F.col("model")).alias("r")).collect()
-    residuals = sorted(r.r for r in found)
+def qq_plot(rows: DataFrame, status: str, regressor: str, alpha: float = 0.01) -> list[tuple[float, float]]:
+    """Expected normal and actual residuals of a bucket report, sorted: a point for each bucket but a share alpha at both ends."""
+    found = rows.where((F.col("to_status") == status) & (F.col("regressor") == regressor)).select("bucket", (F.col("observed") - F.col("model")).alias("r")).orderBy("bucket").collect()
+    first, last = quantile.trimmed(len(found), alpha)
+    residuals = sorted(r.r for r in found[first:last])
     dev = (sum(r * r for r in residuals) / len(residuals)) ** 0.5 if residuals else 0.0
     if not dev:
         return [(0.0, r) for r in residuals]
@@ -93,8 +94,9 @@ def qq_plot(rows: DataFrame, status: str, regressor: str) -> list[tuple[float, f
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """The report as one CSV folder with a header."""
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    """The report as one CSV folder with a header, whose names are fixed: readers of such reports look for them."""
+    names = {"from_status": "From", "to_status": "To", "regressor": "RegressorName"}
+    rows.select(*[F.col(c).alias(names.get(c, c.capitalize())) for c in rows.columns]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def regressors_of(model: Model, extra: Sequence[str] = ()) -> list[str]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +26,8 @@ from transcurve.spec import Entry, Model, StatusFamily
 
 #: A drop is kept while it costs less AIC; an intercept is compensated for betas larger than this.
 TRIM_GAIN, LARGE_BETA = 5.0, 8.0
+#: A fit that is worse by so much AIC isn't considered: the result is the one before it.
+WORSE = 5.0
 
 
 @dataclass
@@ -58,10 +60,14 @@ class Result:
 
 
 class Chain:
-    """The accepted results of a fit, each better than the one before."""
+    """The accepted results of a fit, each better than the one before.
 
-    def __init__(self, first: Result, settings: Settings):
-        self.results, self.settings = [first], settings
+    ``judge`` evaluates a model anew at a level: for results with all derivatives, and to
+    validate what is accepted.
+    """
+
+    def __init__(self, first: Result, settings: Settings, judge: Callable[[Model, int], Point] | None = None):
+        self.results, self.settings, self.judge, self.skipped = [first], settings, judge, []
 
     @property
     def last(self) -> Result:
@@ -81,11 +87,17 @@ class Chain:
         return True
 
     def force(self, name: str, point: Point) -> None:
+        if self.judge and (self.settings.validate or self.settings.complex_results):
+            again = self.judge(point.model, kernel.SECOND if self.settings.complex_results else kernel.VALUE)
+            if self.settings.validate and not math.isclose(again.entropy, point.entropy, rel_tol=1e-9, abs_tol=1e-12):
+                raise FitError(f"{name}: entropy {point.entropy} comes out as {again.entropy}")
+            point = again if again.level > point.level else point
         self.results.append(Result(name, point, self.last))
 
-    def vacuous(self, name: str) -> None:
-        """Note a step that changed nothing."""
-        self.force(name, self.last.point)
+    def vacuous(self, name: str) -> Result:
+        """The result of a step that failed or was much worse: the one before it, unchanged. It is noted in ``skipped``."""
+        self.skipped.append(name)
+        return Result(name, self.last.point, self.last)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, r.name, r.entropy, r.model.parameter_count, r.aic, r.aic_difference) for i, r in enumerate(self.results)]
@@ -112,18 +124,24 @@ class Candidate:
 
 
 class Fitter:
-    """A fit of one from-status over a status grid."""
+    """A fit of one from-status over a status grid.
+
+    ``forbidden`` says which curves may not be added, by to-status, regressor and type.
+    """
 
-    def __init__(self, df: DataFrame, family: StatusFamily, origin: str, status: str, next_status: str, regressors: Sequence[str], settings: Settings | None = None, float32: bool = True):
+    def __init__(self, df: DataFrame, family: StatusFamily, origin: str, status: str, next_status: str, regressors: Sequence[str], settings: Settings | None = None, float32: bool = True, forbidden: Callable[[str, str, str], bool] | None = None):
         self.settings, self.family, self.origin = settings or Settings(), family, origin
-        self.regressors = tuple(regressors)
+        self.regressors, self.forbidden = tuple(regressors), forbidden
         rows = grids.fitting_rows(df, status, next_status, family, origin)
         model = Model.create(family, origin)
         rows = rows.select(*[F.col(r).cast("double").alias(r) for r in self.regressors], F.col(next_status).alias("__next"))
         rows = grids.float32(rows, self.regressors) if float32 else rows
-        self.grid = grids.materialise(rows.withColumn("next_offset", grids.encode(F.col("__next"), model.reachable)).drop("__next"))
+        rows = rows.withColumn("next_offset", grids.encode(F.col("__next"), model.reachable)).drop("__next")
+        if self.settings.random_shuffle:  # by a hash of the row, inside each part: nothing moves between machines
+            rows = rows.sortWithinPartitions(F.xxhash64(*rows.columns, F.lit(self.settings.seed)))
+        self.grid = grids.materialise(rows)
         self.edges = quantile.edges(self.grid, self.regressors)
-        self.chain = Chain(Result("start", evaluate(self.grid, model)), self.settings)
+        self.chain = Chain(Result("start", evaluate(self.grid, model)), self.settings, lambda m, level: evaluate(self.grid, m, level))
         if not self.chain.last.point.n:
             raise FitError("no rows to fit")
         self.chain.force("intercept", self.intercept(model))
@@ -143,16 +161,29 @@ class Fitter:
     def _fit(self, model: Model, wanted=None) -> Point:
         return minimise(self.grid, model, self.settings, wanted).point
 
+    def guarded(self, name: str, model: Model, wanted=None) -> Result:
+        """A fit of a model as a result; one that fails or ends much worse than the last result is vacuous."""
+        try:
+            point = self._fit(model, wanted)
+        except (FitError, np.linalg.LinAlgError):
+            return self.chain.vacuous(name)
+        if not math.isfinite(point.entropy) or point.aic >= self.chain.last.aic + WORSE:
+            return self.chain.vacuous(name)
+        return Result(name, point, self.chain.last)
+
+    def _push(self, name: str, model: Model, wanted=None) -> bool:
+        return self.chain.push(name, self.guarded(name, model, wanted).point)
+
     def fit_all(self, model: Model | None = None) -> bool:
-        return self.chain.push("all parameters", self._fit(model or self.chain.model))
+        return self._push("all parameters", model or self.chain.model)
 
     def fit_betas(self, model: Model | None = None, name: str = "betas") -> bool:
         """The betas alone: a convex problem."""
-        return self.chain.push(name, self._fit(model or self.chain.model, lambda p: p[2] < 0))
+        return self._push(name, model or self.chain.model, lambda p: p[2] < 0)
 
     def fit_entries(self, entries: Sequence[int], model: Model | None = None) -> bool:
         chosen = set(entries)
-        return self.chain.push("entries", self._fit(model or self.chain.model, lambda p: p[1] in chosen))
+        return self._push("entries", model or self.chain.model, lambda p: p[1] in chosen)
 
     def add_coefficients(self, regressors: Sequence[str]) -> bool:
         model = self.chain.model
@@ -202,7 +233,7 @@ class Fitter:
             centre = float(rng.choice(x, p=mass / mass.sum()))
             width = sigma * rng.uniform(0.1, 1.5)
             theta = np.array([centre, width if kind == "GAUSSIAN" else math.sqrt(2 / width)])
-            loss, damp = math.inf, 1e-2
+            loss, damp, kept, move = math.inf, 1e-2, theta, np.zeros(len(theta))
             for _ in range(40):  # Gauss-Newton on the curve; its scale and level are linear
                 c = Curve(kind, (float(theta[0]), float(theta[1])))
                 basis = np.stack((np.ones(len(x)), c.value(x)))
@@ -215,8 +246,8 @@ class Fitter:
                 if now >= loss - 1e-10 * abs(loss):
                     if damp > 1e4:
                         break
-                    damp, theta = damp * 10, kept + move / 10  # noqa: F821
-                    move = move / 10  # noqa: F821
+                    damp, theta = damp * 10, kept + move / 10
+                    move = move / 10
                     continue
                 loss, kept = now, theta
                 if best is None or loss < best[0]:
@@ -233,7 +264,7 @@ class Fitter:
         out = []
         for (k, regressor), stats in self.ratio_stats(model, fields).items():
             for kind in self.settings.curve_types:
-                if not TYPES[kind].fitted:
+                if not TYPES[kind].fitted or self.forbidden and self.forbidden(model.reachable[k], regressor, kind):
                     continue
                 for curve, beta in self.starts(kind, regressor, stats, rng):
                     entry = Entry(((regressor, curve),), k)
@@ -241,29 +272,30 @@ class Fitter:
                         out.append(Candidate(regressor, k, model.add_entry(entry, beta, -beta / 2)))
         return out
 
-    def best_addition(self, model: Model, fields: Sequence[str], tries: int = 4) -> Point | None:
-        """Screen all candidates in one pass, refit the most promising ones, return the best."""
+    def best_addition(self, model: Model, fields: Sequence[str]) -> Point | None:
+        """Screen all candidates in one pass, refit the best of each regressor, status and type together, return the best."""
         found = self.candidates(model, fields)
         if not found:
             return None
         points = evaluate_many(self.grid, [c.model for c in found])
         order = sorted(range(len(found)), key=lambda i: (points[i].entropy, i))
         last = len(model.entries)
-        chosen = [found[i].model for i in self._varied(order, found)[:tries]]
+        chosen = [found[i].model for i in self._varied(order, found)]
         refit = [o.point for o in minimise_many(self.grid, chosen, self.settings, [lambda p: p[1] in (0, last)] * len(chosen))]
         refit = [p for p in refit if math.isfinite(p.entropy)]
         return min(refit, key=lambda p: p.aic) if refit else None
 
     @staticmethod
     def _varied(order: Sequence[int], found: Sequence[Candidate]) -> list[int]:
-        """The best candidate of each regressor, status and type first."""
-        seen, first, rest = set(), [], []
+        """The best candidate of each regressor, status and type: further starts of these lead to the same curve."""
+        seen, first = set(), []
         for i in order:
             e = found[i].model.entries[-1]
             key = (found[i].regressor, found[i].status, e.depth[0][1].type)
-            (rest if key in seen else first).append(i)
+            if key not in seen:
+                first.append(i)
             seen.add(key)
-        return first + rest
+        return first
 
     def expand(self, fields: Sequence[str], params: int) -> int:
         """Add the best curve while the budget lasts and AIC accepts it; returns how many."""
@@ -280,7 +312,7 @@ class Fitter:
         model = self.chain.model
         smaller = self._fit(model.drop(i), lambda p: p[2] < 0).model
         point = self.best_addition(smaller, [model.entries[i].depth[0][0]])
-        return point is not None and self.chain.push("recalibrated", self._fit(point.model))
+        return point is not None and self._push("recalibrated", point.model)
 
     def calibrate(self, anew: bool = False) -> int:
         """Refit each curve entry in seeded random order, or find it anew; stop when that gains too little."""
@@ -306,7 +338,7 @@ class Fitter:
         for entry in trials:
             if self.chain.model.index(entry.depth, entry.restrict) < 0:
                 last = len(self.chain.model.entries)
-                added += self.chain.push("interaction", self._fit(self.chain.model.add_entry(entry), lambda p, last=last: p[2] < 0 or p[1] == last))
+                added += self._push("interaction", self.chain.model.add_entry(entry), lambda p, last=last: p[2] < 0 or p[1] == last)
         return added
 
     def candidate_frame(self, spark: SparkSession, fields: Sequence[str]) -> DataFrame:
@@ -346,7 +378,7 @@ class Fitter:
             budget = model.parameter_count - smaller.parameter_count
             if not budget:
                 continue
-            trial = Chain(Result("anneal", self._fit(smaller), self.chain.last), self.settings)
+            trial = Chain(Result("anneal", self._fit(smaller), self.chain.last), self.settings, self.chain.judge)
             main, self.chain = self.chain, trial
             try:
                 flags = [r for r in model.flag_set() if r not in smaller.flag_set()]

@@ -29,6 +29,8 @@ class Optimum:
 STEPS = (1.0, 0.5, 2.0, 0.25, 0.1, 0.02)
 #: A fit ends where no component of the gradient is larger, or the objective gains less.
 GRADIENT, GAIN = 1e-9, 1e-12
+#: Share of the settings' z-score cut-off below which a step's gain ends a fit that moves curves.
+NOISE = 0.1
 
 
 #: Which places (status, entry, depth, parameter) a fit may change.
@@ -39,6 +41,12 @@ def _free(model: Model, wanted: Wanted) -> np.ndarray:
     return np.array([i for i, p in enumerate(model.places()) if wanted is None or wanted(p)], int)
 
 
+def gain_z(gain: float, n: float) -> float:
+    """The z-score of a gain in the mean objective over n rows: near an optimum the variance of the
+    rows' differences is twice the gain, since the Hessian is the gradient's variance there."""
+    return (max(gain, 0.0) * n / 2) ** 0.5
+
+
 @dataclass
 class _State:
     """A model on its way."""
@@ -125,8 +133,12 @@ def minimise_many(grid: DataFrame, models: Sequence[Model], settings: Settings |
                 s.done = True
                 continue
             at = int(np.argmin(found))
+            gain = s.best - found[at]
             s.model, s.best, s.steps = ms[at], float(found[at]), s.steps + 1
             moved.append(s)
+            # betas alone are a convex problem, which ends at its optimum in a few more steps; curves have flat valleys
+            places = s.model.places()
+            s.done = any(places[i][2] >= 0 for i in s.free) and gain_z(gain, s.point.n) < NOISE * settings.z_score_cutoff
         if moved:
             for s, p in zip(moved, evaluate_many(grid, [s.model for s in moved], kernel.SECOND), strict=True):
                 s.point = p

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -481,10 +480,34 @@ def interpolate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", _r(curve.column(F.col("value"))).alias("y"))
 
 
-@query()
+def _cubic_sql() -> str:
+    """The natural cubic through _POINTS as polynomials, from the continuity of value, slope and bend at the inner points."""
+    n = len(_POINTS) - 1
+    rows, right = [], []
+
+    def row(i: int, x: float, order: int, sign: float = 1.0) -> list[float]:
+        out = [0.0] * (4 * n)
+        out[4 * i : 4 * i + 4] = [sign * c for c in ((1, x, x**2, x**3), (0, 1, 2 * x, 3 * x**2), (0, 0, 2, 6 * x))[order]]
+        return out
+
+    for i in range(n):
+        for x, y in _POINTS[i : i + 2]:
+            rows.append(row(i, x / 100, 0))
+            right.append(y)
+    for i in range(1, n):
+        for order in (1, 2):
+            rows.append([a + b for a, b in zip(row(i - 1, _POINTS[i][0] / 100, order), row(i, _POINTS[i][0] / 100, order, -1.0), strict=True)])
+            right.append(0.0)
+    rows += [row(0, _POINTS[0][0] / 100, 2), row(n - 1, _POINTS[-1][0] / 100, 2)]
+    c = np.linalg.solve(np.array(rows), np.array([*right, 0.0, 0.0])).reshape(n, 4).tolist()
+    pieces = " ".join(f"WHEN u < {_POINTS[i + 1][0] / 100!r} THEN {p[0]!r} + u * ({p[1]!r} + u * ({p[2]!r} + u * ({p[3]!r})))" for i, p in enumerate(c))
+    return f"SELECT event_id, round(CASE WHEN u <= {_POINTS[0][0] / 100!r} THEN {_POINTS[0][1]!r} {pieces} ELSE {_POINTS[-1][1]!r} END, 4) AS y FROM (SELECT event_id, value / 100 AS u FROM events)"
+
+
+@query(_cubic_sql())
 def interpolate_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = Interpolated(*zip(*_POINTS, strict=True), cubic=True)
-    return _t(spark, sf_dir, "events").select("event_id", _r(curve.column(F.col("value"))).alias("y"))
+    return _t(spark, sf_dir, "events").select("event_id", _r(curve.column(F.col("value")), 4).alias("y"))
 
 
 # -- diagnostics ----------------------------------------------------------------------------------------
@@ -500,11 +523,24 @@ def visualizer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("to_status", "regressor", "bucket", _r("value").alias("value"), "n", *[_r(c).alias(c) for c in ("mass", "observed", "model")])
 
 
-@query()
+_BUCKETS = (
+    f"{_EV}, eg AS (SELECT list_sort(list_distinct(quantile_cont(v, [{_Q}]))) AS q FROM vw), s AS ({_sql_probabilities(EVENT_MODEL, 'vw', 'v, o')}), "
+    "b AS (SELECT *, CAST(greatest(len(list_filter(q, lambda e: e <= v)) - 1, 0) AS INT) AS bucket FROM s, eg), "
+    "u AS (" + " UNION ALL ".join(f"SELECT '{name}' AS to_status, {k} AS k, bucket, q[bucket + 1] AS value, len(q) AS m, CASE o WHEN {k} THEN 1.0 ELSE 0.0 END AS y, p{k} AS p FROM b" for k, name in enumerate(EVENTS.names)) + "), "
+    "g AS (SELECT to_status, k, bucket, value, m, count(*) AS n, avg(y) AS observed, avg(p) AS model FROM u GROUP BY to_status, k, bucket, value, m)"
+)
+
+
+@query(
+    f"WITH {_BUCKETS}, t AS ({_sql_probabilities(EVENT_MODEL, '(SELECT DISTINCT bucket, value AS v FROM g)', 'bucket', 't')}) "
+    "SELECT 'view' AS from_status, to_status, 'v' AS regressor, round(value, 6) AS value, round(n / (SELECT count(*) FROM vw), 6) AS mass, round(observed, 6) AS observed, round(model, 6) AS model, "
+    "round(CASE k WHEN 0 THEN t0 WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 3 THEN t3 ELSE t4 END, 6) AS theoretical FROM g JOIN t USING (bucket) WHERE bucket >= floor(0.05 * m + 0.5) AND bucket < m - floor(0.05 * m + 0.5)"
+)
 def visualizer_theoretical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full report, trimmed, with the theoretical probability."""
     rows = _views(spark, sf_dir)
-    return diagnose.report(rows, EVENT_MODEL, quantile.edges(rows, ["v"]))
+    out = diagnose.report(rows, EVENT_MODEL, quantile.edges(rows, ["v"], approximate=False))
+    return out.select("from_status", "to_status", "regressor", *[_r(c).alias(c) for c in ("value", "mass", "observed", "model", "theoretical")])
 
 
 @query(f"SELECT id, round(v, 6) AS value, round(p2, 6) AS theoretical FROM ({_sql_probabilities(EVENT_MODEL, '(SELECT range AS id, 0.1 + range * (4.8 / 49) AS v FROM range(50))', 'id, v')})")
@@ -513,11 +549,18 @@ def what_if_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", _r("value").alias("value"), _r("theoretical").alias("theoretical"))
 
 
-@query()
+@query(
+    f"WITH {_BUCKETS}, c AS (SELECT *, row_number() OVER (ORDER BY bucket) - 1 AS place, count(*) OVER () AS m2 FROM g WHERE to_status = 'purchase'), "
+    "d AS (SELECT observed - model AS r FROM c WHERE place >= floor(0.01 * m2 + 0.5) AND place < m2 - floor(0.01 * m2 + 0.5)) "
+    "SELECT CAST(row_number() OVER (ORDER BY r) - 1 AS INT) AS place, round((row_number() OVER (ORDER BY r) - 1 + 0.01) / (count(*) OVER () * 1.02), 6) AS probability, round(r, 6) AS residual FROM d"
+)
 def qq_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a QQ plot; the expected residuals as the probabilities that they stand for under their normal distribution."""
     rows = _views(spark, sf_dir)
-    points = diagnose.qq_plot(diagnose.bucket_report(rows, EVENT_MODEL, quantile.edges(rows, ["v"])), "purchase", "v")
-    return spark.createDataFrame(points, "expected double, residual double")
+    points = diagnose.qq_plot(diagnose.bucket_report(rows, EVENT_MODEL, quantile.edges(rows, ["v"], approximate=False)), "purchase", "v")
+    dev = (sum(r * r for _, r in points) / max(1, len(points))) ** 0.5
+    found = [(i, 0.5 * (1 + math.erf(e / dev / math.sqrt(2))), r) for i, (e, r) in enumerate(points)]
+    return spark.createDataFrame(found, "place int, probability double, residual double").select("place", _r("probability").alias("probability"), _r("residual").alias("residual"))
 
 
 # -- fits ---------------------------------------------------------------------------------------------------
@@ -608,17 +651,35 @@ def anneal_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chain(f, spark)
 
 
-@query()
+_SECOND = (
+    f"{_LOGIT}, m AS (SELECT count(*) AS n, avg(-ln(CASE y WHEN 1 THEN p ELSE 1 - p END)) AS h, avg(p * (1 - p)) AS j0, avg(p * (1 - p) * d) AS j1, avg(p * (1 - p) * d * d) AS j2, "
+    "avg((p - y) * (p - y)) AS i0, avg((p - y) * (p - y) * d) AS i1, avg((p - y) * (p - y) * d * d) AS i2 FROM r)"
+)
+
+
+def _condition_sql(a: str, b: str, c: str) -> str:
+    """The ratio of the eigenvalues of a symmetric matrix of two rows."""
+    root = f"sqrt(({a} - {c}) * ({a} - {c}) + 4 * {b} * {b})"
+    return f"(({a} + {c} - {root}) / ({a} + {c} + {root}))"
+
+
+@query(
+    f"{_SECOND}, t AS (SELECT *, {_condition_sql('j0', 'j1', 'j2')} AS cj, {_condition_sql('i0', 'i1', 'i2')} AS ci, (j2 * i0 - 2 * j1 * i1 + j0 * i2) / (j0 * j2 - j1 * j1) AS tr FROM m) "
+    "SELECT round(2 * (n * h + 2), 2) AS aic, round(2 * (n * h + tr), 2) AS tic, round(cj, 6) AS condition_j, round(ci, 6) AS condition_i, round(least(cj, ci), 6) AS condition FROM t"
+)
 def tic_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = evaluate.evaluate(_logit_grid(spark, sf_dir), LOGIT_MODEL, kernel.SECOND)
     j, i, least = p.inverse_conditions()
-    return _row(spark, aic=p.aic, tic=p.tic, condition_j=j, condition_i=i, condition=least)
+    rows = spark.createDataFrame([(p.aic, p.tic, j, i, least)], "aic double, tic double, condition_j double, condition_i double, condition double")
+    return rows.select(_r("aic", 2).alias("aic"), _r("tic", 2).alias("tic"), *[_r(c).alias(c) for c in ("condition_j", "condition_i", "condition")])
 
 
-@query()
+@query(
+    f"{_SECOND}, t AS (SELECT *, i0 * i2 - i1 * i1 AS det FROM m) SELECT 0 AS param, 0.1::DOUBLE AS value, round(sqrt(i2 / det / n), 6) AS std FROM t UNION ALL SELECT 1, -0.5::DOUBLE, round(sqrt(i0 / det / n), 6) FROM t"
+)
 def param_stddev(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = evaluate.evaluate(_logit_grid(spark, sf_dir), LOGIT_MODEL, kernel.SECOND)
-    return spark.createDataFrame([(i, float(t), float(s)) for i, (t, s) in enumerate(zip(p.model.pack(), p.param_std(), strict=True))], "param int, value double, std double")
+    return spark.createDataFrame([(i, float(t), float(s)) for i, (t, s) in enumerate(zip(p.model.pack(), p.param_std(), strict=True))], "param int, value double, std double").withColumn("std", _r("std"))
 
 
 # -- vectors, hashes, sources -----------------------------------------------------------------------------
@@ -641,14 +702,13 @@ _SERIES_XML = """<observations>
 </observations>"""
 
 
-@query()
+@query("SELECT '2020-01-01' AS date, 1.25::DOUBLE AS value UNION ALL SELECT '2020-03-01', 2.75::DOUBLE")
 def series_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of a small XML document: "." goes, the last of repeated dates wins."""
     # written by Spark, to where its executors can read it
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="series-")
-    path = f"{shared}/series-{os.urandom(6).hex()}"
+    path = f"{grid.shared_folder(spark)}/series-{os.urandom(6).hex()}"
     spark.createDataFrame([(_SERIES_XML,)], "value string").coalesce(1).write.text(path)
-    return economic_series.observations(spark, path)
+    return economic_series.observations(spark, path).select(F.col("date").cast("string").alias("date"), "value")
 
 
 @query("SELECT id, round(-1.0 + id * 0.25, 6) AS x FROM (SELECT range AS id FROM range(17))")

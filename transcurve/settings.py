@@ -9,6 +9,9 @@ TARGETS = ("ENTROPY", "L2", "ICE_RAW", "ICE_SIMPLE", "ICE2", "ICE", "ICE_B", "IC
 
 @dataclass(frozen=True)
 class Settings:
+    """``random_shuffle`` permutes the rows of each part of the grid; ``validate`` evaluates each accepted result
+    anew and compares; ``complex_results`` gives each result all derivatives (TIC, deviations)."""
+
     seed: int = 1
     random_shuffle: bool = True
     polish_starting_params: bool = True
@@ -23,7 +26,6 @@ class Settings:
     target: str = "ENTROPY"
     l2_lambda: float = 0.0
     complex_results: bool = False
-    block_size: int = 1000
     max_steps: int = 40
     curve_types: tuple[str, ...] = ("LOGISTIC", "GAUSSIAN")
 

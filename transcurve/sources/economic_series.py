@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from transcurve.operators.grid import settled
+
 OBSERVATION = "_date string, _value string"
 SERIES = ", ".join(
     f"_{a} string" for a in ("id", "title", "units", "notes", "realtime_start", "realtime_end", "observation_start", "observation_end", "last_updated", "frequency_short", "seasonal_adjustment_short", "popularity")
@@ -55,17 +57,21 @@ def categories(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("is_root", F.col("id") == F.col("parent_id"))
 
 
-def descendants(tree: DataFrame, root: int, depth: int = 30) -> DataFrame:
-    """A category and all below it, with their depth: one join a level."""
+def descendants(tree: DataFrame, root: int) -> DataFrame:
+    """A category and all below it, with their depth: one join a level, to the last level.
+
+    A category is listed at its first level, so a tree that leads back to itself ends too.
+    """
     level = tree.where(F.col("id") == root).select("id", "name", "parent_id", F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth + 1):
-        up = level.select(F.col("id").alias("up"))
-        level = tree.where("id <> parent_id").join(up, F.col("parent_id") == F.col("up")).select("id", "name", "parent_id", F.lit(d).alias("depth")).cache()
+    out, depth = level, 0
+    while True:
+        depth += 1
+        up, known = level.select(F.col("id").alias("up")), out.select(F.col("id").alias("known"))
+        below = tree.join(up, F.col("parent_id") == F.col("up")).join(known, F.col("id") == F.col("known"), "left_anti")
+        level = settled(below.select("id", "name", "parent_id", F.lit(depth).alias("depth")))
         if not level.limit(1).count():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 class Store:
