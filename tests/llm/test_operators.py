@@ -457,6 +457,38 @@ def test_secret_base_equals_brute_force(spark, texts):
         assert hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)).encode()).hexdigest() == found[i]
 
 
+def test_secret_ownership_equals_plain(spark):
+    """Every span's counts of documents and owners, and which spans stay, from dicts over plain scans."""
+    rng = random.Random(6)
+    values = ["".join(rng.choice("abcXYZ0123456789") for _ in range(30)) + "aZ9" for _ in range(25)]
+    rows = [(i if i % 9 else None, " and ".join(f"{rng.choice(['', 'token=', 'key '])}{rng.choice(values)}" for _ in range(rng.randint(0, 3))), rng.choice(["a", "b", "c", "d", None])) for i in range(80)]
+    scan = secrets.Scanner()
+    texts = []
+    for i, text, source in rows:
+        base = scan.base(text)
+        texts.append([(k, a, b, hashlib.sha256(v.encode()).hexdigest()[:32], own) for spans, own in ((base, True), (scan.more(text, base), False)) for k, a, b, v in spans])
+    repos, owners = collections.defaultdict(set), collections.defaultdict(set)
+    for (i, _, source), spans in zip(rows, texts, strict=True):
+        for *_, value, _ in spans:
+            repos[value].add((source, i))
+            owners[value].add(source)
+    want = collections.Counter()
+    for (i, _, _), spans in zip(rows, texts, strict=True):
+        kept = [(k, a, b, len(repos[v]), len(owners[v])) for k, a, b, v, own in spans if own or len(owners[v]) < secrets.EXAMPLE_OWNERS]
+        want[i, tuple(sorted(kept, key=lambda s: (s[1], secrets.KINDS.index(s[0]))))] += 1
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert collections.Counter((r.doc_id, tuple((s.kind, s.start, s.end, s.n_repos, s.n_owners) for s in r.spans)) for r in found) == want
+
+
+def test_many_spans_in_one_text():
+    scan = secrets.Scanner()
+    text = " ".join(f"token=abcdef{i:08d}Zz Qw3rT7yU9iOp2aS4dF6gH8{i:05d}" for i in range(5000))
+    base = scan.base(text)
+    more = scan.more(text, base)
+    assert len(base) == 5000 and len(more) == 5000
+    assert not any(a < e and s < b for (_, a, b, _), (_, s, e, _) in zip(base, more, strict=True))
+
+
 def test_secret_odd_rows(odd):
     assert secrets.scan(odd).count() == len(odd_rows()) and secrets.scan(odd.limit(0)).count() == 0
 

@@ -5,7 +5,7 @@ import hashlib
 
 import corpus_pipeline
 from tests.conftest import SF
-from tests.llm.test_operators import brute_groups
+from tests.llm.test_operators import ODD, brute_groups, odd_rows
 from transcurve.llm import bpe, common, entry, toxicity
 
 
@@ -53,6 +53,28 @@ def test_stages(spark, tmp_path):
     assert whole == collections.Counter((r.doc_id, tuple(r.ids)) for r in seen["byte_bpe"])
 
 
+def test_odd_and_empty_tables(spark, tmp_path):
+    rows = odd_rows()
+    for name, docs in (("odd", spark.createDataFrame(rows, ODD)), ("empty", spark.createDataFrame([], ODD))):
+        names, before = docs.columns, len(rows) if name == "odd" else 0
+        for stage, f in corpus_pipeline.STAGES:
+            f(spark, docs, SF).write.parquet(str(tmp_path / name / stage))
+            docs = spark.read.parquet(str(tmp_path / name / stage))
+            assert stage == corpus_pipeline.STAGES[-1][0] or docs.columns == names
+            seen = docs.collect()
+            if name == "empty":
+                assert not seen
+            elif stage == "toxicity":
+                assert len(seen) == before  # none is toxic
+            elif stage == "line_dedup":  # the second of the equal texts has no line left
+                assert sorted((r.doc_id or 0) for r in seen) == [0, 1, 2, 3, 3, 4, 5, 7]
+            elif stage == "ngram_jaccard":  # of repeated ids one row stays
+                assert sorted((r.doc_id or 0) for r in seen) == [0, 1, 2, 3, 4, 5, 7]
+            elif stage == "mixing":  # no document without words is taken, none more than three times
+                taken = collections.Counter(r.doc_id for r in seen)
+                assert set(taken) <= {None, 3, 4, 5} and max(taken.values(), default=0) <= 3
+
+
 def test_every_operator_has_a_query():
     names = entry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -38,7 +39,7 @@ KINDS = ("assign", "access", "hex", "private", "provider", "mixed")
 EXAMPLE_OWNERS = 3
 #: Bits a character from which on a mixed string counts as random, and its least length.
 MIXED_BITS, MIXED_CHARS = 3.5, 24
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 _FURTHER = {
     "private": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
@@ -69,13 +70,21 @@ class Scanner:
         return found + [("hex", m.start(), m.end(), m[0]) for m in self.hex.finditer(text)]
 
     def more(self, text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-        """Spans of the further kinds outside the base ones."""
+        """Spans of the further kinds outside the base ones and each other."""
         out = []
+        taken: list[list[int]] = []  # disjoint covered stretches, in order
+        for _, s, e, _ in sorted(base, key=lambda x: x[1:3]):
+            if taken and s < taken[-1][1]:
+                taken[-1][1] = max(e, taken[-1][1])
+            else:
+                taken.append([s, e])
         for kind, pattern in self.further:
             for m in pattern.finditer(text):
                 if kind == "mixed" and not (re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and entropy(m[0]) >= MIXED_BITS):
                     continue
-                if all(m.end() <= s or m.start() >= e for _, s, e, _ in base + out):
+                at = bisect_left(taken, [m.end()])  # the first stretch that begins at or after the span's end
+                if not at or taken[at - 1][1] <= m.start():
+                    taken.insert(at, [m.start(), m.end()])
                     out.append((kind, m.start(), m.end(), m[0]))
         return out
 
@@ -102,7 +111,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                     rows.append([{"kind": k, "start": a, "end": b, "value": hashlib.sha256(v.encode()).hexdigest()[:32], "base": own} for k, a, b, v, own in spans])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(rows, schema.field("spans").type)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, _SPANS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(common.tidy(run), _SPANS)
 
 
 def ownership(found: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
