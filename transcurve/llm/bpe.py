@@ -34,9 +34,9 @@ FAST = {public_tokenizers.PATTERN: r"""(?: ?\p{L}++)|(?: ?\p{N}++)|'s|'t|'re|'ve
 #: Keys of a bucket of the perfect hash, on average.
 BUCKET_KEYS = 4
 #: Text bytes whose distinct pre-tokens are resolved together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes of merged words and their ids in a generation of a task's memo, of which there are two; results don't depend on it.
-MEMO_BYTES, ENTRY_BYTES = 16 << 20, 200
+MEMO_BYTES, ENTRY_BYTES = 40 << 20, 200
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -121,6 +121,7 @@ class Bpe:
         self.rank = {t: i for i, t in enumerate(vocab)}  # of merged pairs, for the heap
         # rank of each pair of bytes, -1 where they never merge
         self.byte_pairs = array("i", (self.rank.get(bytes((a, b)), -1) for a in range(256) for b in range(256)))
+        self.byte_ids = [self.rank.get(bytes((b,)), -1) for b in range(256)]
         self.memo: dict[bytes, array] = {}
         self.older: dict[bytes, array] = {}
         self.memo_bytes = 0
@@ -133,35 +134,41 @@ class Bpe:
         """Ids of bytes that aren't a vocabulary entry: always merge the leftmost pair of least rank.
 
         A heap entry is a rank and the place of the pair's left part; it is stale, and
-        skipped, if that part has gone or the pair there now has another rank.
+        skipped, if the pair there now has another rank or has gone. A merged pair's rank is
+        its id.
         """
         n, rank, pairs = len(word), self.rank.get, self.byte_pairs
-        nxt = list(range(1, n + 1))  # start of the part after the one that starts here
+        token = [self.byte_ids[b] for b in word]  # of the part that starts here
+        nxt = list(range(1, n + 1))  # start of the part after it
         prev = list(range(-1, n))
+        now = [pairs[a << 8 | b] for a, b in zip(word, word[1:], strict=False)]  # rank of the pair that starts here, -1 for none
+        now.append(-1)
         # rank in the high part, place in the low: one integer compares fastest
-        heap = [r << 32 | i for i, r in enumerate([pairs[a << 8 | b] for a, b in zip(word, word[1:], strict=False)]) if r >= 0]
+        heap = [r << 32 | i for i, r in enumerate(now) if r >= 0]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i = top & 0xFFFFFFFF
-            j = nxt[i]
-            if j < 0 or j >= n:
+            i, r = top & 0xFFFFFFFF, top >> 32
+            if now[i] != r:
                 continue
+            j = nxt[i]
             k = nxt[j]
-            if rank(word[i:k]) != top >> 32:
-                continue
-            nxt[i], nxt[j] = k, -1
+            token[i], nxt[i], now[j] = r, k, -1
             if k < n:
                 prev[k] = i
-                if (r := rank(word[i : nxt[k]])) is not None:
+                r = now[i] = rank(word[i : nxt[k]], -1)
+                if r >= 0:
                     heappush(heap, r << 32 | i)
-            if (p := prev[i]) >= 0 and (r := rank(word[p:k])) is not None:
-                heappush(heap, r << 32 | p)
+            else:
+                now[i] = -1
+            if (p := prev[i]) >= 0:
+                r = now[p] = rank(word[p:k], -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | p)
         out, i = array("i"), 0
         while i < n:
-            j = nxt[i]
-            out.append(self.rank[word[i:j]])
-            i = j
+            out.append(token[i])
+            i = nxt[i]
         return out
 
     def encode_words(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
