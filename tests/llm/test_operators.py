@@ -778,646 +778,6 @@ def test_pages(spark):
 PROSE = "A lone paragraph of plain prose that holds twelve words in all."
 
 
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>T</h1><p>One.</p></article>", "T\nOne."),
-        ("<title>No</title><link rel=x><p>" + PROSE + "</p>", PROSE),
-        ("<head><style>p{}</style>" + PROSE, PROSE),
-        ('<article class="post type-post comments-open"><h1>T</h1><p>One.</p></article>', "T\nOne."),
-        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div>', "T\n" + PROSE),
-        ('<article><header class="article-header"><h1>T</h1><p class="byline">By X</p></header><p>One.</p><p class=tags>Tags: a, b</p></article>', "T\nBy X\nOne.\nTags: a, b"),
-        ("<article><p title=it's>One.</p><p title='a > b'>Two.</p><p title=\"it's\">Three.</p></article>", "One.\nTwo.\nThree."),
-        ("<article><p>We have <math><mi>x</mi></math> here.</p></article>", "We have x here."),
-        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><p>{PROSE}</p></div><footer>End</footer>", PROSE),
-        (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>Our motto</div><div><a href=c>More</a></div><h1>T</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>", f"T\n{PROSE}\nShort one.\n{PROSE}"),
-        ('<main><p>One.</p><div class="comments-area"><h2>2 comments</h2><p>First!</p></div><div class="ad-slot">Buy</div><div id="cookieBanner">We use</div><p>Two.</p></main>', "One.\nTwo."),
-        ('<article><p class="ad"><b>Buy this<p>One.<ul><li class="promo">Buy that<li>two</ul></article>', "One.\ntwo"),
-        ("<article><h1><a href=x>Title in a link</a></h1><p><a href=y>Source</a></p></article>", "Title in a link\nSource"),
-        (f'<div class="site-header">Site</div><div id="main"><p>{PROSE}</p></div><div class="sidebar-left">side</div>', PROSE),
-        ("<article>a &lt; b &amp; c&nbsp;d <b>e</b>f<!-- no --><script>x</script></article><p", "a < b & c d ef"),
-    ],
-)
-def test_page_cases(page, want):
-    assert html_extract.main_text(page, html_extract.train()) == want
-
-
-def test_tree_uses_neighbours():
-    used = collections.Counter()
-
-    def walk(tree):
-        if len(tree) > 1:
-            used[tree[0]] += 1
-            walk(tree[2])
-            walk(tree[3])
-
-    walk(html_extract.train())
-    assert sum(used[f] for f in (5, 6, 7, 8)) >= 4
-
-
-PROSE = "A lone paragraph of plain prose that holds twelve words in all."
-
-
 @pytest.mark.parametrize(
     ("page", "want"),
     [
