@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from transcurve.functions.curves import Curve
 from transcurve.operators import evaluate, grid, kernel, quantile, score
-from transcurve.plans import diagnose
+from transcurve.plans import diagnose, optimize
 from transcurve.plans.fit import Fitter, load, save
 from transcurve.plans.optimize import FitError, minimise
 from transcurve.settings import Settings
@@ -163,12 +163,40 @@ def test_a_bad_curve_is_calibrated(fitter):
 
 
 def test_targets(fitter):
-    for target in ("L2", "ICE_RAW", "ICE_SIMPLE", "ICE2", "ICE"):
+    for target in ("L2", "ICE_RAW", "ICE_SIMPLE", "ICE2", "ICE", "ICE_B", "ICE_STABLE_B"):
         settings = Settings(target=target, l2_lambda=1e-3, max_steps=4)
         p = minimise(fitter.grid, Model.create(FAMILY, "C"), settings).point
         assert p.entropy < math.log(3) and p.objective(target, 1e-3) >= p.entropy - 1e-12
 
 
+@pytest.mark.parametrize("target", ["ICE_RAW", "ICE_SIMPLE", "ICE2", "ICE", "ICE_B", "ICE_STABLE_B"])
+def test_targets_reach_the_optimum_of_differences(fitter, target, monkeypatch):
+    settings, model = Settings(target=target), Model.create(FAMILY, "C").add_beta("x")
+    found = minimise(fitter.grid, model, settings)
+    monkeypatch.setattr(optimize, "_State", lambda *a: state(*a, exact=True))
+    plain = minimise(fitter.grid, model, settings)
+    assert found.converged and found.point.objective(target) == pytest.approx(plain.point.objective(target), abs=1e-9)
+
+
+state = optimize._State
+
+
+def test_points_are_kept_for_a_cached_grid(fitter, rows, model, monkeypatch):
+    passes = []
+    monkeypatch.setattr(evaluate, "sums", lambda grid, models, *a: passes.append(len(models)) or real(grid, models, *a))
+    m = Model.create(FAMILY, "C").add_beta("x").with_betas([[0, 0], [0.123, 0], [0, 0.321]])
+    first = evaluate.evaluate_many(fitter.grid, [m], kernel.FIRST)[0]
+    again, other = evaluate.evaluate_many(fitter.grid, [m, m.with_betas([[0, 0], [0.124, 0], [0, 0.321]])])
+    assert again is first and other.entropy != first.entropy and passes == [1, 1]
+    assert evaluate.evaluate_many(fitter.grid, [m], kernel.SECOND)[0].level == kernel.SECOND and passes == [1, 1, 1]
+    evaluate.evaluate_many(rows.where("x < 2"), [m])
+    evaluate.evaluate_many(rows.where("x < 2"), [m])
+    assert passes == [1] * 5
+
+
+real = evaluate.sums
+
+
 def test_results_and_models_are_stored(spark, fitter, tmp_path):
     save(fitter.chain.last, str(tmp_path / "r"), spark)
     model, d = load(str(tmp_path / "r"), spark)

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from transcurve.functions import criteria, curves, softmax, vectors
+from transcurve.functions import criteria, curves, random, softmax, vectors
 from transcurve.functions.curves import Curve
 from transcurve.operators.interpolate import Interpolated
 from transcurve.spec import Entry, Model, ModelError, StatusFamily
@@ -97,3 +97,41 @@ def test_model_edits_and_documents():
     with pytest.raises(ModelError):
         StatusFamily.simple(["A", "A"])
     assert family.restrict(["A", "B"]).from_("A") == ("A", "B") and family.fingerprint() != StatusFamily.binary().fingerprint()
+
+
+def test_ice_derivatives():
+    g2, shift, j, n = np.array([0.2, 0.3, 0.1, 1e-30]), np.array([0.04, -0.1, 0.05, 0.2]), np.array([0.25, 0.3, -0.1, 0.4]), 1000.0
+    b = 1 / (n * math.log(3))
+    balanced = [0.04 / (0.25 * (1 - b) + 0.2 * b) / n, 0, 0.05 / (0.1 * b) / n, 0]
+    assert criteria.ice_derivative(g2, shift, j, n) == pytest.approx(balanced)
+    w = math.exp(-criteria.TOLERANCE * 0.4 / 0.25)
+    assert criteria.ice_stable_derivative(g2, shift, j, n) == pytest.approx([0.04 / (0.25 * w + 0.2 * (1 - w)) / n, 0, 0.05 / 0.1 / n, 0])
+    for f in (criteria.ice_derivative, criteria.ice_stable_derivative):
+        assert not f(g2, shift, j, 0).any() and not f(0 * g2, shift, j, n).any() and not len(f(g2[:0], shift[:0], j[:0], n))
+    theta = np.array([1.0, -2.0])
+    assert criteria.penalty_gradient("L2", n, theta, l2=0.5).tolist() == [1.0, -2.0] and not criteria.penalty_gradient("ENTROPY", n, theta).any()
+    assert criteria.penalty_gradient("ICE", n, theta, scaled=theta, scaled2=-theta).tolist() == [0.001, -0.002]
+    assert criteria.penalty_gradient("ICE_B", n, theta, scaled=theta, scaled2=-theta).tolist() == [-0.001, 0.002]
+    with pytest.raises(ValueError):
+        criteria.penalty_gradient("none", n, theta)
+
+
+def test_matrices(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [[5.0, 6.0], [7.0, 8.0]], [(0, 1, 2.5), (0, 1, 1.0)])], "a array<array<double>>, b array<array<double>>, e array<struct<row:int,column:int,value:double>>")
+    r = df.select(
+        vectors.matrix_scale("a", 2.0).alias("scale"), vectors.matrix_add("a", "b").alias("add"), vectors.matrix_subtract("b", "a").alias("subtract"),
+        vectors.matrix_axpy("a", "b", 0.5).alias("axpy"), vectors.to_dense("e", 2, 2).alias("dense"),
+    ).first()
+    a, b = np.array([[1.0, 2.0], [3.0, 4.0]]), np.array([[5.0, 6.0], [7.0, 8.0]])
+    for found, wanted in ((r.scale, 2 * a), (r.add, a + b), (r.subtract, b - a), (r.axpy, a + b / 2), (r.dense, [[0, 3.5], [0, 0]])):
+        assert np.array_equal(found, wanted)
+
+
+def test_generators():
+    assert random.Rc4(b"Key").bytes(10).hex() == "eb9f7781b734ca72a719"  # a published key stream
+    for kind in random.KINDS:
+        x = random.generator(kind, 7).random(4000)
+        assert np.array_equal(x, random.generator(kind, 7).random(4000)) and not np.array_equal(x, random.generator(kind, -7).random(4000))
+        assert 0 <= x.min() and x.max() < 1 and abs(x.mean() - 0.5) < 0.03 and random.generator(kind).random(1)[0] >= 0
+    with pytest.raises(ValueError):
+        random.generator("none")

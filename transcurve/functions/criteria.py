@@ -88,6 +88,51 @@ def ice3_sum(g2: np.ndarray, j: np.ndarray) -> float:
     return _terms(g2, j * w + g2 * (1 - w))
 
 
+def ice_derivative(g2: np.ndarray, shift: np.ndarray, j: np.ndarray, n: float, outcomes: float = 3.0) -> np.ndarray:
+    """How the balanced penalty moves with each parameter, from means: the shift gradient against
+    j (where positive) balanced with g^2. The third derivatives are taken to cancel one of the
+    shift's two terms; parameters whose g^2 or shift lies below the sums' floor get none."""
+    if not n:
+        return np.zeros(len(g2))
+    b = 1 / (n * math.log(outcomes))
+    return _shifted(g2, shift, np.maximum(j, 0) * (1 - b) + g2 * b, n)
+
+
+def ice_stable_derivative(g2: np.ndarray, shift: np.ndarray, j: np.ndarray, n: float) -> np.ndarray:
+    """The same against j where it is clearly positive, passing over to g^2 where it is not."""
+    j = np.asarray(j, float)
+    cut = cutoff(j)
+    if not n or not cut:
+        return np.zeros(len(g2))
+    w = np.where(j > 0, np.exp(-cut / np.where(j > 0, j, 1.0)), 0.0)
+    return _shifted(g2, shift, j * w + g2 * (1 - w), n)
+
+
+def _shifted(g2: np.ndarray, shift: np.ndarray, below: np.ndarray, n: float) -> np.ndarray:
+    floor = math.ulp(4.0) * float(np.max(g2)) if len(g2) else 0.0
+    keep = (g2 >= floor) & (shift >= floor) & (floor > 0) & (below > 0)
+    return np.divide(shift, below * n, out=np.zeros(len(g2)), where=keep)
+
+
+def penalty_gradient(target: str, n: float, theta: np.ndarray, g2: np.ndarray | None = None, j: np.ndarray | None = None, shift: np.ndarray | None = None, scaled: np.ndarray | None = None, scaled2: np.ndarray | None = None, l2: float = 0.0) -> np.ndarray:
+    """What a target adds to the entropy's gradient; for the ICE targets but for the third derivatives.
+
+    ICE and ICE_B take the gradients scaled against an earlier Hessian diagonal; ICE_RAW, whose
+    own can't be had in a pass, takes those of ICE.
+    """
+    if target == "ENTROPY":
+        return np.zeros(len(theta))
+    if target == "L2":
+        return 2 * l2 * theta
+    if target in ("ICE_SIMPLE", "ICE2"):
+        return ice_derivative(g2, shift, j, n)
+    if target == "ICE_STABLE_B":
+        return ice_stable_derivative(g2, shift, j, n)
+    if target in ("ICE_RAW", "ICE", "ICE_B"):
+        return (scaled2 if target == "ICE_B" else scaled) / max(n, 1.0)
+    raise ValueError(f"unknown target {target}")
+
+
 def objective(target: str, n: float, entropy: float, theta: np.ndarray, g2: np.ndarray | None = None, j: np.ndarray | None = None, fisher: np.ndarray | None = None, hessian: np.ndarray | None = None, l2: float = 0.0) -> float:
     """What a fit with this target minimises."""
     if target == "ENTROPY":

@@ -52,6 +52,35 @@ def well_defined(a: Column | str) -> Column:
     return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
 
 
+def matrix_scale(m: Column | str, by: float) -> Column:
+    """A matrix is an array of rows."""
+    return F.transform(m, lambda r: scale(r, by))
+
+
+def matrix_add(a: Column | str, b: Column | str) -> Column:
+    return F.zip_with(a, b, add)
+
+
+def matrix_subtract(a: Column | str, b: Column | str) -> Column:
+    return F.zip_with(a, b, subtract)
+
+
+def matrix_axpy(a: Column | str, b: Column | str, by: float) -> Column:
+    """a + by * b."""
+    return F.zip_with(a, b, lambda x, y: axpy(x, y, by))
+
+
+def matrix_multiply(m: Column | str, v: Column | str) -> Column:
+    """The matrix times a vector."""
+    return F.transform(m, lambda r: dot(r, v))
+
+
+def to_dense(entries: Column | str, rows: int, columns: int) -> Column:
+    """A matrix from an array of structs (row, column, value): places not named are 0, those named twice are added."""
+    at = lambda i, j: F.aggregate(F.filter(entries, lambda e: (e["row"] == i) & (e["column"] == j)), F.lit(0.0), lambda s, e: s + e["value"].cast("double"))
+    return F.array(*[F.array(*[at(i, j) for j in range(columns)]) for i in range(rows)])
+
+
 def sha256(*columns: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *columns), 256)
 

@@ -22,6 +22,8 @@ from transcurve.spec import Model
 
 #: Tasks from which on partial sums are added in an intermediate step.
 TREE = 256
+#: Points kept of a cached grid, so that no model is evaluated twice at a level in a row of steps.
+KEPT = 64
 
 
 @dataclass
@@ -79,6 +81,10 @@ class Point:
         j, i = criteria.inverse_condition(self.hessian), criteria.inverse_condition(self.fisher)
         return j, i, min(j, i)
 
+    def penalty_gradient(self, target: str = "ENTROPY", l2: float = 0.0) -> np.ndarray:
+        get = lambda name: self.mean(name) if name in self.sums else None
+        return criteria.penalty_gradient(target, self.n, self.model.pack(), *map(get, ("g2", "j", "shift", "scaled", "scaled2")), l2)
+
     def objective(self, target: str = "ENTROPY", l2: float = 0.0) -> float:
         get = lambda name: self.mean(name) if name in self.sums else None
         return criteria.objective(target, self.n, self.entropy, self.model.pack(), get("g2"), get("j"), get("fisher"), get("hessian"), l2)
@@ -151,9 +157,26 @@ def evaluate(grid: DataFrame, model: Model, level: int = k.VALUE, previous: np.n
     return Point(model, level, unpack(sums(grid, [model], level, None if previous is None else [previous])[0], model, level, previous is not None))
 
 
-def evaluate_many(grid: DataFrame, models: Sequence[Model], level: int = k.VALUE) -> list[Point]:
-    """Many models in one pass: a line search, or all candidates of a step."""
-    return [Point(m, level, unpack(t, m, level)) for m, t in zip(models, sums(grid, models, level), strict=True)]
+def evaluate_many(grid: DataFrame, models: Sequence[Model], level: int = k.VALUE, previous: Sequence[np.ndarray] | None = None) -> list[Point]:
+    """Many models in one pass: a line search, or all candidates of a step.
+
+    Of a cached grid, whose rows stay, the last ``KEPT`` points are remembered on the driver:
+    a model met again at the same level or a lower one costs no pass. ``evaluate`` always passes.
+    """
+    if previous is not None:
+        return [Point(m, level, unpack(t, m, level, True)) for m, t in zip(models, sums(grid, models, level, previous), strict=True)]
+    kept = grid.__dict__.setdefault("_points", {}) if grid.is_cached else {}
+    keys = [(m, m.filters) for m in models]
+    found = [kept[key] if key in kept and kept[key].level >= level else None for key in keys]
+    new = [m for m, p in zip(models, found, strict=True) if p is None]
+    passed = iter([Point(m, level, unpack(t, m, level)) for m, t in zip(new, sums(grid, new, level), strict=True)] if new else [])
+    out = [p or next(passed) for p in found]
+    for key, p in zip(keys, out, strict=True):
+        kept.pop(key, None)
+        kept[key] = p
+    while len(kept) > KEPT:
+        kept.pop(next(iter(kept)))
+    return out
 
 
 def entropy_frame(grid: DataFrame, model: Model, by: Sequence[str] = ()) -> DataFrame:

@@ -51,7 +51,8 @@ def with_entropy(df: DataFrame, model: Model, prefix: str = "p_", name: str = "e
 
 def sample(df: DataFrame, model: Model, seed: int, row_id: str, name: str = "sampled") -> DataFrame:
     """``df`` with a status drawn from the model's probabilities, by a hash of the row and the seed."""
-    u = (F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed)))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
     scored = with_probabilities(df, model)
     k = softmax.choose([F.col(f"`p_{s}`") for s in model.reachable], u)
     return scored.withColumn(name, F.get(F.array(*map(F.lit, model.reachable)), k)).drop(*[f"p_{s}" for s in model.reachable])

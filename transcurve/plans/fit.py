@@ -405,7 +405,7 @@ class Fitter:
 
     def detail(self) -> Point:
         """The last result with all derivatives: TIC, deviations, conditions."""
-        return evaluate(self.grid, self.chain.model, kernel.SECOND)
+        return evaluate_many(self.grid, [self.chain.model], kernel.SECOND)[0]
 
     def close(self) -> None:
         self.grid.unpersist()

@@ -33,6 +33,9 @@ GRADIENT, GAIN = 1e-9, 1e-12
 NOISE = 0.1
 
 
+#: Targets whose gradient is scaled row by row against an earlier Hessian diagonal.
+SCALED = ("ICE_RAW", "ICE", "ICE_B")
+
 #: Which places (status, entry, depth, parameter) a fit may change.
 Wanted = Callable[[tuple[int, int, int, int]], bool] | None
 
@@ -57,6 +60,15 @@ class _State:
     best: float = np.inf
     steps: int = 0
     done: bool = False
+    exact: bool = False  # whether the penalty's gradient is taken by differences
+
+
+def _start(grid: DataFrame, models: Sequence[Model], target: str, earlier: Sequence[np.ndarray] | None = None) -> list[Point]:
+    """Points with all that the target's gradient needs; ``earlier`` are Hessian diagonals of the points before."""
+    if target not in SCALED:
+        return evaluate_many(grid, models, kernel.SECOND)
+    earlier = earlier or [p.mean("j") for p in evaluate_many(grid, models, kernel.FIRST)]
+    return evaluate_many(grid, models, kernel.SECOND, earlier)
 
 
 def _penalised(grid: DataFrame, states: Sequence[_State], settings: Settings, step: float = 1e-4) -> list[np.ndarray]:
@@ -78,14 +90,12 @@ def _penalised(grid: DataFrame, states: Sequence[_State], settings: Settings, st
     return out
 
 
-def _moves(state: _State, penalty: np.ndarray | None, settings: Settings) -> list[np.ndarray]:
+def _moves(state: _State, penalty: np.ndarray, settings: Settings) -> list[np.ndarray]:
     """Newton moves of several lengths and dampings; none where the gradient vanishes."""
     theta, free = state.model.pack(), state.free
-    g, h = state.point.gradient.copy(), state.point.hessian.copy()
+    g, h = state.point.gradient + penalty, state.point.hessian
     if settings.target == "L2":
-        g, h = g + 2 * settings.l2_lambda * theta, h + 2 * settings.l2_lambda * np.eye(len(theta))
-    if penalty is not None:
-        g = g + penalty
+        h = h + 2 * settings.l2_lambda * np.eye(len(theta))
     g, h = g[free], h[np.ix_(free, free)]
     if not len(free) or np.max(np.abs(g)) < GRADIENT:
         return []
@@ -105,13 +115,15 @@ def minimise_many(grid: DataFrame, models: Sequence[Model], settings: Settings |
     """Minimise the target of each model over its ``wanted`` parameters (all free ones by default).
 
     The models go in step: a step is one pass for the derivatives of all and one for all
-    their step lengths, so many candidates cost the passes of the slowest.
+    their step lengths, so many candidates cost the passes of the slowest. The gradient of
+    an ICE penalty comes with the derivatives; it leaves third derivatives out, so a model
+    that it takes no further goes on with one by differences, until that ends too.
     """
     settings = settings or Settings()
     target, l2 = settings.target, settings.l2_lambda
     plain = target in ("ENTROPY", "L2")
     states = [_State(m, _free(m, w)) for m, w in zip(models, wanted or [None] * len(models), strict=True)]
-    for s, p in zip(states, evaluate_many(grid, models, kernel.SECOND), strict=True):
+    for s, p in zip(states, _start(grid, models, target), strict=True):
         if not p.n:
             raise FitError("no rows to fit")
         s.point, s.best = p, p.objective(target, l2)
@@ -119,10 +131,11 @@ def minimise_many(grid: DataFrame, models: Sequence[Model], settings: Settings |
         live = [s for s in states if not s.done]
         if not live:
             break
-        penalties = [None] * len(live) if plain else _penalised(grid, live, settings)
+        differences = iter(_penalised(grid, [s for s in live if s.exact], settings))
         tried = []
-        for s, penalty in zip(live, penalties, strict=True):
+        for s in live:
             theta = s.model.pack()
+            penalty = next(differences) if s.exact else s.point.penalty_gradient(target, l2)
             tried.append([s.model.unpack(theta + m) for m in _moves(s, penalty, settings)])
         points = iter(evaluate_many(grid, [m for ms in tried for m in ms], kernel.VALUE if plain else kernel.SECOND) if any(tried) else [])
         moved = []
@@ -130,7 +143,7 @@ def minimise_many(grid: DataFrame, models: Sequence[Model], settings: Settings |
             found = np.array([next(points).objective(target, l2) for _ in ms])
             found[~np.isfinite(found)] = np.inf
             if not len(found) or found.min() >= s.best - GAIN:
-                s.done = True
+                s.done, s.exact = plain or s.exact, not plain
                 continue
             at = int(np.argmin(found))
             gain = s.best - found[at]
@@ -138,9 +151,10 @@ def minimise_many(grid: DataFrame, models: Sequence[Model], settings: Settings |
             moved.append(s)
             # betas alone are a convex problem, which ends at its optimum in a few more steps; curves have flat valleys
             places = s.model.places()
-            s.done = any(places[i][2] >= 0 for i in s.free) and gain_z(gain, s.point.n) < NOISE * settings.z_score_cutoff
+            ends = any(places[i][2] >= 0 for i in s.free) and gain_z(gain, s.point.n) < NOISE * settings.z_score_cutoff
+            s.done, s.exact = ends and (plain or s.exact), s.exact or (ends and not plain)
         if moved:
-            for s, p in zip(moved, evaluate_many(grid, [s.model for s in moved], kernel.SECOND), strict=True):
+            for s, p in zip(moved, _start(grid, [s.model for s in moved], target, [s.point.mean("j") for s in moved]), strict=True):
                 s.point = p
     return [Optimum(s.point, s.steps, s.done) for s in states]
 

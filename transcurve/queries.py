@@ -598,7 +598,7 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitter(spark: SparkSession, sf_dir: str, **settings) -> Fitter:
-    return Fitter(synthetic(spark, sf_dir), LOGIT_FAMILY, "F", "status", "next_status", ["x", "d", "q"], Settings(polish_start_points=6, **settings))
+    return Fitter(synthetic(spark, sf_dir), LOGIT_FAMILY, "F", "status", "next_status", ["x", "d", "q"], Settings(**settings))
 
 
 def _chain(fitter: Fitter, spark: SparkSession) -> DataFrame:
@@ -607,7 +607,10 @@ def _chain(fitter: Fitter, spark: SparkSession) -> DataFrame:
     return out
 
 
-@query()
+@query(
+    f"WITH {_LI}, s AS (SELECT *, ('0x' || substr(md5((l_orderkey * 8 + l_linenumber) || ':3'), 1, 13))::BIGINT AS h, exp(-1 + 2 / (1 + exp(-1.2 * 1.2 * (x / 10000 - 5))) + 4 * d) AS e FROM li) "
+    "SELECT CASE WHEN (h + 0.5::DOUBLE) / 4503599627370496 <= 1 / (1 + e) THEN 'F' ELSE 'O' END AS next_status, count(*) AS n FROM s GROUP BY 1"
+)
 def sampled_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic(spark, sf_dir).groupBy("next_status").agg(F.count("*").alias("n"))
 
@@ -689,6 +692,21 @@ def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", _r(vectors.dot("embedding", "embedding"), 4).alias("dot"), _r(vectors.magnitude("embedding"), 4).alias("magnitude"), _r(vectors.max_abs("embedding")).alias("max_abs"))
 
 
+@query(
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), m AS (SELECT vec_id, e[1] AS a, e[2] AS b, e[3] AS c, e[4] AS d FROM e) "
+    "SELECT vec_id, round(a + 2 * (a + 3), 6) AS m00, round(b + 2 * c, 6) AS m01, round(c + 2 * b, 6) AS m10, round(d + 2 * d, 6) AS m11, round(a * a + b * b, 6) AS v0, round(c * a + d * b, 6) AS v1 FROM m"
+)
+def matrix_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows of each embedding, added to twice its transpose with 3 at the corner, and the matrix times its first row."""
+    x = [F.get("embedding", i).cast("double") for i in range(4)]
+    entry = lambda i, j, v: F.struct(F.lit(i).alias("row"), F.lit(j).alias("column"), v.alias("value"))
+    sparse = F.array(entry(0, 0, x[0]), entry(0, 0, F.lit(3.0)), entry(0, 1, x[2]), entry(1, 0, x[1]), entry(1, 1, x[3]))
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.array(F.array(x[0], x[1]), F.array(x[2], x[3])).alias("m"), vectors.to_dense(sparse, 2, 2).alias("t"))
+    rows = rows.withColumns({"sum": vectors.matrix_axpy("m", "t", 2.0), "v": vectors.matrix_multiply("m", F.get("m", 0))})
+    cells = {f"m{i}{j}": _r(F.get(F.get("sum", i), j)) for i in range(2) for j in range(2)}
+    return rows.select("vec_id", *[c.alias(n) for n, c in cells.items()], *[_r(F.get("v", i)).alias(f"v{i}") for i in range(2)])
+
+
 @query("SELECT c_custkey, sha256(concat_ws(chr(31), c_name, c_mktsegment)) AS digest FROM customer")
 def hash_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select("c_custkey", vectors.sha256("c_name", "c_mktsegment").alias("digest"))
