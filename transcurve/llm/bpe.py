@@ -121,7 +121,6 @@ class Bpe:
         self.rank = {t: i for i, t in enumerate(vocab)}  # of merged pairs, for the heap
         # rank of each pair of bytes, -1 where they never merge
         self.byte_pairs = array("i", (self.rank.get(bytes((a, b)), -1) for a in range(256) for b in range(256)))
-        self.byte_ids = [self.rank.get(bytes((b,)), -1) for b in range(256)]
         self.memo: dict[bytes, array] = {}
         self.older: dict[bytes, array] = {}
         self.memo_bytes = 0
@@ -133,43 +132,47 @@ class Bpe:
     def merge(self, word: bytes) -> array:
         """Ids of bytes that aren't a vocabulary entry: always merge the leftmost pair of least rank.
 
-        A heap entry is a rank and the place of the pair's left part; it is stale, and
-        skipped, if the pair there now has another rank or has gone. A merged pair's rank is
-        its id.
+        A heap entry holds a rank and the place of the pair's left part in one integer, which
+        is smaller than a machine's digit for usual words and compares fastest. It is stale,
+        and skipped, if it isn't the entry of the pair there now.
         """
         n, rank, pairs = len(word), self.rank.get, self.byte_pairs
-        token = [self.byte_ids[b] for b in word]  # of the part that starts here
-        nxt = list(range(1, n + 1))  # start of the part after it
-        prev = list(range(-1, n))
-        now = [pairs[a << 8 | b] for a, b in zip(word, word[1:], strict=False)]  # rank of the pair that starts here, -1 for none
-        now.append(-1)
-        # rank in the high part, place in the low: one integer compares fastest
-        heap = [r << 32 | i for i, r in enumerate(now) if r >= 0]
+        now = [-1] * n  # entry of the pair whose left part starts here, -1 for none
+        heap: list[int] = []
+        for i in range(n - 1):
+            r = pairs[word[i] << 8 | word[i + 1]]
+            if r >= 0:
+                now[i] = e = r * n + i
+                heap.append(e)
         heapify(heap)
+        nxt = list(range(1, n + 1))  # start of the part after this one
+        prev = list(range(-1, n))
         while heap:
             top = heappop(heap)
-            i, r = top & 0xFFFFFFFF, top >> 32
-            if now[i] != r:
+            i = top % n
+            if now[i] != top:
                 continue
             j = nxt[i]
-            k = nxt[j]
-            token[i], nxt[i], now[j] = r, k, -1
+            k = nxt[i] = nxt[j]
+            now[i] = now[j] = -1
             if k < n:
                 prev[k] = i
-                r = now[i] = rank(word[i : nxt[k]], -1)
-                if r >= 0:
-                    heappush(heap, r << 32 | i)
-            else:
-                now[i] = -1
-            if (p := prev[i]) >= 0:
-                r = now[p] = rank(word[p:k], -1)
-                if r >= 0:
-                    heappush(heap, r << 32 | p)
-        out, i = array("i"), 0
+                if (r := rank(word[i : nxt[k]])) is not None:
+                    now[i] = e = r * n + i
+                    heappush(heap, e)
+            if i:
+                p = prev[i]
+                if (r := rank(word[p:k])) is not None:
+                    now[p] = e = r * n + p
+                    heappush(heap, e)
+                else:
+                    now[p] = -1
+        out, i = [], 0
         while i < n:
-            out.append(token[i])
-            i = nxt[i]
-        return out
+            k = nxt[i]
+            out.append(rank(word[i:k], -1))
+            i = k
+        return array("i", out)
 
     def encode_words(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens, one after the other, and where each pre-token's begin."""
