@@ -457,8 +457,10 @@ def test_secret_base_equals_brute_force(spark, texts):
         assert hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)).encode()).hexdigest() == found[i]
 
 
-def test_secret_ownership_equals_plain(spark):
+@pytest.mark.parametrize("frequent", [1, 25, 1000])  # no value, some, all
+def test_secret_ownership_equals_plain(spark, frequent, monkeypatch):
     """Every span's counts of documents and owners, and which spans stay, from dicts over plain scans."""
+    monkeypatch.setattr(secrets, "FREQUENT", frequent)
     rng = random.Random(6)
     values = ["".join(rng.choice("abcXYZ0123456789") for _ in range(30)) + "aZ9" for _ in range(25)]
     rows = [(i if i % 9 else None, " and ".join(f"{rng.choice(['', 'token=', 'key '])}{rng.choice(values)}" for _ in range(rng.randint(0, 3))), rng.choice(["a", "b", "c", "d", None])) for i in range(80)]

@@ -37,6 +37,8 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 KINDS = ("assign", "access", "hex", "private", "provider", "mixed")
 #: Distinct owners from which on a value counts as a copied example.
 EXAMPLE_OWNERS = 3
+#: A value with more than one in this many of all spans is frequent; there are fewer such values than this.
+FREQUENT = 1000
 #: Bits a character from which on a mixed string counts as random, and its least length.
 MIXED_BITS, MIXED_CHARS = 3.5, 24
 CHUNK_BYTES = 2 << 20
@@ -115,27 +117,33 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """value, n_repos, n_owners, example: how widely each candidate value is carried.
+    """value, n_spans, n_repos, n_owners, example: how widely each candidate value is carried.
 
     Counted in two steps that combine before they shuffle, so a value in a third of all
     documents meets nowhere whole: first per (value, owner, repository), then per value.
     """
     flat = found.select("doc_id", "source", F.explode("spans").alias("s")).select(F.col("s.value").alias("value"), F.struct("source").alias("owner"), F.struct("doc_id").alias("repo"))
-    per_repo = flat.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-    per_owner = per_repo.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return per_owner.groupBy("value").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners")).withColumn("example", F.col("n_owners") >= owners)
+    per_repo = flat.groupBy("value", "owner", "repo").agg(F.count("*").alias("k"))
+    per_owner = per_repo.groupBy("value", "owner").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    return per_owner.groupBy("value").agg(F.sum("k").alias("n_spans"), F.sum("n").alias("n_repos"), F.count("*").alias("n_owners")).withColumn("example", F.col("n_owners") >= owners)
 
 
 def scan(docs: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """doc_id, source, spans (kind, start, end, value, base, n_repos, n_owners, example) of every document.
 
     Only documents with candidates meet the counts; base spans stay whatever the counts say.
+    Spans of the frequent values, of which there are fewer than ``FREQUENT``, meet their counts
+    by a broadcast, so that no task gets all spans of a value; the others meet them in a shuffle.
     """
     found = common.cut(candidates(docs).withColumn("row", F.monotonically_increasing_id()))
     counts = common.cut(ownership(found, owners))
     flat = common.cut(found.select("row", F.explode("spans").alias("s")).select("row", F.col("s.value").alias("value"), "s"))
+    spans = counts.agg(F.sum("n_spans")).first()[0] or 0
+    frequent = F.broadcast(counts.where(F.col("n_spans") * FREQUENT > spans))
+    others = counts.where(F.col("n_spans") * FREQUENT <= spans)
     judged = (
-        flat.join(counts, "value")
+        flat.join(frequent, "value")
+        .unionByName(flat.join(frequent.select("value"), "value", "left_anti").join(others, "value"))
         .where("s.base or not example")
         .groupBy("row")
         .agg(F.collect_list(F.struct(F.col("s.start").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("s.kind")).alias("rank"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), "value", F.col("s.base").alias("base"), "n_repos", "n_owners", "example")).alias("js"))
