@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key that more than one in so many rows carry is frequent; there are fewer such keys than this.
+FREQUENT = 1000
 #: White space of every word rule: the space and the six control characters 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,12 +39,20 @@ def cut(df: DataFrame) -> DataFrame:
     named, a session of one process (tests) gets a folder of its own, and a cluster an error:
     a machine's folder would lose rows there.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``cut``'s files."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named
+    if sc.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def give_back() -> None:
@@ -104,6 +114,24 @@ def chunks(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         yield batch.slice(start)
 
 
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the least ``value`` among the rows of equal ``key`` (a string), null where the key is null.
+
+    Only keys that occur twice are looked up. Rows of frequent keys meet theirs in a broadcast of
+    fewer than ``FREQUENT`` keys and go on spread by the partition they came from; the others
+    meet in a shuffle, so no task gets all rows of a hot key.
+    """
+    repeated = cut(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias("__least"), F.count("*").alias("__rows")).where("__rows > 1"))
+    often = F.col("__rows") * FREQUENT > rows.count()
+    frequent = repeated.where(often).select(F.col(key).alias("__often"), F.col("__least").alias("__a"))
+    seldom = repeated.where(~often).select(F.col(key).alias("__seldom"), F.col("__least").alias("__b"))
+    met = rows.join(F.broadcast(frequent), F.col(key) == F.col("__often"), "left")
+    spread = F.concat_ws(":", F.lit("met"), F.spark_partition_id(), F.xxhash64(value))
+    met = met.withColumn("__at", F.when(F.col("__often").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread))
+    own = F.when(F.col(key).isNotNull(), F.col(value))
+    return met.join(seldom, F.col("__at") == F.col("__seldom"), "left").withColumn(name, F.coalesce("__a", "__b", own)).drop("__often", "__a", "__at", "__seldom", "__b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), the least node.
 

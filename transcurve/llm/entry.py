@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transcurve.llm import bpe, embeddings, html_extract, jaccard, licenses, line_dedup, media, mixing, secrets, toxicity
+from transcurve.llm import bpe, embeddings, filter_audit, html_extract, jaccard, licenses, line_dedup, media, mixing, secrets, toxicity, warc, whitening
 
-MODULES = (mixing, bpe, secrets, html_extract, media, toxicity, embeddings, licenses, line_dedup, jaccard)
+MODULES = (mixing, bpe, secrets, html_extract, media, toxicity, embeddings, licenses, line_dedup, jaccard, whitening, filter_audit, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
