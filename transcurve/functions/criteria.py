@@ -133,6 +133,30 @@ def penalty_gradient(target: str, n: float, theta: np.ndarray, g2: np.ndarray |
     raise ValueError(f"unknown target {target}")
 
 
+def exact_penalty_gradient(target: str, n: float, g2: np.ndarray, j: np.ndarray, dg2: np.ndarray, dj: np.ndarray, outcomes: float = 3.0) -> np.ndarray:
+    """The derivative of ``objective``'s sum of ratios by each parameter, from those of g2 and j: rows by ratio, columns by parameter."""
+    j = np.asarray(j, float)
+    if target == "ICE_SIMPLE":
+        below, dbelow = j, dj
+    elif target == "ICE2":
+        b = 1 / (n * math.log(outcomes))
+        below, dbelow = np.abs(j) * (1 - b) + g2 * b, np.sign(j)[:, None] * dj * (1 - b) + dg2 * b
+    elif target in ("ICE", "ICE_B", "ICE_STABLE_B"):
+        cut, top = cutoff(j), int(np.argmax(np.abs(j))) if len(j) else 0
+        dcut = TOLERANCE * np.sign(j[top]) * dj[top] if len(j) else 0.0
+        up = np.where(j > 0, j, 1.0)[:, None]
+        w = np.where(j > 0, np.exp(-cut / up[:, 0]), 0.0)[:, None]
+        dw = np.where((j > 0)[:, None], w * (cut * dj / up - dcut) / up, 0.0)
+        below = j * w[:, 0] + g2 * (1 - w[:, 0])
+        dbelow = dj * w + j[:, None] * dw + dg2 * (1 - w) - g2[:, None] * dw
+    else:
+        raise ValueError(f"no ratios in {target}")
+    floor = math.ulp(4.0) * float(np.max(g2)) if len(g2) else 0.0
+    keep = (g2 >= floor) & (g2 > 0) & (below != 0)
+    under = np.where(keep, below, 1.0)[:, None]
+    return np.where(keep[:, None], (dg2 - g2[:, None] * dbelow / under) / under, 0.0).sum(axis=0) / n
+
+
 def objective(target: str, n: float, entropy: float, theta: np.ndarray, g2: np.ndarray | None = None, j: np.ndarray | None = None, fisher: np.ndarray | None = None, hessian: np.ndarray | None = None, l2: float = 0.0) -> float:
     """What a fit with this target minimises."""
     if target == "ENTROPY":

@@ -26,7 +26,8 @@ def column(x: Column | str) -> Column:
 class CurveType:
     """A curve family: parameters (centre, width), value, first and second derivatives.
 
-    ``gradient`` returns [2, n]; ``hessian`` returns [3, n]: 11, 12, 22. ``canonical``
+    ``gradient`` returns [2, n]; ``hessian`` returns [3, n]: 11, 12, 22; ``third``, where given, [4, n]: 111, 112, 122, 222
+    (else differences of the second ones stand in). ``canonical``
     brings parameters that mean the same curve to one form.
     """
 
@@ -37,6 +38,7 @@ class CurveType:
     hessian: Callable[[np.ndarray, float, float], np.ndarray]
     canonical: Callable[[float, float], tuple[float, float]] = lambda a, b: (a, b)
     fitted: bool = True
+    third: Callable[[np.ndarray, float, float], np.ndarray] | None = None
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -77,6 +79,19 @@ def _gaussian_hessian(x: np.ndarray, m: float, s: float) -> np.ndarray:
     return np.stack(((z * z - 1) * f, sign * z * (z * z - 2) * f, (z**4 - 3 * z * z) * f)) / (w * w)
 
 
+def _logistic_third(x: np.ndarray, c: float, s: float) -> np.ndarray:
+    v, d = _sigmoid(s * s * (x - c)), x - c
+    w = v * (1 - v)
+    w2, w3 = w * (1 - 2 * v), w * (1 - 6 * w)
+    return np.stack((-(s**6) * w3, 2 * s**5 * d * w3 + 4 * s**3 * w2, -4 * s**4 * d * d * w3 - 10 * s * s * d * w2 - 2 * w, 8 * s**3 * d**3 * w3 + 12 * s * d * d * w2))
+
+
+def _gaussian_third(x: np.ndarray, m: float, s: float) -> np.ndarray:
+    w = gaussian_width(m, s)
+    z, f, sign = (x - m) / w, _gaussian(x, m, s), -1.0 if s < 0 else 1.0
+    return np.stack(((z**3 - 3 * z) * f, sign * (z**4 - 5 * z * z + 2) * f, (z**5 - 7 * z**3 + 6 * z) * f, sign * (z**6 - 9 * z**4 + 12 * z * z) * f)) / w**3
+
+
 def _step_gradient(x: np.ndarray, a: float, w: float) -> np.ndarray:
     inside = (x > a) & (x < a + w)
     return np.stack((np.where(inside, -1 / w, 0.0), np.where(inside, -(x - a) / (w * w), 0.0)))
@@ -103,11 +118,11 @@ def register(kind: CurveType) -> CurveType:
 
 LOGISTIC = register(
     CurveType(
-        "LOGISTIC", lambda x, c, s: 1 / (1 + F.exp(F.lit(-(s * s)) * (x - c))), lambda x, c, s: _sigmoid(s * s * (x - c)), _logistic_gradient, _logistic_hessian, lambda c, s: (c, abs(s))
+        "LOGISTIC", lambda x, c, s: 1 / (1 + F.exp(F.lit(-(s * s)) * (x - c))), lambda x, c, s: _sigmoid(s * s * (x - c)), _logistic_gradient, _logistic_hessian, lambda c, s: (c, abs(s)), third=_logistic_third
     )
 )
 GAUSSIAN = register(
-    CurveType("GAUSSIAN", lambda x, m, s: F.exp(-F.pow(x - m, F.lit(2.0)) / (2 * gaussian_width(m, s) ** 2)), _gaussian, _gaussian_gradient, _gaussian_hessian, lambda m, s: (m, abs(s)))
+    CurveType("GAUSSIAN", lambda x, m, s: F.exp(-F.pow(x - m, F.lit(2.0)) / (2 * gaussian_width(m, s) ** 2)), _gaussian, _gaussian_gradient, _gaussian_hessian, lambda m, s: (m, abs(s)), third=_gaussian_third)
 )
 STEP = register(
     CurveType(
@@ -140,6 +155,16 @@ class Curve:
     def hessian(self, x: np.ndarray) -> np.ndarray:
         return TYPES[self.type].hessian(x, *self.params)
 
+    def third(self, x: np.ndarray) -> np.ndarray:
+        """Third derivatives [4, n]: 111, 112, 122, 222."""
+        kind, (a, b) = TYPES[self.type], self.params
+        if kind.third:
+            return kind.third(x, a, b)
+        step = 1e-5 * max(1.0, abs(a), abs(b))
+        by_a = (kind.hessian(x, a + step, b) - kind.hessian(x, a - step, b)) / (2 * step)
+        by_b = (kind.hessian(x, a, b + step) - kind.hessian(x, a, b - step)) / (2 * step)
+        return np.stack((by_a[0], by_a[1], by_a[2], by_b[2]))
+
     def canonical(self) -> Curve:
         return Curve(self.type, tuple(float(p) for p in TYPES[self.type].canonical(*self.params)))
 

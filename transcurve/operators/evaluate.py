@@ -7,7 +7,7 @@ are added up by Spark, so the driver gets one vector a model however many tasks
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,8 @@ from transcurve.spec import Model
 
 #: Tasks from which on partial sums are added in an intermediate step.
 TREE = 256
+#: Bytes of partial sums that the driver adds itself; beyond, tasks add all of a model first.
+GATHERED = 8 << 20
 #: Points kept of a cached grid, so that no model is evaluated twice at a level in a row of steps.
 KEPT = 64
 
@@ -106,21 +108,84 @@ def sums(grid: DataFrame, models: Sequence[Model], level: int = k.VALUE, previou
 
     ``previous`` adds the scaled gradients against earlier Hessian diagonals, a model each.
     """
+    def of(x: dict[str, np.ndarray], actual: np.ndarray, kernels: list[k.Kernel]) -> list[np.ndarray]:
+        return [k.sums(kernel, x, actual, level, previous[i] if previous else None) for i, kernel in enumerate(kernels)]
+
+    zero = lambda m: sum(int(np.prod(s)) for _, s in k.shape(len(m.places()), level)) + (2 * len(m.places()) + 1 if previous else 0)
+    return _added(grid, models, of, [zero(m) for m in models])
+
+
+def differences(grid: DataFrame, contests: Sequence[Sequence[Model]], bases: Sequence[Model]) -> list[np.ndarray]:
+    """For each contest n, the sums of its models' entropies less its base's, and of their products, in one pass."""
+    models = list(dict.fromkeys([*bases, *(m for ms in contests for m in ms)]))
+    at = {m: i for i, m in enumerate(models)}
+    places = [(at[base], [at[m] for m in ms]) for base, ms in zip(bases, contests, strict=True)]
+
+    def of(x: dict[str, np.ndarray], actual: np.ndarray, kernels: list[k.Kernel]) -> list[np.ndarray]:
+        h = np.stack([kernel.entropy(x, actual) for kernel in kernels])
+        out = []
+        for base, own in places:
+            d = h[own] - h[base]
+            out.append(np.concatenate(([d.shape[1]], d.sum(axis=1), (d @ d.T).ravel())))
+        return out
+
+    return _added(grid, models, of, [1 + len(ms) + len(ms) ** 2 for ms in contests])
+
+
+def directional(grid: DataFrame, models: Sequence[Model], directions: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Means over the grid of (g u) H u and t(u, u, .) for each model's directions u (``Kernel.directional``), in one pass."""
+
+    def of(x: dict[str, np.ndarray], actual: np.ndarray, kernels: list[k.Kernel]) -> list[np.ndarray]:
+        return [np.concatenate(([len(actual)], *map(np.ravel, kernel.directional(x, actual, u)))) for kernel, u in zip(kernels, directions, strict=True)]
+
+    out = []
+    for packed, u in zip(_added(grid, models, of, [1 + 2 * u.size for u in directions]), directions, strict=True):
+        cross, third = packed[1:].reshape(2, *u.shape) / max(packed[0], 1.0)
+        out.append((cross, third))
+    return out
+
+
+def exact_penalty_gradients(grid: DataFrame, points: Sequence[Point], target: str) -> list[np.ndarray]:
+    """How an ICE target's penalty moves with each parameter, third derivatives included; one pass for all points.
+
+    The points hold what the target's value needs.
+    """
+    directions, traces = [], []
+    for p in points:
+        if target == "ICE_RAW":
+            inverse = criteria.pseudo_inverse(p.hessian)
+            (a, v), (b, w) = np.linalg.eigh((inverse + inverse.T) / 2), np.linalg.eigh(inverse @ p.fisher @ inverse.T)
+            directions.append(np.vstack((v.T, w.T)))
+            traces.append((a, b))
+        else:
+            directions.append(np.eye(len(p.model.places())))
+    out = []
+    for i, (p, (cross, third)) in enumerate(zip(points, directional(grid, [p.model for p in points], directions) if points else [], strict=True)):
+        if target == "ICE_RAW":
+            (a, b), k = traces[i], len(cross) // 2
+            out.append((2 * a @ cross[:k] - b @ third[k:]) / p.n)
+        else:
+            out.append(criteria.exact_penalty_gradient(target, p.n, p.mean("g2"), p.mean("j"), 2 * cross, third))
+    return out
+
+
+def _added(grid: DataFrame, models: Sequence[Model], of: Callable[[dict[str, np.ndarray], np.ndarray, list[k.Kernel]], list[np.ndarray]], sizes: Sequence[int]) -> list[np.ndarray]:
+    """The arrays that ``of`` makes of each slice of rows, added over the grid: each task adds its own, Spark the tasks'.
+
+    The driver gets a row for each task and array, or, where those would be many or large, a row for each array.
+    """
     names = sorted({r for m in models for r in m.regressors})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernels = [k.Kernel(m) for m in models]
-        total: list[np.ndarray | None] = [None] * len(models)
+        total: list[np.ndarray] = []
         for batch in batches:
             for start in range(0, batch.num_rows, 4000):  # arrays of a slice stay in cache
                 part = batch.slice(start, 4000)
-                x = _columns(part, names)
                 actual = part.column("next_offset").fill_null(-1).to_numpy(zero_copy_only=False).astype(int)
-                for i, kernel in enumerate(kernels):
-                    s = k.sums(kernel, x, actual, level, previous[i] if previous else None)
-                    total[i] = s if total[i] is None else total[i] + s
-        rows = [(i, t) for i, t in enumerate(total) if t is not None]
-        yield pa.RecordBatch.from_pydict({"model": pa.array([i for i, _ in rows], pa.int32()), "sums": pa.array([t.tobytes() for _, t in rows], pa.binary())})
+                new = of(_columns(part, names), actual, kernels)
+                total = [t + n for t, n in zip(total, new, strict=True)] if total else new
+        yield from packed(dict(enumerate(total)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -128,19 +193,21 @@ def sums(grid: DataFrame, models: Sequence[Model], level: int = k.VALUE, previou
             for i, raw in zip(batch.column("model").to_pylist(), batch.column("sums").to_pylist(), strict=True):
                 t = np.frombuffer(raw)
                 total[i] = total[i] + t if i in total else t
+        yield from packed(total)
+
+    def packed(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"model": pa.array(list(total), pa.int32()), "sums": pa.array([t.tobytes() for t in total.values()], pa.binary())})
 
-    schema = "model int, sums binary"
-    rows = grid.select(*names, "next_offset")
-    partial = rows.mapInArrow(run, schema)
-    if (tasks := _tasks(grid)) > TREE:  # one more, small shuffle keeps the driver's share at the root
-        partial = partial.repartition(int(tasks**0.5)).mapInArrow(add, schema)
-    out: list[np.ndarray | None] = [None] * len(models)
-    for r in partial.collect():  # a row for each task and model, TREE tasks at most
-        t = np.frombuffer(r.sums)
-        out[r.model] = t if out[r.model] is None else out[r.model] + t
-    zero = lambda m: sum(int(np.prod(s)) for _, s in k.shape(len(m.places()), level)) + (2 * len(m.places()) + 1 if previous else 0)
-    return [t if t is not None else np.zeros(zero(m)) for t, m in zip(out, models, strict=True)]
+    schema, tasks = "model int, sums binary", _tasks(grid)
+    partial = grid.select(*names, "next_offset").mapInArrow(run, schema)
+    if tasks > TREE:  # tasks that add some of the tasks' rows of a model
+        partial = partial.repartition(max(1, int(tasks**0.5)), "model", F.pmod(F.spark_partition_id(), F.lit(max(1, int(tasks**0.5) // len(sizes))))).mapInArrow(add, schema)
+    if min(tasks, TREE) * 8 * sum(sizes) > GATHERED:  # then one that adds all of a model's
+        partial = partial.repartition(min(len(sizes), TREE), "model").mapInArrow(add, schema)
+    out: list[np.ndarray] = [np.zeros(n) for n in sizes]
+    for r in partial.collect():
+        out[r.model] = out[r.model] + np.frombuffer(r.sums)
+    return out
 
 
 def unpack(packed: np.ndarray, model: Model, level: int, previous: bool = False) -> dict[str, np.ndarray]:

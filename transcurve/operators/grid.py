@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from transcurve.functions.permutation import Permutation
 from transcurve.spec import Model, StatusFamily
 
 #: Rows of a block; the last block takes the remainder.
@@ -94,8 +95,8 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="checkpoint-")
 
 
-def blocks(df: DataFrame, order: Sequence[Column | str], size: int = BLOCK, name: str = "block_id") -> DataFrame:
-    """Numbers contiguous blocks of ``size`` rows in ``order``; the last takes the remainder.
+def _placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` with __place, its rows' places in ``order``, and __all, their number.
 
     Places are counted without gathering the table: rows are range-partitioned by the
     order, each partition is counted, and a row's place is its partition's offset plus
@@ -109,9 +110,24 @@ def blocks(df: DataFrame, order: Sequence[Column | str], size: int = BLOCK, name
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
     rows = placed.join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
-    at = F.col("__before") + F.col("__at")
-    block = F.least(F.floor(at / size), F.greatest(F.floor(F.col("__all") / size) - 1, F.lit(0))).cast("long")
-    return rows.withColumn(name, block).drop("__part", "__p", "__at", "__before", "__all")
+    return rows.withColumn("__place", F.col("__before") + F.col("__at")).drop("__part", "__p", "__at", "__before")
+
+
+def blocks(df: DataFrame, order: Sequence[Column | str], size: int = BLOCK, name: str = "block_id") -> DataFrame:
+    """Numbers contiguous blocks of ``size`` rows in ``order``; the last takes the remainder."""
+    block = F.least(F.floor(F.col("__place") / size), F.greatest(F.floor(F.col("__all") / size) - 1, F.lit(0))).cast("long")
+    return _placed(df, order).withColumn(name, block).drop("__place", "__all")
+
+
+def permuted(df: DataFrame, order: Sequence[Column | str], seed: int = 0, name: str = "place") -> DataFrame:
+    """``df`` with each row's place in a random permutation of the whole table.
+
+    Rows are numbered in ``order``, which must not tie, and numbers go through a keyed bijection:
+    the same permutation on any cluster, and no sort by random keys. Blocks of it are random samples.
+    """
+    rows = _placed(df, order)
+    n = rows.count()
+    return rows.withColumn(name, Permutation(n, seed).column(F.col("__place"))).drop("__place", "__all")
 
 
 def hashed_blocks(df: DataFrame, row_id: str, count: int, seed: int = 0, name: str = "block_id") -> DataFrame:

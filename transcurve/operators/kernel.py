@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 
-from transcurve.functions import softmax
+from transcurve.functions import jets, softmax
 from transcurve.spec import Model
 
 #: Levels of evaluation: each holds what the one before it holds.
@@ -81,6 +82,41 @@ class Kernel:
                     shift[b] += term @ grad[a]
         return h, grad, diagonal, hess, shift
 
+    def directional(self, x: dict[str, np.ndarray], actual: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each direction u of the parameters, summed over the rows: (g u) H u, and the third derivatives t(u, u, .); both [directions, params].
+
+        g is a row's gradient and H its Hessian; all by jets of the gradient along u.
+        """
+        n, m = len(actual), self.model
+        _, parts = self._parts(x, n)
+        curves = {(e, d): (c.value(x[r]), c.gradient(x[r]), c.hessian(x[r]), c.third(x[r])) for e, entry in enumerate(m.entries) for d, (r, c) in enumerate(entry.depth) if c}
+        mine = self.same[actual].T
+        flat = lambda v: np.stack((v, np.zeros_like(v), np.zeros_like(v)))
+        cross, third = np.zeros((2, len(directions), len(self.places)))
+        p0 = softmax.np_probabilities(self.scores(x, n))
+        live = (p0 * mine).sum(axis=0) > math.exp(-softmax.CAP)
+        for r, u in enumerate(directions):
+            move = dict(zip(self.places, u, strict=True))
+            moved = {(e, d): jets.curve(*found, *(move.get((m.entries[e].restrict, e, d, j), 0.0) for j in (0, 1))) for (e, d), found in curves.items()}
+            factors = [[moved[e, d][0] if c else flat(parts[e][d]) for d, (_, c) in enumerate(entry.depth)] for e, entry in enumerate(m.entries)]
+            rest = lambda e, *without, factors=factors: reduce(jets.times, [f for d, f in enumerate(factors[e]) if d not in without], flat(np.ones(n)))
+            weights = [rest(e) for e in range(len(m.entries))]
+            beta = lambda k, e, move=move: np.array([self.betas[k, e], move.get((k, e, -1, 0), 0.0), 0.0])[:, None]
+            scores = np.stack([sum(jets.times(beta(k, e), w) for e, w in enumerate(weights)) for k in range(len(m.reachable))], axis=1)
+            p = jets.softmax(p0, scores)
+            hit = (p * mine).sum(axis=1)
+            by_score = np.where(live, p - jets.over(p * mine, hit[:, None]), 0.0)
+            along = np.zeros(n)
+            bent = []
+            for i, (k, e, d, j) in enumerate(self.places):
+                slope = weights[e] if d < 0 else jets.times(beta(k, e), jets.times(rest(e, d), moved[e, d][1][j]))
+                g = jets.times(by_score[:, k], slope)
+                along += u[i] * g[0]
+                bent.append(g[1])
+                third[r, i] = 2 * g[2].sum()
+            cross[r] = np.stack(bent) @ along if bent else 0.0
+        return cross, third
+
     def _curve(self, e: int, d: int):
         return self.model.entries[e].depth[d][1]
 

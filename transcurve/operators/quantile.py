@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transcurve.operators.grid import finite
@@ -189,3 +190,71 @@ def log_adjusted(stats: DataFrame) -> DataFrame:
     adj = F.log(bounded)
     empty = F.col("n") == 0
     return stats.withColumn("adj_y", F.when(empty, 0.0).otherwise(adj)).withColumn("adj_dev", F.when(empty, 0.0).otherwise(F.log(F.col("mean_dev_y") + bounded) - adj))
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Count, mean and sum of squared deviations of a response in each bucket; parts of a table merge to the whole's."""
+
+    n: np.ndarray
+    mean: np.ndarray
+    m2: np.ndarray
+
+    @classmethod
+    def none(cls, buckets: int) -> Moments:
+        return cls(*np.zeros((3, buckets)))
+
+    def merged(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        share = np.divide(other.n, n, out=np.zeros(len(n)), where=n > 0)
+        gap = other.mean - self.mean
+        return Moments(n, self.mean + gap * share, self.m2 + other.m2 + gap * gap * self.n * share)
+
+    @property
+    def mean_variance(self) -> np.ndarray:
+        """Sample variance of each bucket's mean, 0 up to one row."""
+        variance = np.divide(self.m2, self.n - 1, out=np.zeros(len(self.n)), where=self.n > 1)
+        return np.divide(variance, self.n, out=np.zeros(len(self.n)), where=self.n > 0)
+
+    @property
+    def global_mean(self) -> float:
+        return float((self.n * self.mean).sum() / self.n.sum()) if self.n.sum() else 0.0
+
+    def converged(self) -> bool:
+        """Whether ``convergence`` passes for every bucket; buckets without rows have mean and variance 0."""
+        a, b = np.where(self.n > 0, self.mean, 0.0)[:-1], np.where(self.n > 0, self.mean, 0.0)[1:]
+        va, vb = self.mean_variance[:-1], self.mean_variance[1:]
+        near = ((a - b) ** 2 < 9 * va) & ((a - b) ** 2 < 9 * vb) & ((a - self.global_mean) ** 2 < 9 * va)
+        return not (near & (np.abs(a) <= 100 * np.sqrt(va))).any()
+
+
+def moments(df: DataFrame, bucket_column: str, y: Column, buckets: int) -> Moments:
+    """The moments of the finite y in each bucket: a row a bucket reaches the driver."""
+    v = F.when(finite(y), y)
+    rows = df.where(F.col(bucket_column).isNotNull()).groupBy(F.col(bucket_column).alias("b")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")).collect()
+    out = Moments.none(buckets)
+    for r in rows:
+        if r.n:
+            out.n[r.b], out.mean[r.b], out.m2[r.b] = r.n, r.mean, r.m2
+    return out
+
+
+def until_converged(part: Callable[[int, int], DataFrame], ends: Sequence[int], bucket_column: str, y: Column, buckets: int) -> tuple[Moments, int]:
+    """Moments of a growing sample, and where it ended: at the first of ``ends`` at which all buckets stand apart, else the last.
+
+    ``part(first, end)`` gives the rows between two ends and reads no others (a blocked grid's
+    ``slice``); parts must be random samples of the table. What was read is merged, never read again.
+    """
+    total, done = Moments.none(buckets), 0
+    for end in ends:
+        total, done = total.merged(moments(part(done, end), bucket_column, y, buckets)), end
+        if total.n.sum() and total.converged():
+            break
+    return total, done
+
+
+def moments_frame(spark: SparkSession, found: Moments) -> DataFrame:
+    """bucket, n, mean_y, mean_dev_y of the buckets that have rows."""
+    dev = np.sqrt(found.mean_variance)
+    rows = [(i, int(found.n[i]), float(found.mean[i]), float(dev[i])) for i in range(len(found.n)) if found.n[i]]
+    return spark.createDataFrame(rows, "bucket int, n long, mean_y double, mean_dev_y double")

@@ -19,6 +19,7 @@ from transcurve.functions import softmax
 from transcurve.functions.curves import TYPES, Curve
 from transcurve.operators import grid as grids
 from transcurve.operators import kernel, quantile, score
+from transcurve.operators.blocked import BlockedGrid
 from transcurve.operators.evaluate import Point, evaluate, evaluate_many
 from transcurve.plans.optimize import FitError, minimise, minimise_many
 from transcurve.settings import Settings
@@ -134,12 +135,20 @@ class Fitter:
         self.regressors, self.forbidden = tuple(regressors), forbidden
         rows = grids.fitting_rows(df, status, next_status, family, origin)
         model = Model.create(family, origin)
-        rows = rows.select(*[F.col(r).cast("double").alias(r) for r in self.regressors], F.col(next_status).alias("__next"))
+        # a row's hash tells it apart from others with the same regressors
+        rows = rows.select(*[F.col(r).cast("double").alias(r) for r in self.regressors], F.col(next_status).alias("__next"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("__id"))
         rows = grids.float32(rows, self.regressors) if float32 else rows
         rows = rows.withColumn("next_offset", grids.encode(F.col("__next"), model.reachable)).drop("__next")
         if self.settings.random_shuffle:  # by a hash of the row, inside each part: nothing moves between machines
-            rows = rows.sortWithinPartitions(F.xxhash64(*rows.columns, F.lit(self.settings.seed)))
-        self.grid = grids.materialise(rows)
+            rows = rows.sortWithinPartitions(F.xxhash64("__id", F.lit(self.settings.seed)))
+        self.blocks = None
+        if self.settings.block_groups:
+            # rows are told apart by all columns of the table, of which only the grid's are written
+            names = (*self.regressors, "next_offset")
+            keyed = rows.select(*names, "__id")
+            self.blocks = BlockedGrid.lay_out(keyed, groups=self.settings.block_groups, keep=names, seed=self.settings.seed)
+            rows = self.blocks.rows = grids.materialise(self.blocks.rows)
+        self.grid = rows if self.blocks else grids.materialise(rows.drop("__id"))
         self.edges = quantile.edges(self.grid, self.regressors)
         self.chain = Chain(Result("start", evaluate(self.grid, model)), self.settings, lambda m, level: evaluate(self.grid, m, level))
         if not self.chain.last.point.n:
@@ -150,16 +159,16 @@ class Fitter:
     def intercept(self, model: Model) -> Point:
         """The optimum of the intercepts alone, where no entry follows them, from counts."""
         if len(model.entries) > 1 or any(len(s) > 1 for s in model.same) or model.origin < 0:
-            return minimise(self.grid, model, self.settings, lambda p: p[1] == 0 and p[2] < 0).point
+            return minimise(self.blocks or self.grid, model, self.settings, lambda p: p[1] == 0 and p[2] < 0).point
         n = {r.next_offset: r["count"] for r in self.grid.groupBy("next_offset").count().collect()}
         base = n.get(model.origin, 0)
         if not base or self.settings.target != "ENTROPY":
-            return minimise(self.grid, model, self.settings).point
+            return minimise(self.blocks or self.grid, model, self.settings).point
         betas = [[0.0 if k == model.origin else math.log(max(n.get(k, 0), 0.5) / base)] for k in range(len(model.reachable))]
         return evaluate(self.grid, model.with_betas(betas))
 
     def _fit(self, model: Model, wanted=None) -> Point:
-        return minimise(self.grid, model, self.settings, wanted).point
+        return minimise(self.blocks or self.grid, model, self.settings, wanted).point
 
     def guarded(self, name: str, model: Model, wanted=None) -> Result:
         """A fit of a model as a result; one that fails or ends much worse than the last result is vacuous."""
@@ -281,7 +290,7 @@ class Fitter:
         order = sorted(range(len(found)), key=lambda i: (points[i].entropy, i))
         last = len(model.entries)
         chosen = [found[i].model for i in self._varied(order, found)]
-        refit = [o.point for o in minimise_many(self.grid, chosen, self.settings, [lambda p: p[1] in (0, last)] * len(chosen))]
+        refit = [o.point for o in minimise_many(self.blocks or self.grid, chosen, self.settings, [lambda p: p[1] in (0, last)] * len(chosen))]
         refit = [p for p in refit if math.isfinite(p.entropy)]
         return min(refit, key=lambda p: p.aic) if refit else None
 

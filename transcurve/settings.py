@@ -10,7 +10,9 @@ TARGETS = ("ENTROPY", "L2", "ICE_RAW", "ICE_SIMPLE", "ICE2", "ICE", "ICE_B", "IC
 @dataclass(frozen=True)
 class Settings:
     """``random_shuffle`` permutes the rows of each part of the grid; ``validate`` evaluates each accepted result
-    anew and compares; ``complex_results`` gives each result all derivatives (TIC, deviations)."""
+    anew and compares; ``complex_results`` gives each result all derivatives (TIC, deviations). Models of more than
+    ``newton_params`` free parameters are fitted by gradients alone. With ``block_groups`` the grid is laid out in so
+    many groups of rows, of which trial steps read as many as decide."""
 
     seed: int = 1
     random_shuffle: bool = True
@@ -27,6 +29,9 @@ class Settings:
     l2_lambda: float = 0.0
     complex_results: bool = False
     max_steps: int = 40
+    newton_params: int = 150
+    max_gradient_steps: int = 300
+    block_groups: int = 0
     curve_types: tuple[str, ...] = ("LOGISTIC", "GAUSSIAN")
 
     def __post_init__(self) -> None:
