@@ -28,23 +28,37 @@ class Permutation:
         self.b = max(1, -(-n // self.a))
         draw = random.Random(seed)
         self.keys = [(draw.randrange(PRIME), draw.randrange(PRIME), draw.randrange(PRIME)) for _ in range(ROUNDS)]
-        # how often any number goes through at most: only those beyond n, fewer than a, are followed
+        # how often any number goes through at most: of those beyond n, fewer than a, the ones that numbers inside lead to are followed
         self.walks, beyond = 1, np.arange(n, self.a * self.b)
+        beyond = beyond[self._back(beyond) < n]
         while len(beyond):
             beyond = self._once(beyond)
             beyond = beyond[beyond >= n]
             self.walks += 1
 
+    @staticmethod
+    def _mixed(v: np.ndarray, key: tuple[int, int, int]) -> np.ndarray:
+        u = (v + key[0]) % PRIME
+        u = (u * u + key[1]) % PRIME
+        return (u * u + key[2]) % PRIME
+
     def _once(self, v: np.ndarray) -> np.ndarray:
         left, right = v // self.b, v % self.b
-        for j, (k1, k2, k3) in enumerate(self.keys):
-            u = ((left if j % 2 else right) + k1) % PRIME
-            u = (u * u + k2) % PRIME
-            u = (u * u + k3) % PRIME
+        for j, key in enumerate(self.keys):
+            if j % 2:
+                right = (right + self._mixed(left, key)) % self.b
+            else:
+                left = (left + self._mixed(right, key)) % self.a
+        return left * self.b + right
+
+    def _back(self, v: np.ndarray) -> np.ndarray:
+        """The number that goes to ``v`` in one go."""
+        left, right = v // self.b, v % self.b
+        for j, key in reversed([*enumerate(self.keys)]):
             if j % 2:
-                right = (right + u) % self.b
+                right = (right - self._mixed(left, key)) % self.b
             else:
-                left = (left + u) % self.a
+                left = (left - self._mixed(right, key)) % self.a
         return left * self.b + right
 
     def places(self, v: np.ndarray) -> np.ndarray:

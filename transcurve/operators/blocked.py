@@ -24,6 +24,8 @@ from transcurve.spec import Model
 GROUPS, FIRST = 64, 2
 #: A candidate is out when it is worse than the best by so many deviations of their difference: far beyond chance, however often it is looked at.
 DECIDED = 5.0
+#: Share of the best's gain that another candidate may still have over it when a race ends.
+LITTLE = 0.05
 #: Rows from which on a difference is judged at all.
 LEAST = 200
 GROUP = "block_group"
@@ -141,18 +143,28 @@ class _Contest:
         return min(self.alive, key=lambda i: (value(i), i))
 
     def cut(self, z: float) -> None:
-        """Drop what is clearly worse than the best."""
+        """Drop what is clearly worse than the best, or can be better only by little of what the best gains over the base."""
+        if self.n < LEAST:
+            return
         best = self.best()
-        if self.n >= LEAST:
-            self.alive = [i for i in self.alive if i == best or np.isfinite(self.mean(i)) and (lambda g, dev: g < z * dev if dev > 0 else g <= 0)(*self.against(i, best))]
+        little = LITTLE * max(0.0, -self.mean(best))
+
+        def stays(i: int) -> bool:
+            if i == best or not np.isfinite(self.mean(i)):
+                return i == best
+            gap, dev = self.against(i, best)
+            return z * dev - gap > (little if i else 0.0) or (gap == dev == 0.0 and i == 0)
+
+        self.alive = [i for i in self.alive if stays(i)]
 
 
 def race(grid: BlockedGrid, contests: Sequence[Sequence[Model]], z: float = DECIDED, offsets: Sequence[Sequence[float]] | None = None) -> list[Outcome]:
     """The best of each contest's models by mean entropy (plus ``offsets``), the first of which is its base.
 
     Contests share passes. A pass reads the next groups for those that aren't decided, and drops
-    models that are worse than the best by ``z`` deviations of the paired difference; where
-    nothing sets models apart, all groups are read and the means decide.
+    models that are worse than the best by ``z`` deviations of the paired difference, or that
+    can be better, by so many deviations, only by ``LITTLE`` of what the best gains over the base. Where
+    nothing sets models apart from the base, all groups are read and the means decide.
     """
     runs = [_Contest(list(ms), np.asarray(offsets[i] if offsets else np.zeros(len(ms)), float)) for i, ms in enumerate(contests)]
     outcomes: list[Outcome | None] = [None] * len(runs)
@@ -168,7 +180,7 @@ def race(grid: BlockedGrid, contests: Sequence[Sequence[Model]], z: float = DECI
             run = runs[i]
             run.add(packed)
             run.cut(z)
-            if len(run.alive) == 1 or end == grid.groups:
+            if run.alive == [run.best()] or end == grid.groups:
                 best = run.best()
                 gap, dev = run.against(best, 0)
                 outcomes[i] = Outcome(best, gap, dev, gap / dev if dev else 0.0, end, run.n)

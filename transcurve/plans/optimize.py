@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from transcurve.operators import kernel
-from transcurve.operators.blocked import BlockedGrid, race
+from transcurve.operators.blocked import DECIDED, BlockedGrid, race
 from transcurve.operators.evaluate import Point, evaluate_many, exact_penalty_gradients
 from transcurve.settings import Settings
 from transcurve.spec import Model
@@ -107,12 +107,19 @@ def _raced(grid: BlockedGrid, states: Sequence[_State], tried: Sequence[Sequence
     return out
 
 
+def _foreseen(state: _State, model: Model, settings: Settings) -> float:
+    """The gain of a move by the derivatives alone."""
+    theta, l2 = state.model.pack(), settings.l2_lambda if settings.target == "L2" else 0.0
+    move = model.pack() - theta
+    return float(-(state.point.gradient + 2 * l2 * theta) @ move - move @ (state.point.hessian + 2 * l2 * np.eye(len(theta))) @ move / 2)
+
+
 def minimise_many(grid: DataFrame | BlockedGrid, models: Sequence[Model], settings: Settings | None = None, wanted: Sequence[Wanted] | None = None) -> list[Optimum]:
     """Minimise the target of each model over its ``wanted`` parameters (all free ones by default).
 
     On a blocked grid the trial steps of a plain target read groups of rows until one is clearly
-    the best; derivatives, and what is accepted, are always of all rows. A step that all
-    rows don't confirm is taken back, and from there on trial steps read all rows.
+    the best, or none where no sample could tell; derivatives, and what is accepted, are always of all rows.
+    A step that all rows don't confirm is taken back, and from there on trial steps read all rows.
 
     The models go in step: a step is one pass for the derivatives of all and one for all
     their step lengths, so many candidates cost the passes of the slowest. An ICE target
@@ -133,7 +140,11 @@ def minimise_many(grid: DataFrame | BlockedGrid, models: Sequence[Model], settin
             break
         tried = [[s.model.unpack(s.model.pack() + m) for m in _moves(s, penalty, settings)] for s, penalty in zip(live, _penalties(grid, live, settings), strict=True)]
         found = [np.zeros(0)] * len(live)
-        if part := [i for i, s in enumerate(live) if not s.whole and tried[i]]:
+        for i, s in enumerate(live):
+            # near the optimum a step gains less than even all rows could tell: it's taken unseen and judged by its derivatives' pass
+            if not s.whole and tried[i] and gain_z(gain := _foreseen(s, tried[i][0], settings), s.point.n) < DECIDED:
+                found[i] = np.array([s.best - max(gain, 2 * GAIN)])
+        if part := [i for i, s in enumerate(live) if not s.whole and tried[i] and not len(found[i])]:
             for i, values in zip(part, _raced(blocks, [live[i] for i in part], [tried[i] for i in part], settings), strict=True):
                 found[i] = values
         if whole := [i for i, s in enumerate(live) if s.whole and tried[i]]:
