@@ -169,12 +169,39 @@ def exact_penalty_gradients(grid: DataFrame, points: Sequence[Point], target: st
     return out
 
 
-def _added(grid: DataFrame, models: Sequence[Model], of: Callable[[dict[str, np.ndarray], np.ndarray, list[k.Kernel]], list[np.ndarray]], sizes: Sequence[int]) -> list[np.ndarray]:
+def ratio_sums(grid: DataFrame, model: Model, edges: dict[str, Sequence[float]]) -> dict[tuple[int, str], np.ndarray]:
+    """By status and regressor: [buckets, 3] of the count, sum and sum of squares of observed to expected.
+
+    The ratio of a row is 1 / p if it went to the status, else 0; rows fall into the bucket of the
+    last edge not above their value. One pass over the grid for all, whose tasks add into dense arrays.
+    """
+    fields = list(edges)
+    at = {r: np.asarray(edges[r], float) for r in fields}
+    statuses = [i for i in range(len(model.reachable)) if i != model.origin]
+
+    def of(x: dict[str, np.ndarray], actual: np.ndarray, kernels: list[k.Kernel]) -> list[np.ndarray]:
+        p = softmax.np_probabilities(kernels[0].scores(x, len(actual)))
+        ratios = [np.isin(actual, model.same[i]) / p[list(model.same[i])].sum(axis=0) for i in statuses]
+        out = []
+        for r in fields:
+            place = np.maximum(np.searchsorted(at[r], x[r], side="right") - 1, 0)
+            sums = []
+            for y in ratios:
+                ok = np.isfinite(x[r]) & np.isfinite(y)
+                sums.append([np.bincount(place[ok], w, len(at[r])) for w in (np.ones(ok.sum()), y[ok], y[ok] ** 2)])
+            out.append(np.array(sums, float).ravel())
+        return out
+
+    found = _added(grid, [model], of, [len(statuses) * 3 * len(at[r]) for r in fields], fields)
+    return {(i, r): sums.reshape(len(statuses), 3, -1)[n].T for r, sums in zip(fields, found, strict=True) for n, i in enumerate(statuses)}
+
+
+def _added(grid: DataFrame, models: Sequence[Model], of: Callable[[dict[str, np.ndarray], np.ndarray, list[k.Kernel]], list[np.ndarray]], sizes: Sequence[int], columns: Sequence[str] = ()) -> list[np.ndarray]:
     """The arrays that ``of`` makes of each slice of rows, added over the grid: each task adds its own, Spark the tasks'.
 
     The driver gets a row for each task and array, or, where those would be many or large, a row for each array.
     """
-    names = sorted({r for m in models for r in m.regressors})
+    names = sorted({*columns, *(r for m in models for r in m.regressors)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernels = [k.Kernel(m) for m in models]

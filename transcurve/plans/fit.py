@@ -15,12 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcurve.functions import softmax
 from transcurve.functions.curves import TYPES, Curve
 from transcurve.operators import grid as grids
-from transcurve.operators import kernel, quantile, score
+from transcurve.operators import kernel, quantile
 from transcurve.operators.blocked import BlockedGrid
-from transcurve.operators.evaluate import Point, evaluate, evaluate_many
+from transcurve.operators.evaluate import Point, evaluate, evaluate_many, ratio_sums
 from transcurve.plans.optimize import FitError, minimise, minimise_many
 from transcurve.settings import Settings
 from transcurve.spec import Entry, Model, StatusFamily
@@ -115,6 +114,25 @@ def load(path: str, spark: SparkSession) -> tuple[Model, dict]:
     return Model.from_json(json.dumps(d["model"])), d
 
 
+@dataclass(frozen=True)
+class RatioBucket:
+    """A bucket's rows, the mean ratio of observed to expected and its deviation, and their logarithms."""
+
+    bucket: int
+    n: int
+    mean_y: float
+    mean_dev_y: float
+    adj_y: float
+    adj_dev: float
+
+    @classmethod
+    def of(cls, bucket: int, n: float, total: float, square: float) -> RatioBucket:
+        mean = total / n
+        dev = math.sqrt(max(0.0, (square - n * mean * mean) / (n - 1)) / n) if n > 1 else 0.0
+        bounded = max(min(mean, 2 * n), 0.5 / n)
+        return cls(bucket, int(n), mean, dev, math.log(bounded), math.log(dev + bounded) - math.log(bounded))
+
+
 @dataclass
 class Candidate:
     """A curve to add: the model with it, and where it came from."""
@@ -201,18 +219,10 @@ class Fitter:
         return self.fit_betas(model, "coefficients")
 
     # -- curves ----------------------------------------------------------------------------------
-    def ratio_stats(self, model: Model, fields: Sequence[str]) -> dict[tuple[int, str], list]:
-        """Observed to expected by status, regressor and bucket, all in one pass."""
-        p = score.probabilities(model)
-        statuses = [k for k in range(len(p)) if k != model.origin]
-        y = {k: F.when(F.col("next_offset").isin(*model.same[k]), 1.0).otherwise(0.0) / softmax.total([p[i] for i in model.same[k]]) for k in statuses}
-        rows = self.grid.withColumns({f"__y{k}": c for k, c in y.items()} | {f"__b_{r}": quantile.bucket(F.col(r), sorted(set(self.edges[r].values))) for r in fields})
-        long = rows.select(F.explode(F.array(*[F.struct(F.lit(r).alias("regressor"), F.lit(k).alias("status"), F.col(f"__b_{r}").alias("bucket"), F.col(f"__y{k}").alias("y")) for r in fields for k in statuses])).alias("x")).select("x.*")
-        stats = quantile.log_adjusted(quantile.bucket_stats(long, "bucket", F.col("y"), ["status", "regressor"]))
-        out: dict[tuple[int, str], list] = {}
-        for r in stats.collect():  # buckets times regressors times statuses
-            out.setdefault((r.status, r.regressor), []).append(r)
-        return {key: sorted(v, key=lambda r: r.bucket) for key, v in out.items()}
+    def ratio_stats(self, model: Model, fields: Sequence[str]) -> dict[tuple[int, str], list[RatioBucket]]:
+        """Observed to expected by status, regressor and bucket, all in one pass; buckets without rows are left out."""
+        sums = ratio_sums(self.grid, model, {r: self.edges[r].distinct() for r in fields})
+        return {key: [RatioBucket.of(i, *row) for i, row in enumerate(found) if row[0]] for key, found in sums.items()}
 
     def starts(self, kind: str, regressor: str, stats: Sequence, rng: np.random.Generator) -> list[tuple[Curve, float]]:
         """Starting curves and betas from bucket statistics: raw, and polished against the buckets."""
