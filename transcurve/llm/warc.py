@@ -7,6 +7,12 @@ skipped: by its length in a plain archive, by the length its gzip member states
 extra field in a compressed one (members without that field are inflated and thrown away). ``read`` asks
 for payloads only if it is told to.
 
+Predicates go down in two ways. ``read`` takes them as Spark's filter objects and gives them to
+the source with the path, so they belong to one frame for good. With the option ``pushdown`` the
+source also takes what the optimizer finds in a query's ``where``. Spark 4.1 keeps one such set for a
+loaded frame, not for a query: a second query of the same frame can get the first one's
+predicates. So that option is off unless asked for, and then each query needs a load of its own.
+
 A write makes one archive or more for each task, of ``file_bytes`` at most but for one record, one gzip member a record. Files
 have names of their own for each attempt, and the commit lists those that count in a
 manifest; files of lost attempts are removed. Without a manifest all ``.warc`` and ``.warc.gz``
@@ -268,18 +274,35 @@ class _Files(InputPartition):
     paths: list[str]
 
 
+def packed(filters: Sequence[Filter]) -> str:
+    """Pushable predicates as text."""
+
+    def plain(f: Filter) -> list:
+        if not pushable(f):
+            raise ValueError(f"headers alone don't decide {f}")
+        if isinstance(f, Not):
+            return ["Not", plain(f.child)]
+        return [type(f).__name__, f.attribute[0], *([list(f.value) if isinstance(f, In) else f.value] if hasattr(f, "value") else [])]
+
+    return json.dumps([plain(f) for f in filters])
+
+
+def unpacked(text: str) -> list[Filter]:
+    kinds = {t.__name__: t for t in (*_TESTS, IsNull, IsNotNull)}
+
+    def build(f: list) -> Filter:
+        if f[0] == "Not":
+            return Not(build(f[1]))
+        return kinds[f[0]]((f[1],), *(tuple(v) if isinstance(v, list) else v for v in f[2:]))
+
+    return [build(f) for f in json.loads(text)]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict[str, str]):
         self.columns, self.path = schema.names, options["path"]
         self.target = int(options.get("partition_bytes", PARTITION_BYTES))
-        self.filters: list[Filter] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if pushable(f):
-                self.filters.append(f)
-            else:
-                yield f
+        self.filters = unpacked(options.get("where", "[]"))
 
     def partitions(self) -> Sequence[InputPartition]:
         out: list[_Files] = []
@@ -312,6 +335,17 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+class _PushingReader(_Reader):
+    """Also takes the predicates of a query."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if pushable(f):
+                self.filters.append(f)
+            else:
+                yield f
+
+
 def files(path: str) -> list[tuple[str, int]]:
     """Archives of a folder and their sizes: the manifest's, else all; a file is its own."""
     system, inner = _system(path)
@@ -386,7 +420,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """``format("warc")``; options path, partition_bytes, and for writes compression (gzip or none), level, file_bytes."""
+    """``format("warc")``; options path, partition_bytes, where, pushdown, and for writes compression (gzip or none), level, file_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -396,23 +430,27 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: T.StructType) -> _Reader:
-        return _Reader(schema, self.options)
+        return (_PushingReader if self.options.get("pushdown") == "true" else _Reader)(schema, self.options)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> _Writer:
         return _Writer(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Make ``format("warc")`` known, and let sources take predicates where they ask for them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
-def read(spark: SparkSession, path: str, columns: Sequence[str] = (), **options: str) -> DataFrame:
-    """Records of an archive or a folder of them: the named columns, by default all but those that need a record's block."""
+def read(spark: SparkSession, path: str, columns: Sequence[str] = (), where: Sequence[Filter] = (), **options: str) -> DataFrame:
+    """Records of an archive or a folder of them: the named columns, by default all but those that need a record's block.
+
+    ``where`` are predicates of pyspark.sql.datasource on header columns, all of which must hold.
+    """
     register(spark)
     kinds = dict(c.split(" ", 1) for c in SCHEMA.split(", "))
     columns = columns or [c for c in kinds if c not in _BLOCK]
-    return spark.read.format("warc").options(**options).schema(", ".join(f"{c} {kinds[c]}" for c in columns)).load(path)
+    return spark.read.format("warc").options(where=packed(where), **options).schema(", ".join(f"{c} {kinds[c]}" for c in columns)).load(path)
 
 
 def write(records: DataFrame, path: str, mode: str = "overwrite", **options: str) -> None:
@@ -452,8 +490,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     Responses are measured on their payload; of revisits only headers are wanted, and the
     HTTP header in their block.
     """
-    responses = read(spark, path, ["record_type", "record_id", "payload"]).where(F.col("record_type") == "response")
-    revisits = read(spark, path, ["record_type", "record_id", "payload_digest", "refers_to", "http_length"]).where(F.col("record_type") == "revisit")
+    responses = read(spark, path, ["record_type", "record_id", "payload"], [EqualTo(("record_type",), "response")])
+    revisits = read(spark, path, ["record_type", "record_id", "payload_digest", "refers_to", "http_length"], [EqualTo(("record_type",), "revisit")])
     first = responses.select(_page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     again = revisits.select(_page("record_id").alias("page_id"), F.col("http_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", _page("refers_to").alias("refers_to"))
     return first.unionByName(again)
