@@ -712,23 +712,20 @@ def hash_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select("c_custkey", vectors.sha256("c_name", "c_mktsegment").alias("digest"))
 
 
-_SERIES_XML = """<observations>
-<observation realtime_start="2024-01-01" date="2020-02-01" value="."/>
-<observation realtime_start="2024-01-01" date="2020-03-01" value="2.5"/>
-<observation realtime_start="2024-01-01" date="2020-01-01" value="1.25"/>
-<observation realtime_start="2024-01-01" date="2020-03-01" value="2.75"/>
-</observations>"""
-
-
-@query("SELECT '2020-01-01' AS date, 1.25::DOUBLE AS value UNION ALL SELECT '2020-03-01', 2.75::DOUBLE")
+@query("SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, round(sum(o_totalprice), 2) AS value FROM orders WHERE day(o_orderdate) <> 13 GROUP BY 1")
 def series_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations of a small XML document: "." goes, the last of repeated dates wins."""
+    """The daily totals of orders, written as the service's XML and read back: "." goes."""
+    days = _t(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(_r(F.sum("o_totalprice"), 2).alias("total"))
+    value = F.when(F.dayofmonth("day") == 13, ".").otherwise(F.col("total").cast("string"))
     # written by Spark, to where its executors can read it
     path = f"{grid.shared_folder(spark)}/series-{os.urandom(6).hex()}"
-    spark.createDataFrame([(_SERIES_XML,)], "value string").coalesce(1).write.text(path)
+    rows = days.select(F.lit("2024-01-01").alias("_realtime_start"), F.col("day").cast("string").alias("_date"), value.alias("_value"))
+    rows.write.format("xml").option("rootTag", "observations").option("rowTag", "observation").save(path)
     return economic_series.observations(spark, path).select(F.col("date").cast("string").alias("date"), "value")
 
 
-@query("SELECT id, round(-1.0 + id * 0.25, 6) AS x FROM (SELECT range AS id FROM range(17))")
+@query("SELECT range AS id, round(lo + range * 0.25, 6) AS x FROM (SELECT min(o_totalprice) AS lo, count(*) AS n FROM orders), range((SELECT count(*) FROM orders))")
 def stepped_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.stepped(spark, "x", -1.0, 0.25, 17).select("id", _r("x").alias("x"))
+    """As many steps as there are orders, from the least price on."""
+    low, n = _t(spark, sf_dir, "orders").agg(F.min("o_totalprice"), F.count("*")).first()
+    return grids.stepped(spark, "x", low, 0.25, n).select("id", _r("x").alias("x"))
