@@ -20,6 +20,7 @@ from transcurve.operators import grid as grids
 from transcurve.operators import kernel, quantile
 from transcurve.operators.blocked import BlockedGrid
 from transcurve.operators.evaluate import Point, evaluate, evaluate_many, ratio_sums
+from transcurve.plans.journal import Journal
 from transcurve.plans.optimize import FitError, minimise, minimise_many
 from transcurve.settings import Settings
 from transcurve.spec import Entry, Model, StatusFamily
@@ -145,11 +146,14 @@ class Candidate:
 class Fitter:
     """A fit of one from-status over a status grid.
 
-    ``forbidden`` says which curves may not be added, by to-status, regressor and type.
+    ``forbidden`` says which curves may not be added, by to-status, regressor and type. With a
+    ``journal``, a folder that outlives the driver, a fit that is begun anew with the same rows
+    and settings goes on where it was lost.
     """
 
-    def __init__(self, df: DataFrame, family: StatusFamily, origin: str, status: str, next_status: str, regressors: Sequence[str], settings: Settings | None = None, float32: bool = True, forbidden: Callable[[str, str, str], bool] | None = None):
+    def __init__(self, df: DataFrame, family: StatusFamily, origin: str, status: str, next_status: str, regressors: Sequence[str], settings: Settings | None = None, float32: bool = True, forbidden: Callable[[str, str, str], bool] | None = None, journal: str | None = None):
         self.settings, self.family, self.origin = settings or Settings(), family, origin
+        self.journal = Journal(df.sparkSession, journal) if journal else None
         self.regressors, self.forbidden = tuple(regressors), forbidden
         rows = grids.fitting_rows(df, status, next_status, family, origin)
         model = Model.create(family, origin)
@@ -168,10 +172,14 @@ class Fitter:
             rows = self.blocks.rows = grids.materialise(self.blocks.rows)
         self.grid = rows if self.blocks else grids.materialise(rows.drop("__id"))
         self.edges = quantile.edges(self.grid, self.regressors)
-        self.chain = Chain(Result("start", evaluate(self.grid, model)), self.settings, lambda m, level: evaluate(self.grid, m, level))
+        judge = lambda m, level: self._asked("judge", m, level, lambda: evaluate(self.grid, m, level))
+        self.chain = Chain(Result("start", judge(model, kernel.VALUE)), self.settings, judge)
         if not self.chain.last.point.n:
             raise FitError("no rows to fit")
-        self.chain.force("intercept", self.intercept(model))
+        self.chain.force("intercept", self._asked("intercept", model, kernel.VALUE, lambda: self.intercept(model)))
+
+    def _asked(self, what: str, model: Model, level: int, compute: Callable[[], Point | None]) -> Point | None:
+        return self.journal.point(what, model, level, compute) if self.journal else compute()
 
     # -- parameters ------------------------------------------------------------------------------
     def intercept(self, model: Model) -> Point:
@@ -186,7 +194,8 @@ class Fitter:
         return evaluate(self.grid, model.with_betas(betas))
 
     def _fit(self, model: Model, wanted=None) -> Point:
-        return minimise(self.blocks or self.grid, model, self.settings, wanted).point
+        free = "".join("01"[wanted is None or wanted(p)] for p in model.places())
+        return self._asked(f"fit {free}", model, kernel.SECOND, lambda: minimise(self.blocks or self.grid, model, self.settings, wanted).point)
 
     def guarded(self, name: str, model: Model, wanted=None) -> Result:
         """A fit of a model as a result; one that fails or ends much worse than the last result is vacuous."""
@@ -293,6 +302,9 @@ class Fitter:
 
     def best_addition(self, model: Model, fields: Sequence[str]) -> Point | None:
         """Screen all candidates in one pass, refit the best of each regressor, status and type together, return the best."""
+        return self._asked(f"addition {','.join(fields)}", model, kernel.SECOND, lambda: self._best_addition(model, fields))
+
+    def _best_addition(self, model: Model, fields: Sequence[str]) -> Point | None:
         found = self.candidates(model, fields)
         if not found:
             return None
