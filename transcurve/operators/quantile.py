@@ -44,18 +44,28 @@ def edge_probabilities(buckets: int = BUCKETS) -> list[float]:
     return [i / buckets for i in range(buckets)]
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int = 20_000) -> list[float]:
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int | None = None) -> list[float]:
     """Quantiles of a column's finite values, interpolated between neighbours, without a buffer of all values.
 
     A mergeable sketch of bounded size brackets every quantile; one pass counts what lies
     between the brackets' bounds; then only the values inside brackets, a share of about
-    4 * len(probabilities) / accuracy, are counted by value and ranked, a bracket a task.
+    4 * len(probabilities) / accuracy, are counted by value and ranked, a bracket a task. The accuracy
+    grows with the table, so that a bracket of 10^12 rows holds some millions. The passes share
+    the one column, which is kept for them, on disk where memory is short.
     """
     x = F.col(column).cast("double")
-    rows = df.where(finite(x)).select(x.alias("x"))
+    rows = df.where(finite(x)).select(x.alias("x")).persist()
+    try:
+        return _exact_quantiles(rows, probabilities, accuracy)
+    finally:
+        rows.unpersist()
+
+
+def _exact_quantiles(rows: DataFrame, probabilities: Sequence[float], accuracy: int | None) -> list[float]:
     found = rows.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     if not found.n:
         return []
+    accuracy = accuracy or max(20_000, min(1_000_000, found.n // 1_000_000))
     aside = 2 / accuracy + 3 / found.n  # the sketch's error, and the neighbours to interpolate between
     near = [min(1.0, max(0.0, p + s * aside)) for p in probabilities for s in (-1, 1)]
     at_near = rows.agg(F.percentile_approx("x", near, accuracy).alias("q")).first().q

@@ -1,6 +1,6 @@
 """Diagnostics: observed against modelled transitions by bucket, what-if curves, residual plots.
 
-The grid is scored once; all regressors are unpivoted and grouped in one pass.
+The grid is scored once; all regressors' buckets are added in one pass, and only they reach the driver.
 """
 
 from __future__ import annotations
@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transcurve.operators import quantile, score
+from transcurve.operators import evaluate, quantile, score
 from transcurve.operators.interpolate import Interpolated
 from transcurve.spec import Model, ModelError
 
@@ -22,21 +22,13 @@ def bucket_report(grid: DataFrame, model: Model, edges: dict[str, quantile.Edges
     """to_status, regressor, bucket, value (left edge), n, mass, observed, model: one pass over the grid."""
     if len(model.reachable) < 2:
         raise ModelError("a status that leads nowhere can't be shown")
-    rows = score.with_probabilities(grid, model)
-    at = {r: e.distinct() for r, e in edges.items()}
-    rows = rows.withColumns({f"__b_{r}": quantile.bucket(F.col(r), at[r]) for r in edges})
-    long = rows.select(
-        F.explode(F.array(*[F.struct(F.lit(r).alias("regressor"), F.col(f"__b_{r}").alias("bucket")) for r in edges])).alias("x"),
-        *[F.when(F.col("next_offset") == k, 1.0).otherwise(0.0).alias(f"__y{k}") for k in range(len(model.reachable))],
-        *[F.col(f"`p_{s}`").alias(f"__p{k}") for k, s in enumerate(model.reachable)],
-    ).where("x.bucket is not null")
-    sums = long.groupBy("x.regressor", "x.bucket").agg(F.count("*").alias("n"), *[F.avg(f"__{v}{k}").alias(f"{v}{k}") for k in range(len(model.reachable)) for v in "yp"])
-    by_status = F.explode(F.array(*[F.struct(F.lit(s).alias("to_status"), F.col(f"y{k}").alias("observed"), F.col(f"p{k}").alias("model")) for k, s in enumerate(model.reachable)]))
-    edge = F.lit(None).cast("double")
-    for r, values in at.items():
-        edge = F.when(F.col("regressor") == r, F.get(F.array(*map(F.lit, values)), F.col("bucket"))).otherwise(edge)
-    total = F.sum("n").over(Window.partitionBy("regressor"))  # a row for each bucket
-    return sums.withColumn("value", edge).withColumn("mass", F.col("n") / total).withColumn("__s", by_status).select("__s.to_status", "regressor", "bucket", "value", "n", "mass", "__s.observed", "__s.model")
+    at, k, rows = {r: e.distinct() for r, e in edges.items()}, len(model.reachable), []
+    for r, sums in evaluate.bucket_sums(grid, model, at).items():
+        total = float(sums[:, 0].sum())
+        for bucket, (n, known, *rest) in enumerate(sums.tolist()):
+            if n:
+                rows += [(s, r, bucket, at[r][bucket], int(n), n / total, rest[i] / n, rest[k + i] / known if known else None) for i, s in enumerate(model.reachable)]
+    return grid.sparkSession.createDataFrame(rows, "to_status string, regressor string, bucket int, value double, n long, mass double, observed double, model double")
 
 
 def constant_grid(spark: SparkSession, fixed: dict[str, float], regressor: str, low: float, high: float, steps: int) -> DataFrame:

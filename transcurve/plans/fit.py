@@ -316,17 +316,16 @@ class Fitter:
         refit = [p for p in refit if math.isfinite(p.entropy)]
         return min(refit, key=lambda p: p.aic) if refit else None
 
-    @staticmethod
-    def _varied(order: Sequence[int], found: Sequence[Candidate]) -> list[int]:
-        """The best candidate of each regressor, status and type: further starts of these lead to the same curve."""
-        seen, first = set(), []
+    def _varied(self, order: Sequence[int], found: Sequence[Candidate]) -> list[int]:
+        """The best starts of each regressor, status and type, as many as the settings refit: most further ones lead to the same curve."""
+        seen: dict[tuple, int] = {}
+        chosen = []
         for i in order:
-            e = found[i].model.entries[-1]
-            key = (found[i].regressor, found[i].status, e.depth[0][1].type)
-            if key not in seen:
-                first.append(i)
-            seen.add(key)
-        return first
+            key = (found[i].regressor, found[i].status, found[i].model.entries[-1].depth[0][1].type)
+            seen[key] = seen.get(key, 0) + 1
+            if not self.settings.refit_starts or seen[key] <= self.settings.refit_starts:
+                chosen.append(i)
+        return chosen
 
     def expand(self, fields: Sequence[str], params: int) -> int:
         """Add the best curve while the budget lasts and AIC accepts it; returns how many."""

@@ -233,3 +233,53 @@ def fit_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitter.close()
     row = (",".join(last.model.flag_set()), *last.model.betas[1][:2], last.entropy)
     return spark.createDataFrame([row], "kept string, intercept double, beta double, entropy double").select("kept", _r("intercept", 4).alias("intercept"), _r("beta", 4).alias("beta"), _r("entropy").alias("entropy"))
+
+
+# a curve of a regressor that takes two values has as much freedom as a flag: its optimum is the observed shares
+_TWO = f"WITH {_CELLS.replace('850', '400').replace('350', '200')} SELECT f, round(avg(y), 4) AS probability FROM ys GROUP BY f"
+_EXACT = Settings(validate=False, z_score_cutoff=1e-6, polish_start_points=4)
+
+
+def _two_fitter(spark: SparkSession, sf_dir: str) -> Fitter:
+    shares = {k: {850: 400, 350: 200}.get(s, s) for k, s in _SHARES.items()}
+    return Fitter(_drawn(spark, sf_dir, shares), LOGIT_FAMILY, "F", "status", "next_status", ["f"], _EXACT)
+
+
+def _two_shares(spark: SparkSession, fitter: Fitter) -> DataFrame:
+    model = fitter.chain.model
+    fitter.close()
+    s = kernel.Kernel(model).scores({"f": np.array([0.0, 1.0])}, 2)
+    out = [(i, float(1 / (1 + np.exp(s[0, i] - s[1, i])))) for i in (0, 1)]
+    return spark.createDataFrame(out, "f int, probability double").select("f", _r("probability", 4).alias("probability"))
+
+
+@query(_TWO)
+def fit_expansion_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model grown by the best curve of a regressor with two values: statistics by bucket, candidates, a screen, refits."""
+    fitter = _two_fitter(spark, sf_dir)
+    fitter.expand(["f"], 3)
+    return _two_shares(spark, fitter)
+
+
+@query(_TWO)
+def fit_calibrated_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curve put in the wrong place, refitted in the sweep over all entries."""
+    fitter = _two_fitter(spark, sf_dir)
+    fitter.expand(["f"], 3)
+    model = fitter.chain.model
+    wrong = model.unpack(model.pack() + np.where([d >= 0 for _, _, d, _ in model.places()], 0.2, -0.4))
+    fitter.chain.force("wrong", evaluate.evaluate(fitter.grid, wrong))
+    fitter.calibrate()
+    return _two_shares(spark, fitter)
+
+
+@query(_TWO)
+def fit_annealed_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A poor curve and its regressor dropped and built anew by annealing."""
+    fitter = _two_fitter(spark, sf_dir)
+    fitter.expand(["f"], 3)
+    poor = fitter.chain.model
+    poor = poor.with_betas([[b * 0.3 for b in row] for row in poor.betas])
+    fitter.chain.force("poor", evaluate.evaluate(fitter.grid, poor))
+    fitter.anneal(["f"])
+    return _two_shares(spark, fitter)

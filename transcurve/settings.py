@@ -12,7 +12,8 @@ class Settings:
     """``random_shuffle`` permutes the rows of each part of the grid; ``validate`` evaluates each accepted result
     anew and compares; ``complex_results`` gives each result all derivatives (TIC, deviations). Models of more than
     ``newton_params`` free parameters are fitted by gradients alone. With ``block_groups`` the grid is laid out in so
-    many groups of rows, of which trial steps read as many as decide."""
+    many groups of rows, of which trial steps read as many as decide. ``refit_starts`` of the starting curves of each
+    regressor, status and type are refitted, the best first (0: all)."""
 
     seed: int = 1
     random_shuffle: bool = True
@@ -32,6 +33,7 @@ class Settings:
     newton_params: int = 150
     max_gradient_steps: int = 300
     block_groups: int = 0
+    refit_starts: int = 1
     curve_types: tuple[str, ...] = ("LOGISTIC", "GAUSSIAN")
 
     def __post_init__(self) -> None:
