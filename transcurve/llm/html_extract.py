@@ -3,7 +3,7 @@
 A page is cut into flat text blocks at block-level tags. Each block is described by its
 own and its neighbours' word counts and link densities, and by what its nearest
 sectioning element and its class names say; neighbours are the nearest blocks that don't
-frame the page. A decision tree, trained on the labelled table below, keeps or drops it.
+frame the page, those of a list or table of text the ones around it. A decision tree, trained on the labelled table below, keeps or drops it.
 Kept blocks are joined in page order by one line feed.
 
 Class names frame a block only as whole names, or as compounds of framing words with
@@ -56,12 +56,72 @@ BODY_WORDS = frozenset("article articlebody body content entry main maincontent
 #: Framing words that a header or a caption inside an article may carry.
 OUTSIDE = frozenset("header masthead banner".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.S)
 _OPENED = re.compile(r"<(?:/?[A-Za-z]|[!?])")
+_TAG, _NAME_END, _VALUE_OR_END, _EQUALS = re.compile(r"</?(?=[A-Za-z])"), re.compile(r"[\s/>]"), re.compile(r"[>=]"), re.compile(r"=\s*")
 _NAMES = re.compile(r"(?:^|[\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
+
+
+class Tokens:
+    """The tags, comments and declarations of a page, by a cursor that reads no stretch again.
+
+    What a search found ahead, or that it found nothing, holds for every place before it; a tag
+    without an end is remembered by the places of its attributes' values, where others would join it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.ahead, self.endless = page, {}, set()
+
+    def _next(self, what: str | re.Pattern, at: int) -> int:
+        """The first place of ``what`` from ``at`` on, the page's length if there is none."""
+        start, found = self.ahead.get(what, (0, -1))
+        if not start <= at <= found:
+            if isinstance(what, str):
+                found = self.page.find(what, at)
+            else:
+                m = what.search(self.page, at)
+                found = m.start() if m else -1
+            found = len(self.page) if found < 0 else found
+            self.ahead[what] = (at, found)
+        return found
+
+    def _close(self, at: int) -> int:
+        """The place of the ``>`` that ends the attributes from ``at`` on, outside of quoted values; -1 if there is none."""
+        passed: list[int] = []
+        while True:
+            at = self._next(_VALUE_OR_END, at)
+            if at < len(self.page) and self.page[at] == ">":
+                return at
+            if at == len(self.page) or at in self.endless:
+                self.endless.update(passed)
+                return -1
+            passed.append(at)
+            value = _EQUALS.match(self.page, at).end()
+            at += 1
+            if value < len(self.page) and self.page[value] in "\"'" and (end := self._next(self.page[value], value + 1)) < len(self.page):
+                at = end + 1
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The next token: where it starts and ends, its name with a slash before that of an end tag, its attributes, and CDATA's text."""
+        page = self.page
+        while (at := self._next("<", at)) < len(page):
+            if page.startswith("<!--", at):
+                end = self._next("-->", at + 4)
+                return at, min(end + 3, len(page)), "", "", ""
+            if page.startswith("<![CDATA[", at):
+                end = self._next("]]>", at + 9)
+                return at, min(end + 3, len(page)), "", "", page[at + 9 : end]
+            if page.startswith(("<!", "<?"), at):
+                if (end := self._next(">", at + 2)) < len(page):
+                    return at, end + 1, "", "", ""
+            elif m := _TAG.match(page, at):
+                named = self._next(_NAME_END, m.end())
+                if named < len(page) and (end := self._close(named)) >= 0:
+                    return at, end + 1, page[at + 1 : named], page[named:end], ""
+            at += 1
+        return None
 
 
 @dataclass(slots=True)
@@ -72,6 +132,7 @@ class Block:
     place: int  # nearest sectioning element: 0 none, 1 main text, 2 framing
     hint: int  # nearest telling class name: 0 none, 1 main text, 2 framing
     heading: int
+    listed: int = 0  # the list or table that it stands in, 0 for none
 
 
 def _hint(attributes: str, inside: bool) -> int:
@@ -91,19 +152,20 @@ def _hint(attributes: str, inside: bool) -> int:
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int]] = []  # name, place, hint, silent, link depth
+    stack: list[tuple[str, int, int, int, int, int]] = []  # name, place, hint, silent, link depth, list
     open_: Counter[str] = Counter()
-    place = hint = silent = link = 0
+    place = hint = silent = link = listed = lists = 0
     heading, at = 0, 0
     text: list[str] = []
     linked: list[str] = []
+    tokens = Tokens(page)
 
     def flush() -> None:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
                 n_linked = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(1.0, n_linked / len(words)), place, hint, heading))
+                out.append(Block(" ".join(words), len(words), min(1.0, n_linked / len(words)), place, hint, heading, listed))
             text.clear()
             linked.clear()
 
@@ -117,8 +179,8 @@ def blocks(page: str) -> list[Block]:
 
     def cut(i: int) -> None:
         """End the open elements from the i-th on."""
-        nonlocal place, hint, silent, link
-        _, place, hint, silent, link = stack[i]
+        nonlocal place, hint, silent, link, listed
+        _, place, hint, silent, link, listed = stack[i]
         for name, *_ in stack[i:]:
             open_[name] -= 1
         del stack[i:]
@@ -147,46 +209,50 @@ def blocks(page: str) -> list[Block]:
                 cut(first)
 
     while True:
-        m = _TOKEN.search(page, at)
-        if not m:
+        found = tokens.after(at)
+        if not found:
             rest = page[at:]
             opened = _OPENED.search(rest)  # a tag that never ends says nothing
             say(rest[: opened.start()] if opened else rest)
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                say(html.escape(m[0][9:].removesuffix("]]>")))
+        start, stop, name, attributes, data = found
+        say(page[at:start])
+        at = stop
+        if not name:
+            if data:
+                say(html.escape(data))
             continue
-        name = m[2].lower()
-        if open_["head"] and not m[1] and name not in HEAD and name != "head":
+        ends, name = name.startswith("/"), name.removeprefix("/").lower()
+        if open_["head"] and not ends and name not in HEAD and name != "head":
             end("head")  # its end tag may be left out
         if name == "br":
             say(" ")
             continue
         if name in BLOCK:
             flush()
-            heading = int(not m[1] and len(name) == 2 and name[0] == "h" and name[1] in "123456")
-        if m[1]:
+            heading = int(not ends and len(name) == 2 and name[0] == "h" and name[1] in "123456")
+        if ends:
             end(name)
             continue
         if name in BLOCK:
             implied(name)
-        if name in VOID or m[3].endswith("/") and name not in BLOCK and name != "a":
+        if name in VOID or attributes.endswith("/") and name not in BLOCK and name != "a":
             continue
         if name in RAW:
             closing = _END[name].search(page, at)
-            at = closing.end() if closing else len(page)
+            shut = page.find(">", closing.end()) if closing else -1
+            at = shut + 1 if shut >= 0 else len(page)
             continue
-        stack.append((name, place, hint, silent, link))
+        stack.append((name, place, hint, silent, link, listed))
         open_[name] += 1
+        if name in LISTS and not listed:
+            listed = lists = lists + 1
         if name in BODY:
             place, hint = 1, 0
         else:
             if name in FRAME:
                 place = place if name == "header" and place == 1 else 2
-            if name not in ("html", "body") and (told := _hint(m[3], place == 1)):
+            if name not in ("html", "body") and (told := _hint(attributes, place == 1)):
                 hint = told
         silent += name in SILENT
         link = 1 if name == "a" else link
@@ -195,17 +261,28 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: Sequence[Block]) -> list[tuple[float, ...]]:
-    """place, hint, heading, words and link density of a block, then those two of the nearest blocks before and after that don't frame."""
-    none = Block("", 0, 0.0, 0, 0, 0)
-    before, after, near = [], [], none
+    """place, hint, heading, words and link density of a block, then those two of the nearest blocks before and after that don't frame.
+
+    A list or table whose words are mostly no links is a unit: the neighbours of each of its blocks stand outside of it.
+    """
+    words, linked = Counter(), Counter()
     for b in found:
-        before.append(near)
-        near = near if 2 in (b.place, b.hint) else b
-    near = none
-    for b in reversed(found):
-        after.append(near)
-        near = near if 2 in (b.place, b.hint) else b
-    return [(b.place, b.hint, b.heading, b.words, b.density, a.words, a.density, c.words, c.density) for a, b, c in zip(before, found, reversed(after), strict=True)]
+        words[b.listed] += b.words
+        linked[b.listed] += b.words * b.density
+    unit = [b.listed if b.listed and 2 * linked[b.listed] < words[b.listed] else 0 for b in found]
+
+    def sides(order: Sequence[int]) -> list[Block]:
+        out, near, outer, inside = [], none, none, 0
+        for i in order:
+            if unit[i] != inside:
+                inside, outer = unit[i], near
+            out.append(outer if inside else near)
+            near = near if 2 in (found[i].place, found[i].hint) else found[i]
+        return out
+
+    none = Block("", 0, 0.0, 0, 0, 0)
+    before, after = sides(range(len(found))), sides(range(len(found) - 1, -1, -1))[::-1]
+    return [(b.place, b.hint, b.heading, b.words, b.density, a.words, a.density, c.words, c.density) for a, b, c in zip(before, found, after, strict=True)]
 
 
 # Labelled blocks whose neighbours don't decide: place, hint, heading, words, link density, 1 for main text.
