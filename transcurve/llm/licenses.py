@@ -62,7 +62,7 @@ SENTENCES = (
     ("lgpl_ref", _LGPL + r"\b|\blgplv?2\b"),
     ("gpl3_ref", _GPL + _BY_FSF + r"3\b|\bgplv?3\b"),
     ("gpl2_ref", _GPL + _BY_FSF + r"2\b|\bgplv?2\b"),
-    ("gpl_later", r"\bat your option any later version\b|\bgpl[a-z0-9 ]* or later\b"),
+    ("gpl_later", r"\bat your option any later version\b|\bgpl[a-z0-9]*(?: [a-z0-9]+){0,7} or later\b"),
     ("gpl_hope", r"\bdistributed in the hope that it will be useful but without any warranty\b"),
     ("gpl_received", r"\byou should have received a copy of the gnu (?:(?:lesser|library|affero) )?general public licen[cs]e\b"),
     ("gpl_ref", _GPL + r"\b"),
