@@ -131,10 +131,15 @@ def clean(docs: DataFrame) -> DataFrame:
     whose text was null or empty before stay.
     """
     gone = removed(docs).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("no", "h")).alias("gone"))
-    # columns of the table travel in a struct of their own: no name clashes
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("doc", F.col("row.doc_id").cast("long")).join(gone.hint("shuffle_hash"), F.col("doc") == F.col("id"), "left")
-    lines = F.transform(F.split("row.text", "\n", -1), lambda line, no: F.when(~F.array_contains("gone", F.struct(no.alias("no"), F.xxhash64(F.trim(line)).alias("h"))), line))
-    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")))
+    # columns of the table travel in a struct of their own: no name clashes; a text travels as its lines, which are looked up by number
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"), F.split("text", "\n", -1).alias("all"), F.col("doc_id").cast("long").alias("doc"))
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("doc") == F.col("id"), "left")
+    # rows that repeat a doc_id have their own texts: a line goes where its hash says so
+    hits = F.filter("gone", lambda g: F.coalesce(F.xxhash64(F.trim(F.get("all", g.no))) == g.h, F.lit(False)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.transform(hits, lambda g: g.no))
+    rows = rows.withColumn("kept", F.when(F.col("gone").isNotNull() & F.col("all").isNotNull(), kept))
+    rows = rows.withColumn("left", F.when(F.col("kept").isNull(), F.array_join("all", "\n")).otherwise(F.array_join(F.transform("kept", lambda no: F.get("all", no)), "\n")))
     rows = rows.where(F.col("gone").isNull() | (F.trim("left") != ""))
     other = {"text": F.col("left").alias("text")}
     if "n_chars" in docs.columns:
