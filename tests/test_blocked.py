@@ -71,6 +71,14 @@ def test_groups_are_pruned_and_whole(bound, blocks):
     assert blocks.ends() == [2, 4, 8, 16, 32]
 
 
+def test_rows_with_maps_are_laid_out(spark):
+    df = spark.range(50).select("id", F.create_map(F.lit("a"), F.col("id")).alias("m"), (F.col("id") / 7).alias("x"), F.lit("C").alias("s"), F.when(F.col("id") % 3 == 0, "P").otherwise("C").alias("t"))
+    assert BlockedGrid.lay_out(df, groups=4, keep=["x"]).rows.count() == 50
+    fitter = Fitter(df, FAMILY, "C", "s", "t", ["x"])
+    assert fitter.grid.count() == 50
+    fitter.close()
+
+
 def test_points_go_on_where_they_stopped(bound, blocks):
     before, point = blocks.rows_read, BlockPoint(blocks, TRUE, kernel.FIRST)
     first = point.until(4)

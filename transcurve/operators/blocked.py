@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from transcurve.operators import evaluate, kernel
 from transcurve.operators.evaluate import Point
-from transcurve.operators.grid import shared_folder
+from transcurve.operators.grid import row_hash, shared_folder
 from transcurve.spec import Model
 
 #: Groups of a grid; a scan starts with so many and doubles them.
@@ -46,8 +46,7 @@ class BlockedGrid:
         """
         spark = rows.sparkSession
         path = path or f"{shared_folder(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
-        place = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed))
-        dealt = rows.withColumn("__h", place).withColumn(GROUP, (F.pmod("__h", F.lit(groups)) if by is None else by).cast("int"))
+        dealt = rows.withColumn("__h", row_hash(rows, F.lit(seed))).withColumn(GROUP, (F.pmod("__h", F.lit(groups)) if by is None else by).cast("int"))
         names = [F.col(f"`{c}`") for c in keep or rows.columns]
         dealt = dealt.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), GROUP, "__h").select(*names, GROUP)
         dealt.write.mode("overwrite").partitionBy(GROUP).parquet(path)

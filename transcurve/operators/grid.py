@@ -73,6 +73,12 @@ def shuffle_key(row_id: Column | str, seed: int) -> Column:
     return F.xxhash64(row_id, F.lit(seed))
 
 
+def row_hash(df: DataFrame, *salt: Column) -> Column:
+    """A hash of all columns that can be hashed: maps and ambiguous names can't."""
+    names = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind and df.columns.count(c) == 1]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in names], *salt) if names or salt else F.lit(0).cast("long")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there, so that it can't come out differently.
 

@@ -158,7 +158,7 @@ class Fitter:
         rows = grids.fitting_rows(df, status, next_status, family, origin)
         model = Model.create(family, origin)
         # a row's hash tells it apart from others with the same regressors
-        rows = rows.select(*[F.col(r).cast("double").alias(r) for r in self.regressors], F.col(next_status).alias("__next"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("__id"))
+        rows = rows.select(*[F.col(r).cast("double").alias(r) for r in self.regressors], F.col(next_status).alias("__next"), grids.row_hash(rows).alias("__id"))
         rows = grids.float32(rows, self.regressors) if float32 else rows
         rows = rows.withColumn("next_offset", grids.encode(F.col("__next"), model.reachable)).drop("__next")
         if self.settings.random_shuffle:  # by a hash of the row, inside each part: nothing moves between machines
