@@ -58,6 +58,8 @@ OUTSIDE = frozenset("header masthead banner".split())
 
 _OPENED = re.compile(r"<(?:/?[A-Za-z]|[!?])")
 _TAG, _NAME_END, _VALUE_OR_END, _EQUALS = re.compile(r"</?(?=[A-Za-z])"), re.compile(r"[\s/>]"), re.compile(r"[>=]"), re.compile(r"=\s*")
+# a whole tag in the usual writing, which no ``<`` can lie in: it reads no further than the next one
+_PLAIN_TAG = re.compile(r"<(/?[A-Za-z][^\s/><]*)([^<>=]*(?:=\s*\"[^\"<]*\"[^<>=]*)*)>")
 _NAMES = re.compile(r"(?:^|[\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -106,7 +108,9 @@ class Tokens:
     def after(self, at: int) -> tuple[int, int, str, str, str] | None:
         """The next token: where it starts and ends, its name with a slash before that of an end tag, its attributes, and CDATA's text."""
         page = self.page
-        while (at := self._next("<", at)) < len(page):
+        while (at := page.find("<", at)) >= 0:
+            if m := _PLAIN_TAG.match(page, at):
+                return at, m.end(), m[1], m[2], ""
             if page.startswith("<!--", at):
                 end = self._next("-->", at + 4)
                 return at, min(end + 3, len(page)), "", "", ""
