@@ -112,3 +112,15 @@ def test_ratio_sums_equal_rows(spark):
             r = want[b.bucket]
             assert b.n == r.n and (b.mean_y, b.mean_dev_y, b.adj_y, b.adj_dev) == pytest.approx((r.mean_y, r.mean_dev_y, r.adj_y, r.adj_dev))
     assert "Exchange" not in str(df.select("x").mapInArrow(lambda b: b, "x double")._jdf.queryExecution().executedPlan().toString())
+
+
+def test_bucket_sums_equal_rows(spark):
+    family = StatusFamily.simple(["C", "P", "D"])
+    model = Model.create(family, "C").with_betas([[0.0], [-1.0], [-2.0]]).add_entry(Entry((("y", Curve("LOGISTIC", (0.5, 2.0))),), 1), 1.5)
+    df = spark.range(2000).selectExpr("id", "if(id % 30 = 0, cast('nan' as double), rand(1)) x", "if(id % 50 = 0, cast('nan' as double), randn(2)) y", "if(id % 40 = 0, null, cast(rand(3) * 3 as int)) next_offset").cache()
+    at = [0.0, 0.25, 0.5, 0.75]
+    sums = evaluate.bucket_sums(df, model, {"x": at})["x"]
+    rows = score.with_probabilities(df, model).withColumn("b", quantile.bucket(F.col("x"), at)).where("b is not null")
+    known = F.col("p_P").isNotNull() & ~F.isnan("p_P")
+    want = rows.groupBy("b").agg(F.count("*").alias("n"), F.count_if(known).alias("known"), *[F.count_if(F.col("next_offset") == k).alias(f"y{k}") for k in range(3)], *[F.sum(F.when(known, F.col(f"p_{s}"))).alias(f"p{s}") for s in model.reachable]).orderBy("b").collect()
+    assert [list(r)[1:] for r in want] == [pytest.approx(list(s)) for s in sums.tolist()]

@@ -146,6 +146,18 @@ def test_fit_recovers_the_curve(fitter):
         assert (np.abs(theta - TRUE.pack()) < 5 * dev + 0.05).all()
 
 
+def test_starts_to_refit(fitter):
+    found = fitter.candidates(Model.create(FAMILY, "C"), ["x", "y"])
+    order, settings = list(range(len(found))), fitter.settings
+    kinds = {(c.regressor, c.status, c.model.entries[-1].depth[0][1].type) for c in found}
+    try:
+        for starts, want in ((1, len(kinds)), (2, 2 * len(kinds)), (0, len(found))):
+            fitter.settings = Settings(refit_starts=starts)
+            assert len(fitter._varied(order, found)) == want
+    finally:
+        fitter.settings = settings
+
+
 def test_noise_is_trimmed(fitter):
     before = fitter.chain.last
     fitter.chain.force("noise", fitter._fit(before.model.add_beta("x")))
