@@ -49,14 +49,13 @@ def permuted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- groups of rows ------------------------------------------------------------------------------
 GROUPS = 64
-_GROUP = F.pmod(F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.lit(GROUPS))
 _SQL_GROUP = f"(l_orderkey * 8 + l_linenumber) % {GROUPS}"
 _ENDS = ", ".join(f"({e})" for e in [*(2**i for i in range(1, 6)), GROUPS])
 
 
 def _line_blocks(spark: SparkSession, sf_dir: str) -> BlockedGrid:
     rows = _lines(spark, sf_dir).withColumn("next_offset", grid.encode(F.col("l_linestatus"), LOGIT_FAMILY.names)).withColumn("f", F.when(F.col("d") > 0.05, 1.0).otherwise(0.0))
-    return BlockedGrid.lay_out(rows.select("q", "d", "x", "f", "next_offset", "l_orderkey", "l_linenumber"), groups=GROUPS, by=_GROUP, keep=["q", "d", "x", "f", "next_offset"])
+    return BlockedGrid.lay_out(rows.select("q", "d", "x", "f", "next_offset", "l_orderkey", "l_linenumber"), groups=GROUPS, by=F.expr(_SQL_GROUP), keep=["q", "d", "x", "f", "next_offset"])
 
 
 _FAR = LOGIT_CURVE.with_betas([(0.0, 0.0), (0.1, 2.5)])
@@ -96,7 +95,7 @@ SELECT CAST(e AS INT) AS groups, bucket, n, round(m, 4) AS mean_y, round(sqrt(v)
 def early_stop_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices by bucket of quantity over a growing sample, which ends when adjacent buckets stand apart."""
     rows = _lines(spark, sf_dir).withColumn("bucket", quantile.bucket(F.col("q"), [5.0 * i for i in range(10)]))
-    laid = BlockedGrid.lay_out(rows.select("x", "bucket", "l_orderkey", "l_linenumber"), groups=GROUPS, by=_GROUP, keep=["x", "bucket"])
+    laid = BlockedGrid.lay_out(rows.select("x", "bucket", "l_orderkey", "l_linenumber"), groups=GROUPS, by=F.expr(_SQL_GROUP), keep=["x", "bucket"])
     found, end = quantile.until_converged(laid.slice, range(1, GROUPS + 1), "bucket", F.col("x"), 10)
     return quantile.moments_frame(spark, found).select(F.lit(end).alias("groups"), "bucket", "n", _r("mean_y", 4).alias("mean_y"), _r("mean_dev_y", 4).alias("mean_dev_y"))
 
