@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transcurve.functions import permutation
@@ -166,9 +166,9 @@ def ice_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRIORITIES = StatusFamily.simple(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
 
 
-@query("WITH c AS (SELECT month(o_orderdate) AS month, o_orderpriority AS to_status, count(*) AS n FROM orders GROUP BY 1, 2) SELECT CAST(month AS INT) AS month, to_status, round(n / sum(n) OVER (PARTITION BY month), 4) AS probability FROM c")
+@query("WITH c AS (SELECT month(o_orderdate) AS month, o_orderpriority AS to_status, count(*) AS n FROM orders GROUP BY 1, 2) SELECT CAST(month AS INT) AS month, to_status, n, true AS fitted FROM c")
 def fit_gradient_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priorities by month, a flag a month, fitted by gradients alone: the observed shares."""
+    """Priorities by month, a flag a month, fitted by gradients alone: whether the observed shares come out, to five places."""
     orders = _t(spark, sf_dir, "orders").select(F.month("o_orderdate").alias("month"), "o_orderpriority")
     flags = {f"m{i}": F.when(F.col("month") == i, 1.0).otherwise(0.0) for i in range(2, 13)}
     rows = orders.select(*[c.alias(k) for k, c in flags.items()], grid.encode(F.col("o_orderpriority"), PRIORITIES.names).alias("next_offset")).cache()
@@ -177,13 +177,17 @@ def fit_gradient_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
         model = model.add_beta(f)
     found = minimise_by_gradient(rows, model).point.model
     rows.unpersist()
-    out = []
+    fitted = []
     for i in range(1, 13):
         x = {f: np.array([1.0 if f == f"m{i}" else 0.0]) for f in flags}
         scores = kernel.Kernel(found).scores(x, 1)[:, 0]
         p = np.exp(scores - scores.max())
-        out += [(i, s, float(v)) for s, v in zip(PRIORITIES.names, p / p.sum(), strict=True)]
-    return spark.createDataFrame(out, "month int, to_status string, probability double").select("month", "to_status", _r("probability", 4).alias("probability"))
+        fitted += [(i, s, float(v)) for s, v in zip(PRIORITIES.names, p / p.sum(), strict=True)]
+    shares = spark.createDataFrame(fitted, "month int, to_status string, p double")
+    counts = orders.groupBy("month", F.col("o_orderpriority").alias("to_status")).agg(F.count("*").alias("n"))
+    both = counts.join(shares, ["month", "to_status"])
+    total = F.sum("n").over(Window.partitionBy("month"))  # five rows
+    return both.select("month", "to_status", "n", (F.abs(F.col("n") / total - F.col("p")) < 1e-5).alias("fitted"))
 
 
 #: Outcomes that depend on two flags and their product, by the line's number: shares in thousandths for (f, g).
