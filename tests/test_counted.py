@@ -69,7 +69,7 @@ def passes(monkeypatch):
     return read
 
 
-@pytest.mark.parametrize("query, most", [("fit_model_curves", 1 << 14)])
+@pytest.mark.parametrize("query, most", [("fit_model_curves", 1 << 14), ("anneal_model", 1 << 14)])
 def test_passes_of_fits_read_distinct_rows(spark, monkeypatch, tmp_path, query, most):
     """Ten copies of the lines: 60,000 rows, of which 12,000 are distinct at most."""
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
