@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from transcurve import queries
+from transcurve import queries, sampled_queries
 from transcurve.functions.curves import Curve
 from transcurve.operators import evaluate, kernel
 from transcurve.operators.counted import ROWS, Tables, counted, tables
@@ -69,6 +69,18 @@ def passes(monkeypatch):
     return read
 
 
+# a copy of a table holds the same distinct rows: what passes read mustn't grow with it
+@pytest.mark.parametrize(
+    "query, most",
+    [
+        (sampled_queries.fit_annealed_saturated, 4),
+    ],
+)
+def test_passes_of_closed_fits_read_distinct_rows(spark, monkeypatch, query, most):
+    read = passes(monkeypatch)
+    assert query(spark, SF).count() > 0 and read and max(read) <= most
+
+
 @pytest.mark.parametrize("query, most", [("fit_model_curves", 1 << 14), ("anneal_model", 1 << 14)])
 def test_passes_of_fits_read_distinct_rows(spark, monkeypatch, tmp_path, query, most):
     """Ten copies of the lines: 60,000 rows, of which 12,000 are distinct at most."""
