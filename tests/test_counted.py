@@ -74,6 +74,7 @@ def passes(monkeypatch):
     "query, most",
     [
         (sampled_queries.fit_annealed_saturated, 4),
+        (queries.trim_model, 1200),
     ],
 )
 def test_passes_of_closed_fits_read_distinct_rows(spark, monkeypatch, query, most):
