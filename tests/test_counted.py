@@ -76,6 +76,7 @@ def passes(monkeypatch):
         (sampled_queries.fit_annealed_saturated, 4),
         (queries.trim_model, 1200),
         (sampled_queries.fit_calibrated_saturated, 4),
+        (sampled_queries.fit_interaction_saturated, 8),
     ],
 )
 def test_passes_of_closed_fits_read_distinct_rows(spark, monkeypatch, query, most):
