@@ -77,6 +77,7 @@ def passes(monkeypatch):
         (queries.trim_model, 1200),
         (sampled_queries.fit_calibrated_saturated, 4),
         (sampled_queries.fit_interaction_saturated, 8),
+        (sampled_queries.fit_gradient_saturated, 60),
     ],
 )
 def test_passes_of_closed_fits_read_distinct_rows(spark, monkeypatch, query, most):

@@ -15,6 +15,7 @@ from transcurve.functions import permutation
 from transcurve.functions.permutation import Permutation
 from transcurve.operators import asof, blocked, evaluate, grid, kernel, quantile, sketch
 from transcurve.operators.blocked import BlockedGrid
+from transcurve.operators.counted import ROWS
 from transcurve.plans.fit import Fitter
 from transcurve.plans.optimize import minimise, minimise_by_gradient
 from transcurve.queries import _LI, LOGIT_CURVE, LOGIT_FAMILY, LOGIT_MODEL, ORACLES, _lines, _logit_grid, _r, _sql_probabilities, _t, query
@@ -171,7 +172,9 @@ def fit_gradient_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priorities by month, a flag a month, fitted by gradients alone: whether the observed shares come out, to five places."""
     orders = _t(spark, sf_dir, "orders").select(F.month("o_orderdate").alias("month"), "o_orderpriority")
     flags = {f"m{i}": F.when(F.col("month") == i, 1.0).otherwise(0.0) for i in range(2, 13)}
-    rows = orders.select(*[c.alias(k) for k, c in flags.items()], grid.encode(F.col("o_orderpriority"), PRIORITIES.names).alias("next_offset")).cache()
+    counts = orders.groupBy("month", F.col("o_orderpriority").alias("to_status")).agg(F.count("*").alias("n")).cache()
+    # a row for each month and priority, with the number of its orders: what the many passes of a fit by gradients read
+    rows = counts.select(*[c.alias(k) for k, c in flags.items()], grid.encode(F.col("to_status"), PRIORITIES.names).alias("next_offset"), F.col("n").cast("double").alias(ROWS)).coalesce(1).cache()
     model = Model.create(PRIORITIES, PRIORITIES.names[0])
     for f in flags:
         model = model.add_beta(f)
@@ -184,7 +187,6 @@ def fit_gradient_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = np.exp(scores - scores.max())
         fitted += [(i, s, float(v)) for s, v in zip(PRIORITIES.names, p / p.sum(), strict=True)]
     shares = spark.createDataFrame(fitted, "month int, to_status string, p double")
-    counts = orders.groupBy("month", F.col("o_orderpriority").alias("to_status")).agg(F.count("*").alias("n"))
     both = counts.join(shares, ["month", "to_status"])
     total = F.sum("n").over(Window.partitionBy("month"))  # five rows
     return both.select("month", "to_status", "n", (F.abs(F.col("n") / total - F.col("p")) < 1e-5).alias("fitted"))
