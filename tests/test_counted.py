@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from transcurve import queries, sampled_queries
 from transcurve.functions.curves import Curve
-from transcurve.operators import evaluate, kernel
+from transcurve.operators import evaluate, kernel, quantile
 from transcurve.operators.counted import ROWS, Tables, counted, tables
+from transcurve.plans.fit import Fitter
 from transcurve.spec import Entry, Model, StatusFamily
 
 FAMILY = StatusFamily.simple(["C", "P", "D"])
@@ -95,3 +96,61 @@ def test_passes_of_fits_read_distinct_rows(spark, monkeypatch, tmp_path, query,
     read = passes(monkeypatch)
     found = queries.QUERIES[query](spark, str(tmp_path)).collect()
     assert len(found) > 2 and [r.aic for r in found] == sorted((r.aic for r in found), reverse=True) and max(read) <= most
+
+
+def test_edges_of_counted_rows_are_those_of_all(spark, rows):
+    few = counted(rows, ["x", "y", "z"])
+    for approximate in (True, False):
+        for buckets in (3, 100):
+            a, b = (quantile.edges(g, ["x", "y", "z"], buckets, approximate=approximate) for g in (rows, few))
+            for c in a:
+                assert a[c].count == b[c].count and a[c].values == pytest.approx(b[c].values, abs=1e-15) and (a[c].mean, a[c].mean_dev) == pytest.approx((b[c].mean, b[c].mean_dev))
+    one = few.where("x = 0.1").limit(1).withColumn(ROWS, F.lit(1.0))
+    assert quantile.edges(one, ["x"], 4)["x"] == quantile.Edges("x", (0.1,) * 4, 1, 0.1, 0.0)
+    assert quantile.edges(one.where("false"), ["x"])["x"] == quantile.Edges("x", (), 0, 0.0, 0.0)
+
+
+def test_a_fit_counts_rows_that_can_be_reached(spark):
+    """Unknown and missing next statuses, and other rows' statuses, aren't counted; what is mostly distinct still serves its parts."""
+    df = spark.range(3000).selectExpr("case when id % 5 = 4 then 'P' else 'C' end s", "case id % 7 when 0 then null when 1 then 'other' when 2 then 'D' else 'C' end t", "rand(1) x", "cast(id % 3 as double) y")
+    fitter = Fitter(df, FAMILY, "C", "s", "t", ["x", "y"])
+    want = df.where("s = 'C' and t in ('C', 'P', 'D')")
+    assert fitter.chain.last.point.n == want.count() == fitter.grid.count()
+    betas = fitter.chain.model.betas
+    assert betas[2][0] == pytest.approx(np.log(want.where("t = 'D'").count() / want.where("t = 'C'").count())) and fitter.edges["y"].count == want.count()
+    found = {tuple(at): table.count() for table, at in tables(fitter.grid, [("x", "y"), ("y",)])}
+    assert found[(0,)] == want.count() and found[(1,)] == 6
+    fitter.close()
+
+
+class Begun(Exception):
+    """A fit has begun."""
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """Ten copies of the lines: 60,000 rows, of which 12,000 are distinct at most."""
+    path, lines = str(tmp_path_factory.mktemp("copies")), spark.read.parquet(f"{SF}/lineitem.parquet")
+    shift = lines.agg(F.max("l_orderkey")).first()[0] + 1
+    lines.crossJoin(spark.range(10)).withColumn("l_orderkey", F.col("l_orderkey") + shift * F.col("id")).drop("id").write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+# a fit reads a table once, to count its rows: what it begins with has the distinct ones
+@pytest.mark.parametrize(
+    "query, most",
+    [
+        ("anneal_model", 12_000),
+    ],
+)
+def test_fits_begin_with_distinct_rows(spark, copies, monkeypatch, query, most):
+    begun = []
+
+    def edges(grid, *a):
+        begun.append((grid.count(), grid.agg(F.sum(ROWS)).first()[0] if ROWS in grid.columns else None))
+        raise Begun
+
+    monkeypatch.setattr(quantile, "edges", edges)
+    with pytest.raises(Begun):
+        queries.QUERIES[query](spark, copies)
+    assert begun[0][0] <= most and begun[0][1] == 60_000
