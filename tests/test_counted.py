@@ -143,6 +143,7 @@ def copies(spark, tmp_path_factory):
         ("anneal_model", 12_000),
         ("fit_annealed_saturated", 4),
         ("trim_model", 12_000),
+        ("fit_calibrated_saturated", 4),
     ],
 )
 def test_fits_begin_with_distinct_rows(spark, copies, monkeypatch, query, most):
