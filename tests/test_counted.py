@@ -144,6 +144,7 @@ def copies(spark, tmp_path_factory):
         ("fit_annealed_saturated", 4),
         ("trim_model", 12_000),
         ("fit_calibrated_saturated", 4),
+        ("fit_interaction_saturated", 8),
     ],
 )
 def test_fits_begin_with_distinct_rows(spark, copies, monkeypatch, query, most):
