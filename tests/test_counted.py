@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from transcurve import queries, sampled_queries
 from transcurve.functions.curves import Curve
+from transcurve.operators import counted as counts
 from transcurve.operators import evaluate, kernel, quantile
 from transcurve.operators.counted import ROWS, Tables, counted, tables
 from transcurve.plans.fit import Fitter
@@ -158,3 +159,45 @@ def test_fits_begin_with_distinct_rows(spark, copies, monkeypatch, query, most):
     with pytest.raises(Begun):
         queries.QUERIES[query](spark, copies)
     assert begun[0][0] <= most and begun[0][1] == 60_000
+
+
+@pytest.fixture(scope="module")
+def unlike(spark, copies, tmp_path_factory):
+    """The copies with prices that don't repeat."""
+    path = str(tmp_path_factory.mktemp("unlike"))
+    spark.read.parquet(f"{copies}/lineitem.parquet").withColumn("l_extendedprice", 900 + F.rand(1) * 100_000).write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+def test_prices_that_do_not_repeat_are_counted_when_asked_for(spark, unlike, monkeypatch):
+    """A model of discounts and quantities reads at most 1,100 rows, and nothing is counted by price."""
+    by, real = [], counted
+    monkeypatch.setattr(counts, "LARGE", 5_000)
+    monkeypatch.setattr(counts, "counted", lambda grid, names: by.append(list(names)) or real(grid, names))
+    read = passes(monkeypatch)
+    assert len(queries.trim_model(spark, unlike).collect()) > 2
+    assert by[0] == ["d", "q"] and not any("x" in names for names in by) and max(read) <= 1_100
+    fitter = queries._fitter(spark, unlike)
+    assert sorted(fitter.edges) == ["d", "q"] and fitter.chain.last.point.n == 60_000
+    plain = fitter.grid.select("*")
+    for c in ("q", "x"):
+        assert fitter.edges[c].count == 60_000 and fitter.edges[c].values == quantile.edges(real(plain, [c]), [c])[c].values
+    base = fitter.chain.model
+    models = [base, base.add_beta("d"), base.add_beta("x"), base.add_beta("d").add_beta("x").add_beta("q")]
+    for a, b in zip(*(evaluate.evaluate_many(g, models, kernel.SECOND) for g in (plain, fitter.grid)), strict=True):
+        assert a.n == b.n and a.entropy == pytest.approx(b.entropy) and np.allclose(a.hessian, b.hessian)
+    fitter.close()
+
+
+def test_many_values_that_repeat_are_counted_alone(spark, monkeypatch):
+    """Rows that are mostly distinct, of a column whose values repeat: it is counted by itself, not by all columns."""
+    by, real = [], counted
+    monkeypatch.setattr(counts, "LARGE", 100)
+    monkeypatch.setattr(counts, "counted", lambda grid, names: by.append(list(names)) or real(grid, names))
+    df = spark.range(4000).selectExpr("'C' s", "case id % 3 when 0 then 'D' when 1 then null else 'C' end t", "cast(id % 500 as double) x", "cast(id % 7 as double) y", "rand(1) z")
+    fitter = Fitter(df, FAMILY, "C", "s", "t", ["x", "y", "z"])
+    assert by == [["y"]] and fitter.chain.last.point.n == fitter.grid.count() == df.where("t is not null").count()
+    assert tables(fitter.grid, [("x",)])[0][0].count() == 1000 and by[1:] == [["x"]]
+    (table, _), = tables(fitter.grid, [("x", "z")])
+    assert table.agg(F.sum(ROWS)).first()[0] == fitter.chain.last.point.n and by[2:] == [["x", "y", "z"]]
+    fitter.close()
